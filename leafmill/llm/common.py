@@ -121,8 +121,11 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), self.counts())
 
-    def hashes(self, folded: bool = True) -> np.ndarray:
-        """64-bit hashes of the words; folded: with A-Z lower-cased. Equal words have equal hashes in any batch."""
+    def hashes(self, folded: bool = True, most: int = 0) -> np.ndarray:
+        """64-bit hashes of the words; folded: with A-Z lower-cased. Equal words have equal hashes in any batch.
+
+        most: if not 0, hashes of the first so many bytes of each word, apart from those of whole words.
+        """
         if not len(self):
             return np.zeros(0, np.uint64)
         out = np.empty(len(self), np.uint64)
@@ -133,7 +136,9 @@ class Words:
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum((_FOLDED if folded else _BYTE)[self.data[lo:hi]] * _powers(_P, hi - lo)[:-1], out=sums[1:])
             s, e = self.start[begin:stop] - lo, self.end[begin:stop] - lo
-            out[begin:stop] = mix((sums[e] - sums[s]) * _powers(_P_INV, hi - lo)[s] + (e - s).astype(np.uint64))
+            if most:
+                e = np.minimum(e, s + most)
+            out[begin:stop] = mix(np.uint64(most << 32) + (sums[e] - sums[s]) * _powers(_P_INV, hi - lo)[s] + (e - s).astype(np.uint64))
             begin = stop
         return out
 

@@ -26,10 +26,15 @@ PRIOR, LEAST_Z, COST = 0.1, 3.0, 0.5
 SIGNIFICANT, TOP = 0.05, 30.0
 
 
+#: A word also has the log-odds of its first so many bytes, for stems with many endings; the one of the largest z counts.
+STEMS = (5, 6, 7)
+
+
 @dataclass
 class Toxicity:
     words: np.ndarray  # sorted hashes (uint64)
     scores: np.ndarray
+    weights: np.ndarray  # absolute z
     lam: float = 1.0
     k: float = 1.0
     curve: tuple[float, float, float] = (0.0, 1.0, 0.0)  # of 1, -ln E of the best segment, log1p(significant ones)
@@ -73,16 +78,23 @@ def segments(at: list[int], scores: list[float], cost: float) -> list[tuple[int,
     return [(a, z, r - x) for x, r, a, z, _ in stack]
 
 
-def _scan(arr: pa.StringArray, words: np.ndarray, scores: np.ndarray):
+def _scan(arr: pa.StringArray, words: np.ndarray, scores: np.ndarray, weights: np.ndarray):
     """(Words, for each text its segments): texts without a scored word have none."""
     w = Words(arr, ALNUM_ANY_CASE)
-    h = w.hashes()
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(arr))]
-    if len(words) and len(h):
-        place = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = np.flatnonzero(words[place] == h)
+    if len(words) and len(w):
+        most, of = np.zeros(len(w)), np.zeros(len(w))
+        for k in (0, *STEMS):
+            some = np.flatnonzero(w.end - w.start >= k)
+            h = w.hashes(most=k)[some]
+            place = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            hit = np.flatnonzero(words[place] == h)
+            at, place = some[hit], place[hit]
+            better = weights[place] > most[at]
+            most[at[better]], of[at[better]] = weights[place[better]], scores[place[better]]
+        hit = np.flatnonzero(most)
         bounds = np.searchsorted(hit, w.doc_at)
-        value = scores[place[hit]]
+        value = of[hit]
         for d in np.flatnonzero(np.diff(bounds)).tolist():
             a, z = bounds[d], bounds[d + 1]
             out[d] = segments((hit[a:z] - w.doc_at[d]).tolist(), value[a:z].tolist(), COST)
@@ -129,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     got = rows.mapInArrow(keys, "doc_id bigint, label int, low bigint, n bigint").toPandas()
     got = got.sort_values("doc_id").drop_duplicates(["label", "low"])
     share = float(got["label"].mean()) if len(got) else 0.5
-    flat = Toxicity(np.zeros(0, np.uint64), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
+    flat = Toxicity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
     if got["label"].nunique() < 2:
         return flat
     spark = docs.sparkSession
@@ -148,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
                     continue
                 arr, toxic = arr.filter(pa.array(mask)), part.column(part.schema.get_field_index("label")).to_numpy()[mask]
                 w = Words(arr, ALNUM_ANY_CASE)
-                h, d = w.hashes(), w.doc()
+                d = w.doc()
+                stems = [(w.hashes(most=k)[long], d[long]) for k in STEMS for long in (w.end - w.start >= k,)]
+                h, d = (np.concatenate(x) for x in zip((w.hashes(), d), *stems))
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
                 new = np.ones(len(h), bool)
@@ -177,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     order = np.argsort(h)
     s = words["delta"].to_numpy(float)[order]
     c = words["c"].to_numpy(float)[order] + 0.5
-    model = Toxicity(h[order], s)
+    model = Toxicity(h[order], s, np.abs(words["z"].to_numpy(float)[order]))
     # lambda: the positive root of sum p exp(lambda s) = 1 over the words of other texts.
     p = c / (nc + len(c) * 0.5)
     rest = max(1e-9, 1 - p.sum())
@@ -186,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if (p * np.exp(np.minimum(mid * s, 300))).sum() + rest * math.exp(-mid * COST) > 1 else (mid, hi)
     model.lam = lo
-    shared = spark.sparkContext.broadcast((model.words, model.scores))
+    shared = spark.sparkContext.broadcast((model.words, model.scores, model.weights))
 
     def trial(batches):
         for batch in batches:
@@ -227,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: l
         m = shared.value
         for batch in batches:
             for part, arr in slices(batch, text):
-                w, found = _scan(arr, m.words, m.scores)
+                w, found = _scan(arr, m.words, m.scores, m.weights)
                 n = w.counts()
                 best, many = _summary(found, n, m)
                 passages: list[list[dict]] = [[] for _ in range(len(arr))]
