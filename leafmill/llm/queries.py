@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, pii, quality, token_counts, toxicity
+from . import chat, licenses, mixing, ngram_join, pii, quality, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -40,6 +40,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.JaccardJoin(table(spark, sf_dir, "documents")).documents().select("doc_id", "n_shingles", "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op7_chat, op8_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity)}
 
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.CONTROL)
