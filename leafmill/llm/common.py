@@ -76,6 +76,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes hashed at a time, so that arrays of 64-bit numbers stay in cache; powers for such a stretch are kept.
+_STRETCH = 1 << 18
+_kept_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_upto(base: int, n: int) -> np.ndarray:
+    if n > 2 * _STRETCH:
+        return _powers(base, n)
+    if base not in _kept_powers:
+        _kept_powers[base] = _powers(base, 2 * _STRETCH)
+    return _kept_powers[base][: n + 1]
+
+
 def strings(col: pa.Array) -> pa.StringArray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -130,15 +143,15 @@ class Words:
             return np.zeros(0, np.uint64)
         out = np.empty(len(self), np.uint64)
         begin = 0
-        while begin < len(self):  # in stretches of some 4 MB, so that the arrays of 64-bit numbers stay small
-            stop = max(begin + 1, int(np.searchsorted(self.end, self.start[begin] + (1 << 22), "right")))
+        while begin < len(self):
+            stop = max(begin + 1, int(np.searchsorted(self.end, self.start[begin] + _STRETCH, "right")))
             lo, hi = self.start[begin], self.end[stop - 1]
             sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((_FOLDED if folded else _BYTE)[self.data[lo:hi]] * _powers(_P, hi - lo)[:-1], out=sums[1:])
+            np.cumsum((_FOLDED if folded else _BYTE)[self.data[lo:hi]] * _powers_upto(_P, hi - lo)[:-1], out=sums[1:])
             s, e = self.start[begin:stop] - lo, self.end[begin:stop] - lo
             if most:
                 e = np.minimum(e, s + most)
-            out[begin:stop] = mix(np.uint64(most << 32) + (sums[e] - sums[s]) * _powers(_P_INV, hi - lo)[s] + (e - s).astype(np.uint64))
+            out[begin:stop] = mix(np.uint64(most << 32) + (sums[e] - sums[s]) * _powers_upto(_P_INV, hi - lo)[s] + (e - s).astype(np.uint64))
             begin = stop
         return out
 
@@ -192,10 +205,10 @@ def training_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     )
 
 
-def bucket_totals(df: DataFrame, count_batch, bits: int, columns: list[str]) -> np.ndarray:
+def bucket_totals(df: DataFrame, count_batch, bits: int, columns: list[str], kind: str = "<i8") -> np.ndarray:
     """Totals of 2**bits counters over all rows of df, on the driver: 8 * 2**bits bytes at any input size.
 
-    count_batch(batch, counters) adds a record batch to an int64 array. Each task sends its counters in blocks of
+    count_batch(batch, counters) adds a record batch to an array of kind (64-bit integers or floats). Each task sends its counters in blocks of
     2**12; blocks are added up in two levels (by task number mod 64, then all), so that no task meets the counters
     of all tasks.
     """
@@ -204,29 +217,29 @@ def bucket_totals(df: DataFrame, count_batch, bits: int, columns: list[str]) ->
     def per_task(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, kind)
         for b in batches:
             count_batch(b, total)
         part = TaskContext.get().partitionId() % 64
         blocks = [i for i in range(size // width) if total[i * width : (i + 1) * width].any()]
         for at in range(0, len(blocks), 64):
             some = blocks[at : at + 64]
-            data = [total[i * width : (i + 1) * width].astype("<i8").tobytes() for i in some]
+            data = [total[i * width : (i + 1) * width].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["part", "block", "counts"])
 
     def add(pdf):
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, kind)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, "<i8")
+            total += np.frombuffer(x, kind)
         return pdf.iloc[:1].assign(counts=[total.tobytes()])
 
     schema = "part int, block int, counts binary"
     blocks = df.select(*columns).mapInArrow(per_task, schema)
     blocks = blocks.groupBy("part", "block").applyInPandas(add, schema)
     blocks = blocks.groupBy("block").applyInPandas(add, schema)
-    total = np.zeros(size, np.int64)
+    total = np.zeros(size, kind)
     for row in blocks.select("block", "counts").toLocalIterator():
-        total[row.block * width : (row.block + 1) * width] = np.frombuffer(row.counts, "<i8")
+        total[row.block * width : (row.block + 1) * width] = np.frombuffer(row.counts, kind)
     return total
 
 

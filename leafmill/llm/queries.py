@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, licenses, mixing, ngram_join, pii, quality, token_counts, toxicity
+from . import chat, decontaminate, forest, licenses, mixing, ngram_join, pii, quality, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -33,6 +33,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity)}
 
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.CONTROL)
