@@ -137,8 +137,8 @@ def _may_link(na, pa_, nb, pb, num: int, den: int):
 class JaccardJoin:
     """Documents that link when den * |intersection| >= num * |union| of their k-word shingle sets.
 
-    docs need doc_id and text; other columns are not read. Documents are told apart by doc_id: of rows that repeat an
-    id with different texts, one text stands for the id. Null and empty texts and texts of white space have the empty
+    docs need doc_id and text; other columns are not read. Documents are told apart by doc_id: rows that repeat an id
+    with different texts are one document, which links if one of its texts does. Null and empty texts and texts of white space have the empty
     set and link with nothing, and so do null ids. Texts of any length are used whole.
     """
 
@@ -146,37 +146,39 @@ class JaccardJoin:
         self.docs, self.text, self.k, self.num, self.den = docs.select("doc_id", F.col(text).alias("text")), "text", k, num, den
         self.members = materialize(_signatures(self.docs, "text", k, num, den), "sets")
         whole = self.members.where("n > 0 and doc_id is not null")
-        self.reps = materialize(whole.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("grams").alias("grams"), F.first("parts").alias("parts")), "reps")
-        postings = self.reps.select(F.posexplode("grams").alias("pos", "gram"), "rep", "n").select("gram", "rep", "n", "pos")
+        self.reps = materialize(whole.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")), "reps")
+        own = self.reps.select("fp1", "fp2", "n", F.col("rep").alias("doc_id"))
+        own = whole.select("fp1", "fp2", "n", "doc_id", "grams").join(own, ["fp1", "fp2", "n", "doc_id"], "left_semi")
+        postings = own.select(F.posexplode("grams").alias("pos", "gram"), F.col("doc_id").alias("rep"), "n").select("gram", "rep", "n", "pos")
         self.postings = materialize(_shared(postings), "postings")
-        self._sets: DataFrame | None = None
 
-    def sets(self) -> DataFrame:
-        """(rep, grams): whole sets of the documents with a posting, computed again from their texts."""
-        if self._sets is None:
-            ids = self.postings.select("rep").distinct()
-            size, k = 1 << FILTER_BITS, self.k
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(rep, set): whole sets of the documents ids (rep), computed again from their texts, and of a few others.
 
-            def place(x: np.ndarray) -> np.ndarray:
-                return (mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        A bit for each id's hash goes to all tasks, 2**FILTER_BITS bits at any number of ids; joins with the result
+        drop what passes by chance.
+        """
+        k = self.k
 
-            def tally(batch, total):
-                np.add.at(total, place(batch.column(0).to_numpy(zero_copy_only=False)), 1)
+        def place(x: np.ndarray) -> np.ndarray:
+            return (mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-            shared = self.docs.sparkSession.sparkContext.broadcast(bucket_totals(ids, tally, FILTER_BITS, ["rep"]) > 0)
+        def tally(batch, total):
+            np.add.at(total, place(batch.column(0).to_numpy(zero_copy_only=False)), 1)
 
-            def run(batches):
-                for batch in batches:
-                    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-                    mask = known & shared.value[place(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)) % size]
-                    if mask.any():
-                        for part, arr in slices(batch.filter(pa.array(mask)), "text"):
-                            h, _, n = sets(arr, k)
-                            yield pa.RecordBatch.from_arrays([part.column(0), lists(as_long(h), n, pa.int64())], ["rep", "set"])
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(bucket_totals(ids, tally, FILTER_BITS, ["rep"]) > 0))
 
-            found = self.docs.mapInArrow(run, "rep bigint, set array<bigint>")
-            self._sets = materialize(found.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "candidates")
-        return self._sets
+        def run(batches):
+            asked = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                mask = known & asked[place(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))]
+                if mask.any():
+                    for part, arr in slices(batch.filter(pa.array(mask)), "text"):
+                        h, _, n = sets(arr, k)
+                        yield pa.RecordBatch.from_arrays([part.column(0), lists(as_long(h), n, pa.int64())], ["rep", "set"])
+
+        return materialize(self.docs.mapInArrow(run, "rep bigint, set array<bigint>"), "candidates")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, after the suffix filter: sets that share enough differ little in any part."""
@@ -185,9 +187,11 @@ class JaccardJoin:
         p = pairs.join(small.toDF("a", "parts_a", "n_a"), "a").join(small.toDF("b", "parts_b", "n_b"), "b")
         apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         p = p.where((F.lit(num + den) * (F.col("n_a") + F.col("n_b") - apart)) >= F.lit(2 * num) * (F.col("n_a") + F.col("n_b")))
-        p = p.select("a", "b").distinct().join(self.sets().toDF("b", "set_b"), "b").join(self.sets().toDF("a", "set_a"), "a")
+        p = materialize(p.select("a", "b").distinct(), "filtered")
+        whole = self.sets(p.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        p = p.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
         both = F.size(F.array_intersect("set_a", "set_b"))
-        return p.where(F.lit(den) * both >= F.lit(num) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+        return p.where(F.lit(den) * both >= F.lit(num) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
     def _apart(self, rows: DataFrame) -> DataFrame:
         """All pairs of one gram's documents under different labels that pass the length and positional filters."""
