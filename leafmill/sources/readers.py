@@ -62,13 +62,18 @@ def bundles(spark: SparkSession, path: str, pattern: str = "*.zip") -> tuple[Dat
     return docs, listed.join(e.withColumnRenamed("name", "path"), ["file", "path"])
 
 
+def _tree(value: Column) -> Column:
+    """An array or object as VARIANT; null for other text (the parser alone would take a leading number for a value)."""
+    return F.when(value.rlike(r"^\s*[\[{]"), F.try_parse_json(value))
+
+
 def subtitles(rows: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
     """(key, t0, t1, text): SRT, WebVTT or JSON segments; tags are dropped, lines joined; bad stamps give no row."""
     stamp = r"([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
-    plain = rows.where(F.try_parse_json(value).isNull()).select(key, F.explode(F.split(F.regexp_replace(value, "\r\n?", "\n"), r"\n\s*\n")).alias("b")).where(F.col("b").rlike(stamp))
+    plain = rows.where(_tree(F.col(value)).isNull()).select(key, F.explode(F.split(F.regexp_replace(value, "\r\n?", "\n"), r"\n\s*\n")).alias("b")).where(F.col("b").rlike(stamp))
     body = F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "<[^>]+>", "")
     plain = plain.select(key, seconds(F.regexp_extract("b", stamp, 1)).alias("t0"), seconds(F.regexp_extract("b", stamp, 2)).alias("t1"), collapse(body).alias("text"))
-    v = F.try_parse_json(value)
+    v = _tree(F.col(value))
     parts = F.coalesce(F.try_variant_get(v, "$.segments", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
     num = lambda s, *ps: F.coalesce(*(F.try_variant_get(s, p, "double") for p in ps))
     tree = rows.where(v.isNotNull()).select(key, F.explode(parts).alias("s")).select(key, num(F.col("s"), "$.t0", "$.start", "$.from").alias("t0"), num(F.col("s"), "$.t1", "$.end", "$.to").alias("t1"), collapse(F.coalesce(F.try_variant_get("s", "$.text", "string"), F.lit(""))).alias("text"))
@@ -78,7 +83,7 @@ def subtitles(rows: DataFrame, key: str = "file", value: str = "value") -> DataF
 def chapters(rows: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
     """(key, t, title): lines `mm:ss Title` or a JSON array of {t, title}."""
     line = r"^\s*((?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d+)?)\s+(.*\S)\s*$"
-    v = F.try_parse_json(value)
+    v = _tree(F.col(value))
     plain = rows.where(v.isNull()).select(key, F.explode(F.split(value, "\r?\n")).alias("l")).where(F.col("l").rlike(line)).select(key, seconds(F.regexp_extract("l", line, 1)).alias("t"), F.regexp_extract("l", line, 2).alias("title"))
     tree = rows.where(v.isNotNull()).select(key, F.explode(F.try_variant_get(v, "$", "array<variant>")).alias("c")).select(key, F.try_variant_get("c", "$.t", "double").alias("t"), F.try_variant_get("c", "$.title", "string").alias("title"))
     return plain.unionByName(tree)
