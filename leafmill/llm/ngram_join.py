@@ -218,11 +218,13 @@ class JaccardJoin:
         rows = self.postings.withColumn("label", F.col("rep"))
         done = found = None
         for turn in range(ROUNDS + 1):
-            per = rows.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m")).groupBy("gram").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("left"), F.sum("m").alias("m"))
-            left, size = per.agg(F.sum("left"), F.sum("m")).first()
-            if not left:
-                break
-            last = turn == ROUNDS or turn > 0 and left <= PAIRS_PER_ROW * size
+            last = turn == ROUNDS
+            if turn:
+                per = rows.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m")).groupBy("gram").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("left"), F.sum("m").alias("m"))
+                left, size = per.agg(F.sum("left"), F.sum("m")).first()
+                if not left:
+                    break
+                last = last or left <= PAIRS_PER_ROW * size
             new = self._apart(rows) if last else self._pivots(rows, turn)
             new = materialize(new if done is None else new.join(done, ["a", "b"], "left_anti"), "pairs")
             links = materialize(self.verify(new), "links")
