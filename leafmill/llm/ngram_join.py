@@ -12,6 +12,8 @@ join skips the first step and returns every link.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,10 @@ from .common import NOT_SPACE, Words, as_long, bucket_totals, components, lists,
 ORDER_BITS = 20
 #: Buckets of the filter that spares most texts a look when sets are fetched; what passes is joined exactly.
 FILTER_BITS = 20
-#: Rounds against pivots go on while more pairs than this a posting are left, ROUNDS at most.
-PAIRS_PER_ROW, ROUNDS = 4, 4
+#: Rounds against pivots go on while more pairs than this a posting are left and each round at least halves them. A
+#: round reads all texts and postings anew, which costs as much as holding some such number of pairs a posting against
+#: the filters.
+PAIRS_PER_ROW = 64
 #: Parts of the hash range whose counts the suffix filter compares.
 PARTS = 16
 
@@ -160,25 +164,27 @@ class JaccardJoin:
         """
         k = self.k
 
-        def place(x: np.ndarray) -> np.ndarray:
-            return (mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-        def tally(batch, total):
-            np.add.at(total, place(batch.column(0).to_numpy(zero_copy_only=False)), 1)
+        def place(doc_id: str) -> F.Column:
+            return F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long")), 64 - FILTER_BITS)
 
-        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(bucket_totals(ids, tally, FILTER_BITS, ["rep"]) > 0))
+        at = ids.select((place("rep") + 1).alias("at"))
+        maps = at.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        bits = bytearray((1 << FILTER_BITS) // 8)
+        for row in maps.collect():  # at most 2**FILTER_BITS bits
+            bits[(row.block - 1) * len(row.bits) : row.block * len(row.bits)] = row.bits
+        shared = self.docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
         def run(batches):
-            asked = np.unpackbits(shared.value).astype(bool)
+            asked = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
             for batch in batches:
                 known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-                mask = known & asked[place(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))]
+                mask = known & asked[batch.column(2).to_numpy(zero_copy_only=False)]
                 if mask.any():
                     for part, arr in slices(batch.filter(pa.array(mask)), "text"):
                         h, _, n = sets(arr, k)
                         yield pa.RecordBatch.from_arrays([part.column(0), lists(as_long(h), n, pa.int64())], ["rep", "set"])
 
-        return materialize(self.docs.mapInArrow(run, "rep bigint, set array<bigint>"), "candidates")
+        return materialize(self.docs.select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(run, "rep bigint, set array<bigint>"), "candidates")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, after the suffix filter: sets that share enough differ little in any part."""
@@ -188,7 +194,7 @@ class JaccardJoin:
         apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         p = p.where((F.lit(num + den) * (F.col("n_a") + F.col("n_b") - apart)) >= F.lit(2 * num) * (F.col("n_a") + F.col("n_b")))
         p = materialize(p.select("a", "b").distinct(), "filtered")
-        whole = self.sets(p.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        whole = self.sets(p.select(F.explode(F.array("a", "b")).alias("rep")))
         p = p.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
         both = F.size(F.array_intersect("set_a", "set_b"))
         return p.where(F.lit(den) * both >= F.lit(num) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
@@ -216,15 +222,16 @@ class JaccardJoin:
     def links(self) -> DataFrame | None:
         """Links that connect whatever is connected, or None; (a, b) between class representatives."""
         rows = self.postings.withColumn("label", F.col("rep"))
-        done = found = None
-        for turn in range(ROUNDS + 1):
-            last = turn == ROUNDS
+        done = found = before = None
+        for turn in itertools.count():
+            last = False
             if turn:
                 per = rows.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m")).groupBy("gram").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("left"), F.sum("m").alias("m"))
                 left, size = per.agg(F.sum("left"), F.sum("m")).first()
                 if not left:
                     break
-                last = last or left <= PAIRS_PER_ROW * size
+                last = left <= PAIRS_PER_ROW * size or (before is not None and 2 * left > before)
+                before = left
             new = self._apart(rows) if last else self._pivots(rows, turn)
             new = materialize(new if done is None else new.join(done, ["a", "b"], "left_anti"), "pairs")
             links = materialize(self.verify(new), "links")
