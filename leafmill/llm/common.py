@@ -161,7 +161,7 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Pieces of a batch of about `most` bytes of text each (one longer text is a piece of its own): bounded memory."""
     arr = strings(batch.column(batch.schema.get_field_index(column)))
     _, off = raw_bytes(arr)
