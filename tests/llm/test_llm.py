@@ -239,6 +239,24 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(odd(spark), bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty(spark), bench).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(3000)] + ["the", "and"] * 400
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate((130, 160, 200, 256, 350, 500))}
+    docs, want = [], set()
+    for d in range(120):
+        body = text(rng.randint(20, 900))
+        if d % 2 == 0:  # exact copies
+            at = rng.randint(0, len(body))
+            body[at:at] = items[d // 2 % 6]
+            want.add((d, d // 2 % 6))
+        docs.append((d, " ".join(body), "en", "s", 0))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.find_leaks(odd(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.lcs == 1 and r.answer for r in got)
+
+
 def test_segments_by_brute_force():
     rng = random.Random(11)
     for _ in range(500):
