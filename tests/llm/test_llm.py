@@ -257,6 +257,25 @@ def test_leaks_of_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and all(r.lcs == 1 and r.answer for r in got)
 
 
+def test_leaks_of_frequent_items(spark):
+    rng = random.Random(12)
+    words, common = [f"v{i}" for i in range(3000)], [f"c{i}" for i in range(40)]
+    text = lambda n: [rng.choice(words if rng.random() < 0.7 else common) for _ in range(n)]
+    items = {i: text(30) for i in range(10)} | {10: rng.sample(common, 30)}
+    docs, want = [], set()
+    for d in range(300):
+        body = text(rng.randint(60, 900))
+        for i in ([0] if d % 10 < 3 else [10] if d % 10 == 5 else []):  # one in 30 % of the rows, one of common words only
+            at = rng.randint(0, len(body))
+            body[at:at] = items[i]
+            want.add((d, i))
+        docs.append((d, " ".join(body), "en", "s", 0))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = odd(spark, docs)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(rows, bench).collect()} == set(range(300)) - {d for d, _ in want}
+
+
 def test_segments_by_brute_force():
     rng = random.Random(11)
     for _ in range(500):
