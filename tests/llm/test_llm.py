@@ -276,6 +276,25 @@ def test_leaks_of_frequent_items(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(rows, bench).collect()} == set(range(300)) - {d for d, _ in want}
 
 
+def test_leaks_of_paraphrases(spark):
+    rng = random.Random(13)
+    words, common = [f"v{i}" for i in range(3000)], [f"c{i}" for i in range(40)]
+    text = lambda n: [rng.choice(words if rng.random() < 0.5 else common) for _ in range(n)]
+    items = {i: text(rng.randint(12, 60)) for i in range(60)}
+    docs, want = [], set()
+    for d in range(300):
+        i, body = d % 60, text(rng.randint(20, 900))
+        n = len(items[i])
+        gone = set(rng.sample(range(n - n // 4), int(rng.uniform(0.3, 0.5) * n)))  # 50 to 70 % of the words stay, and the answer
+        at = rng.randint(0, len(body))
+        body[at:at] = [f"x{d}y{j}" if j in gone else w for j, w in enumerate(items[i])]
+        docs.append((d, " ".join(body), "en", "s", 0))
+        want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd(spark, docs), bench).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+
+
 def test_segments_by_brute_force():
     rng = random.Random(11)
     for _ in range(500):
