@@ -121,9 +121,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Toxicity:
     """Fits on the labelled rows outside the held-out fold, max_rows of them at most (by id hash).
 
-    Of texts that agree in their label and the smallest hash of their words (copies and most near copies) one is
-    used, so that a group of copies does not make its words look telling. Without rows of both labels the model finds
-    nothing and every score is the share of toxic labels.
+    Of texts of one label whose words are the same in the same order (copies, whatever their case and punctuation) one
+    is used, so that a group of copies does not make its words look telling; all others are. Without rows of both labels
+    the model finds nothing and every score is the share of toxic labels.
     """
     sample = F.broadcast(training_sample(labels, label, max_rows))
     rows = docs.select("doc_id", text).join(sample, "doc_id")
@@ -132,14 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         for batch in batches:
             for part, arr in slices(batch, text):
                 w = Words(arr, ALNUM_ANY_CASE)
-                low = np.zeros(len(arr), np.uint64)
+                same = np.zeros((2, len(arr)), np.uint64)
                 some = w.counts() > 0
                 if some.any():
-                    low[some] = np.minimum.reduceat(mix(w.hashes()), w.doc_at[:-1][some])
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("label")), pa.array(as_long(low), pa.int64()), pa.array(w.counts(), pa.int64())], ["doc_id", "label", "low", "n"])
+                    h, nth = w.hashes(), (np.arange(len(w)) - w.doc_at[w.doc()]).astype(np.uint64)
+                    for i in range(2):  # two sums of words mixed with their places: 128 bits
+                        same[i, some] = np.add.reduceat(mix(h + mix(2 * nth + np.uint64(i + 1))), w.doc_at[:-1][some])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("label")), *(pa.array(as_long(x), pa.int64()) for x in same)], ["doc_id", "label", "same", "too"])
 
-    got = rows.mapInArrow(keys, "doc_id bigint, label int, low bigint, n bigint").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates(["label", "low"])
+    got = rows.mapInArrow(keys, "doc_id bigint, label int, same bigint, too bigint").toPandas()
+    got = got.sort_values("doc_id").drop_duplicates(["label", "same", "too"])
     share = float(got["label"].mean()) if len(got) else 0.5
     flat = Toxicity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
     if got["label"].nunique() < 2:

@@ -334,6 +334,25 @@ def test_classifiers_without_labels_and_on_odd_rows(spark):
             assert quality.score_quality(rows, quality.fit(rows, marks)).where("score between 0 and 1").count() == n
 
 
+def test_toxicity_fits_on_texts_of_common_words(spark):
+    rng = random.Random(14)
+    common = [f"c{i}" for i in range(200)]  # in every text, so nearly all texts share their smallest word hash
+    rows, marks = [], []
+    for d in range(400):
+        telling = [f"{'bad' if d % 2 else 'good'}{rng.randrange(5)}" for _ in range(3)]
+        rows.append((d, " ".join(rng.sample(common, 200) + telling), "en", "s", 0))
+        marks.append((d, 0, d % 2))
+    copies = [(1000 + d, rows[1][1].upper(), "en", "s", 0) for d in range(400)]
+    learnt = []
+    for more in ([], copies):
+        docs = odd(spark, rows + more)
+        model = toxicity.fit(docs, labels(spark, marks + [(r[0], 0, 1) for r in more]))
+        right = toxicity.score_toxicity(docs, model).where("doc_id < 1000 and (score >= 0.5) = (doc_id % 2 = 1)").count()
+        assert right >= 0.97 * len(rows)
+        learnt.append(len(model.words))
+    assert learnt[0] >= 10 and abs(learnt[1] - learnt[0]) <= 3  # copies of one text are one text
+
+
 def test_rules_compile_to_the_same_score(spark):
     rng = np.random.default_rng(12)
     x = rng.random((600, len(quality.STATS)))
