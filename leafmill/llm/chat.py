@@ -6,7 +6,8 @@ The template, with \\n for a line feed:
     <s>[OUT] text ([SEP] text)* </s>                  a block of the assistant, whose texts bear the loss
 
 Control strings inside texts and roles are escaped by a backslash after their first character, and backslashes are
-doubled, so the formatted text can be read back without loss.
+doubled, so the formatted text can be read back without loss. As a line feed ends a role, one inside a role is written
+as a backslash and an n.
 """
 
 from __future__ import annotations
@@ -29,6 +30,18 @@ def unescape(x: F.Column) -> F.Column:
     return F.regexp_replace(x, r"\\(\\?)", "$1")
 
 
+def escape_role(x: F.Column) -> F.Column:
+    return F.replace(escape(x), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(x: F.Column) -> F.Column:
+    """A backslash and an n stands for a line feed unless the backslash is itself the second of a pair.
+
+    No control string has an n after its first character, so an escape of one cannot be taken for it.
+    """
+    return unescape(F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv, n_turns, blocks and formatted.
 
@@ -49,7 +62,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     rows = rows.select("conv_id", n.cast("long").alias("n_turns"), F.zip_with("starts", "ends", block).alias("blocks"))
     joined = lambda b: F.array_join(F.transform(b["texts"], escape), SEP)
     written = F.transform(
-        "blocks", lambda b: F.when(b["loss"], F.concat(F.lit(ANSWER), joined(b), F.lit(END))).otherwise(F.concat(F.lit(OPEN), escape(b["role"]), F.lit("\n"), joined(b), F.lit(CLOSE)))
+        "blocks", lambda b: F.when(b["loss"], F.concat(F.lit(ANSWER), joined(b), F.lit(END))).otherwise(F.concat(F.lit(OPEN), escape_role(b["role"]), F.lit("\n"), joined(b), F.lit(CLOSE)))
     )
     return rows.withColumn("formatted", F.array_join(written, ""))
 
@@ -62,7 +75,7 @@ def read_back(formatted: F.Column) -> F.Column:
         loss = F.startswith(p, F.lit("[OUT] "))
         body = F.when(loss, F.substring(p, F.lit(len("[OUT] ") + 1), F.length(p) - len("[OUT] ") - len(END))).otherwise(F.substring(p, F.lit(len("[INST] ") + 1), F.length(p) - len("[INST] ") - len(CLOSE)))
         cut = F.instr(body, "\n")
-        role = F.when(loss, F.lit(ASSISTANT)).otherwise(unescape(F.substring(body, F.lit(1), cut - 1)))
+        role = F.when(loss, F.lit(ASSISTANT)).otherwise(unescape_role(F.substring(body, F.lit(1), cut - 1)))
         texts = F.when(loss, body).otherwise(F.substring(body, cut + 1, F.length(body)))
         return F.transform(F.split(texts, r"\[SEP\]"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 

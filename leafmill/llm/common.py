@@ -37,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset and there is one process (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     d = d or spark.conf.get("leafmill.shared.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("leafmill.shared.dir", d)  # spark.checkpoint.dir cannot be set in a running session
     return d
@@ -242,24 +244,44 @@ def bucket_totals(df: DataFrame, count_batch, bits: int, columns: list[str], kin
     return total
 
 
+#: Of the nodes of a graph at most this many have more edges than its heavy_bound allows: their rows are broadcast.
+HEAVY_NODES = 10_000
+
+
+def heavy_bound(edges: int) -> int:
+    """Edges that a node may have before it counts as heavy: the sum of all degrees leaves room for HEAVY_NODES such nodes."""
+    return max(64, 2 * edges // HEAVY_NODES)
+
+
+def _lowest(sym: DataFrame, bound: int) -> DataFrame:
+    """Edges (a, b) with m, the smallest of a and its neighbours.
+
+    The minimum is a partial aggregate. A heavy node, the centre of a star, would bring all its edges to one task of the
+    join: the minima of the heavy nodes are broadcast instead, HEAVY_NODES at most, and only the others are joined.
+    """
+    low = sym.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "degree")
+    heavy = F.broadcast(low.where(F.col("degree") > bound).select("u", "m"))
+    light = low.where(F.col("degree") <= bound).select("u", "m")
+    at = F.col("a") == F.col("u")
+    return sym.join(heavy, at).select("a", "b", "m").unionAll(sym.join(heavy, at, "left_anti").join(light, at).select("a", "b", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star steps, each a partial aggregate and a join that adaptive execution can
-    split at a hot node; no neighbour list is ever gathered. Edges of each round are written to the shared folder.
-    Null ends and loops are left out.
+    Alternating large-star and small-star steps; no neighbour list is ever gathered and the edges of a star are not
+    brought together. Edges of each round are written to the shared folder. Null ends and loops are left out.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        sym = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = sym.join(low, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
+    state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    before = state()
+    while before[0]:
+        bound = heavy_bound(before[0])
+        large = _lowest(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), bound).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _lowest(large, bound).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
         e = materialize(small.where("a != b").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        now = state()
         if now == before:
             break
         before = now

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -24,25 +25,28 @@ TAG = "spdx license identifier"
 RESTRICTS = {
     "mit": 0.1, "apache-2.0": 0.1, "bsd": 0.1, "bsd-2-clause": 0.1, "bsd-3-clause": 0.1, "isc": 0.1, "cc0": 0.0, "unlicense": 0.0, "public-domain": 0.0, "0bsd": 0.0,
     "cc-by": 0.2, "cc-by-sa": 0.4, "cc-by-nc": 0.8, "cc-by-nd": 0.8, "mpl-2.0": 0.4, "lgpl": 0.5, "gpl": 0.7, "agpl": 0.9, "reserved": 1.0, "proprietary": 1.0,
+    "cc-by-nc-sa": 0.8, "cc-by-nc-nd": 0.9, "zlib": 0.1, "bsl-1.0": 0.1, "wtfpl": 0.1, "ncsa": 0.1, "postgresql": 0.1, "psf-2.0": 0.1, "python-2.0": 0.1, "afl": 0.2, "artistic": 0.3,
+    "odc-by": 0.2, "odbl": 0.4, "epl": 0.5, "eupl": 0.5, "cddl": 0.5, "cpl": 0.5, "ms-pl": 0.3, "ms-rl": 0.5, "ofl": 0.3, "openssl": 0.2, "gfdl": 0.7, "sspl": 0.9, "busl": 0.9,
 }
+_BY_LENGTH = sorted((x for x in RESTRICTS if x not in ("reserved", "proprietary", "public-domain")), key=len, reverse=True)
 
 _SPACED = bytes(ord(chr(b).lower()) if ALNUM_ANY_CASE[b] and b < 128 else b if ALNUM_ANY_CASE[b] else 32 for b in range(256))
 _EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- \t]+)", re.I)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
+_EXCEPTION = re.compile(r"[a-z0-9.\-]*(?:exception|syscall-note)[a-z0-9.\-]*")
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: operands and operators in postfix order. ValueError if it is no licence expression."""
+def to_postfix(parts: list[str]) -> list[str]:
+    """Shunting-yard: operands and operators in postfix order, lower-cased. ValueError if it is no licence expression."""
     out, stack, operand = [], [], True
-    for part in _PART.findall(expression):
-        low = part.lower()
-        if low in _RANK:
+    for part in map(str.lower, parts):
+        if part in _RANK:
             if operand:
                 raise ValueError("operator without operand")
-            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
+            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[part]:
                 out.append(stack.pop())
-            stack.append(low)
+            stack.append(part)
             operand = True
         elif part == "(":
             if not operand:
@@ -59,47 +63,70 @@ def to_postfix(expression: str) -> list[str]:
         else:
             if not operand:
                 raise ValueError("missing operator")
-            out.append(low)
+            out.append(part)
             operand = False
     if operand or "(" in stack:
         raise ValueError("incomplete")
     return out + stack[::-1]
 
 
-def family(licence: str) -> str:
-    """The label of an identifier: versions of one family share it."""
-    x = licence.rstrip("+")
-    for known in sorted(RESTRICTS, key=len, reverse=True):
-        if x == known or x.startswith(known + "-"):
-            return known
-    return x
+@functools.lru_cache(1 << 12)
+def family(licence: str) -> str | None:
+    """The label of an identifier: versions of one family share it. None if it is no known licence."""
+    x = licence.lower().rstrip("+")
+    if x.startswith("licenseref-") and x != "licenseref-":
+        return x
+    return next((known for known in _BY_LENGTH if x == known or x.startswith(known + "-")), None)
 
 
-def evaluate(expression: str) -> tuple[list[str], float]:
+def evaluate(parts: list[str]) -> tuple[list[str], float]:
     """Labels of the licences named, and how much the whole restricts: the most of an and, the least of an or.
 
     An exception after with lowers its licence by 0.2.
     """
-    stack: list[tuple[list[str], float]] = []
-    for part in to_postfix(expression):
+    labels: list[str] = []
+    stack: list[float] = []
+    for part in to_postfix(parts):
         if part not in _RANK:
-            stack.append(([family(part)], RESTRICTS.get(family(part), 0.5)))
-            continue
-        (rl, rs), (ll, ls) = stack.pop(), stack.pop()
-        stack.append((ll, max(0.0, ls - 0.2)) if part == "with" else (ll + rl, max(ls, rs) if part == "and" else min(ls, rs)))
-    return stack[0]
-
-
-def _leading(text: str) -> str:
-    """The longest run of parts at the front that is an expression, so that prose after a tag does no harm."""
-    parts = _PART.findall(text)
-    for n in range(min(len(parts), 64), 0, -1):
-        try:
-            to_postfix(" ".join(parts[:n]))
-        except ValueError:
+            labels.append(family(part) or part)
+            stack.append(RESTRICTS.get(labels[-1], 0.5))
             continue
-        return " ".join(parts[:n])
-    return ""
+        right, left = stack.pop(), stack.pop()
+        if part == "with":
+            labels.pop()  # with binds tightest, so its exception is the operand read last
+        stack.append(max(0.0, left - 0.2) if part == "with" else max(left, right) if part == "and" else min(left, right))
+    return list(dict.fromkeys(labels)), stack[0]
+
+
+def leading(text: str) -> list[str]:
+    """The longest run of parts at the front that is an expression of known licences: prose after a tag does no harm.
+
+    One pass: it ends at the first part that cannot follow, or is neither a known licence nor, after with, an exception.
+    """
+    parts: list[str] = []
+    depth, operand, exception, whole = 0, True, False, 0
+    for m in _PART.finditer(text):
+        part = m[0]
+        low = part.lower()
+        if low in _RANK or part == ")":
+            if operand or part == ")" and not depth:
+                break
+            depth -= part == ")"
+            operand = exception = False
+            if part != ")":
+                operand, exception = True, low == "with"
+        elif not operand or part == "(" and exception:
+            break
+        elif part == "(":
+            depth += 1
+        elif not (_EXCEPTION.fullmatch(low) if exception else family(part)):
+            break
+        else:
+            operand = exception = False
+        parts.append(part)
+        if not operand and not depth:
+            whole = len(parts)
+    return parts[:whole]
 
 
 _built: list = []
@@ -132,8 +159,8 @@ def scan(text: str) -> tuple[int, list[tuple[str, str, bool, int]], list[tuple[s
         hits.append((phrase, label, phrase in BASE_PHRASES, seen))
     if tagged:
         for m in _EXPRESSION.finditer(text):
-            if e := _leading(m[1]):
-                expressions.append((e, *evaluate(e)))
+            if e := leading(m[1]):
+                expressions.append((" ".join(e), *evaluate(e)))
     hits.sort(key=lambda h: (h[3], h[0]))
     return len(words), hits, expressions
 

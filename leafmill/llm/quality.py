@@ -180,9 +180,13 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, strength: float = 1e-3) -> RuleEnse
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> RuleEnsemble:
-    """Fits on labelled rows outside the held-out fold, max_rows at most (by id hash); on one class or none, a constant."""
+    """Fits on labelled rows outside the held-out fold, max_rows at most (by id hash); on one class or none, a constant.
+
+    Of rows that repeat an id the least statistics are used, so the driver gets a row an id.
+    """
     rows = docs.select("doc_id", text).join(F.broadcast(training_sample(labels, label, max_rows)), "doc_id")
-    got = with_statistics(rows, text, keep=["doc_id", "label"]).toPandas().sort_values("doc_id")
+    got = with_statistics(rows, text, keep=["doc_id", "label"])
+    got = got.groupBy("doc_id", "label").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "label", "s.*").toPandas().sort_values("doc_id")
     return fit_arrays(got[list(STATS)].to_numpy(float), got["label"].to_numpy(float))
 
 

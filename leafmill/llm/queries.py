@@ -45,7 +45,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"], share=mixing.LONGER).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_ANY_CASE, Words, as_long, carry, mix, schema_with, slices, training_sample
+from .common import ALNUM_ANY_CASE, Words, as_long, carry, materialize, mix, schema_with, slices, training_sample
 
 #: Bounds of what is fitted: labelled rows, and words in the model, those of the largest z.
 MAX_ROWS, MAX_WORDS = 40_000, 20_000
@@ -122,11 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     """Fits on the labelled rows outside the held-out fold, max_rows of them at most (by id hash).
 
     Of texts of one label whose words are the same in the same order (copies, whatever their case and punctuation) one
-    is used, so that a group of copies does not make its words look telling; all others are. Without rows of both labels
-    the model finds nothing and every score is the share of toxic labels.
+    is used, so that a group of copies does not make its words look telling; all others are. Of rows that repeat an id
+    the least text is used. Without rows of both labels the model finds nothing and every score is the share of toxic
+    labels.
     """
     sample = F.broadcast(training_sample(labels, label, max_rows))
-    rows = docs.select("doc_id", text).join(sample, "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, "doc_id")
+    rows, text = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled"), "text"  # max_rows rows at most
 
     def keys(batches):
         for batch in batches:
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
                 t = np.bincount(back, weights=t, minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(u), pa.int64()), pa.array(t, pa.int64()), pa.array(n - t, pa.int64())], ["word", "t", "c"])
 
-    counts = rows.mapInArrow(count, "word bigint, t bigint, c bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = materialize(rows.mapInArrow(count, "word bigint, t bigint, c bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "word-counts")
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nt, nc = float(total["t"] or 0), float(total["c"] or 0)
     if not nt or not nc:
@@ -211,14 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
                 if mask.any():
                     w, found = _scan(arr.filter(pa.array(mask)), *shared.value)
                     sums = [[s for _, _, s in x] for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column(part.schema.get_field_index("label")).to_numpy()[mask], pa.int32()), pa.array(w.counts(), pa.int64()), pa.array([max(x, default=0.0) for x in sums], pa.float64()), pa.array([sorted(x)[-64:] for x in sums], pa.list_(pa.float64()))], ["label", "n", "best", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column(part.schema.get_field_index("label")).to_numpy()[mask], pa.int32()), pa.array(w.counts(), pa.int64()), pa.array([max(x, default=0.0) for x in sums], pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["label", "n", "best", "sums"])
 
-    tried = rows.mapInArrow(trial, "label int, n bigint, best double, sums array<double>").toPandas()
+    trials = materialize(rows.mapInArrow(trial, "label int, n bigint, best double, sums array<double>"), "trials")
+    tried = trials.select("label", "n", "best").toPandas()
     y, n, best = (tried[x].to_numpy(float) for x in ("label", "n", "best"))
     low = max(float(best[best > 0].min()) if (best > 0).any() else 1.0, 0.5)
     clean = y == 0
     model.k = float(((best[clean] >= low).sum() + 0.5) / max(1.0, (n[clean]).sum() * math.exp(-model.lam * low)))
-    _, many = _summary([[(0, 0, s) for s in x] for x in tried["sums"]], n, model)
+    bar = (F.log(F.lit(model.k) * F.greatest("n", F.lit(1))) - math.log(SIGNIFICANT)) / model.lam
+    tried = trials.select("label", "n", "best", F.size(F.filter("sums", lambda s: s >= bar)).alias("many")).toPandas()
+    y, n, best, many = (tried[x].to_numpy(float) for x in ("label", "n", "best", "many"))
     x = np.column_stack([np.ones(len(y)), model.surprise(best, n), np.log1p(many)])
     model.curve = tuple(float(v) for v in _logistic(x, y))
     return model

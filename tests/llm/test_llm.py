@@ -86,10 +86,10 @@ def test_pii_rows(spark):
 
 
 def test_licences(spark):
-    assert licenses.evaluate("MIT OR (Apache-2.0 AND GPL-3.0-only WITH Classpath-exception-2.0)") == (["mit", "apache-2.0", "gpl"], 0.1)
-    assert licenses.to_postfix("a or b and c") == ["a", "b", "c", "and", "or"]
+    assert licenses.evaluate(licenses.leading("MIT OR (Apache-2.0 AND GPL-3.0-only WITH Classpath-exception-2.0)")) == (["mit", "apache-2.0", "gpl"], 0.1)
+    assert licenses.to_postfix("a or b and c".split()) == ["a", "b", "c", "and", "or"]
     with pytest.raises(ValueError):
-        licenses.to_postfix("a and (b")
+        licenses.to_postfix("a and ( b".split())
     rng = random.Random(4)
     for _ in range(1500):
         words = [rng.choice(["cc", "by", "nc", "general", "public", "license", "all", "rights", "reserved", "é1"]) for _ in range(rng.randint(0, 20))]
@@ -97,7 +97,24 @@ def test_licences(spark):
         n, hits, _ = licenses.scan(t)
         want = sorted((i, p) for p in licenses.BASE_PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
         assert n == len(words) and sorted((w, p) for p, _, base, w in hits if base) == want
-    assert licenses.scan("SPDX-License-Identifier: MIT AND CC-BY-4.0 and more")[2] == [("MIT AND CC-BY-4.0 and more", ["mit", "cc-by", "more"], 0.5)]
+    of = lambda e: licenses.scan(f"SPDX-License-Identifier: {e}")[2]
+    assert of("MIT AND CC-BY-4.0 and more") == [("MIT AND CC-BY-4.0", ["mit", "cc-by"], 0.2)]
+    assert of("MIT and then some text") == [("MIT", ["mit"], 0.1)] and of("some text") == of("and MIT") == of("") == []
+    assert of("(MIT OR LicenseRef-x) with a dot") == [("( MIT OR LicenseRef-x )", ["mit", "licenseref-x"], 0.1)]
+    assert of("(MIT OR ISC") == [] and of("MIT) AND GPL-2.0") == [("MIT", ["mit"], 0.1)]
+    assert of("MIT OR " * 5000 + "GPL-2.0")[0][1:] == (["mit", "gpl"], 0.1)  # no limit on parts
+    for _ in range(3000):  # the longest valid run, by trying all
+        parts = [rng.choice(["mit", "ISC", "or", "AND", "with", "(", ")", "x-exception", "prose"]) for _ in range(rng.randint(0, 9))]
+
+        def valid(p):
+            try:
+                post = licenses.to_postfix(p)
+            except ValueError:
+                return False
+            after = [i > 0 and p[i - 1] == "with" for i in range(len(p))]
+            return bool(post) and all(x.lower() in (*licenses._RANK, "(", ")") and not (a and x == "(") or (x == "x-exception") == a and x != "prose" for x, a in zip(p, after))
+
+        assert licenses.leading(" ".join(parts)) == parts[: max((n for n in range(len(parts) + 1) if valid(parts[:n])), default=0)], parts
     assert licenses.digest(licenses.scan_licenses(odd(spark))).count() == len(ODD)
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
@@ -105,7 +122,7 @@ def test_licences(spark):
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     bits = [*chat.CONTROL, "\\", "\\\\", "<", "[", "/", "x", "\n", " ", "s>", "INST]", "é"]
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "a<s>b", None]), rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))) for c in range(120) for t in range(rng.randint(1, 6))]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "a<s>b", "us\ner", "\\n\n\\", "assistant\n", None]), rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))) for c in range(120) for t in range(rng.randint(1, 6))]
     rows += [(7, 0, "user", "dup"), (7, 0, "user", "dup"), (None, 0, "user", "n")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     out = chat.format_chat(df).withColumn("back", chat.read_back(F.col("formatted"))).collect()
@@ -117,6 +134,9 @@ def test_chat_round_trip(spark):
         assert r.n_turns == len(want[r.conv_id])
         assert all(a.role != b.role for a, b in zip(r.blocks, r.blocks[1:]))
     assert chat.format_chat(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", LONG * 20), (1, 1, "assistant", "[INST]\\" * 200000)], "conv_id long, turn long, role string, text string")
+    row = chat.format_chat(long).withColumn("back", chat.read_back(F.col("formatted"))).first()
+    assert [tuple(x) for x in row.back] == [("user", LONG * 20), ("assistant", "[INST]\\" * 200000)]
 
 
 def test_mixing(spark):
@@ -146,6 +166,37 @@ def test_mixing(spark):
     for s, rs in by.items():
         assert abs(rs[0].target - target[s]) < 1e-6 * total and abs(sum(r.taken for r in rs) - target[s]) <= 2
     assert mixing.mix_sources(odd(spark)).count() == len(ODD) and mixing.mix_sources(empty(spark)).count() == 0
+    by_length = mixing.mix_sources(odd(spark, rows), share=mixing.LONGER).collect()
+    for s in by:
+        own = [r for r in by_length if r.source == s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 2 and all(r.copies <= 3 for r in own)
+    # Repeated rows: as many as fit, whoever asks; null ids are drawn by their texts.
+    same = [(None, f"{i} " * 30, "en", "a", 0) for i in range(50)] + [(7, "x " * 10, "en", "a", 0)] * 500 + [(i, "y " * 100, "en", "b", 0) for i in range(100, 400)]
+    runs = [sorted((r.doc_id or 0, r.text, r.copies) for r in mixing.mix_sources(odd(spark, same).repartition(n), weights=(1, 5)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    half = mixing.mix_sources(odd(spark, same), weights=(1, 10)).where("source = 'a'").agg(F.sum("taken"), F.max("target")).first()
+    assert abs(half[0] - half[1]) <= 30
+
+
+def test_mixing_draws_in_proportion(spark):
+    """Over many sources alike, a document is taken as often as its share makes due."""
+    sizes, n = [20] * 60 + [80] * 40, 50
+    rows = [(1000 * s + i, "w " * size, "en", f"{s:03}a", 0) for s in range(n) for i, size in enumerate(sizes)] + [(1000 * s + 500 + i, "w " * 50, "en", f"{s:03}b", 0) for s in range(n) for i in range(100)]
+    got = mixing.mix_sources(odd(spark, rows), keep=["doc_id", "source"], share=mixing.LONGER, weights=(1, 3)).where("endswith(source, 'a')").collect()
+    taken = np.zeros(len(sizes))
+    for r in got:
+        taken[r.doc_id % 1000] += r.copies / n
+    share = np.array([1 + np.floor(np.log2(x + 1)) for x in sizes])
+    due = got[0].target * share / (share * sizes).sum()
+    assert 0 < due.max() < 1
+    for x in (20, 80):
+        some = np.array(sizes) == x
+        assert abs(taken[some].mean() - due[some][0]) < 0.05
+    assert np.abs(taken - due).max() < 0.3
+    words = {}
+    for r in got:
+        words[r.source] = words.get(r.source, 0) + r.taken
+    assert all(abs(w - got[0].target) <= 20 for w in words.values())
 
 
 def classes(docs, k=5, num=80, den=100):
@@ -213,6 +264,46 @@ def test_forest_recall(spark, monkeypatch):
     assert all(got[i].component_id == 0 for i in range(300) if near[i, 0])
 
 
+def test_forest_on_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, n_links string, m long, leaf string, part long"
+    table = lambda rows: spark.createDataFrame([(i, v, "x", 1, "y", 2) for i, v in rows], schema)
+    assert forest.near_duplicates(table([])).count() == 0
+    assert [tuple(r) for r in forest.near_duplicates(table([(1, None), (None, None)])).orderBy("vec_id").collect()] == [(None, 0, None, True), (1, 0, 1, True)]
+    rows = [(0, [1.0, 2.0])] + [(i, [1.0, 2.0, 3.0]) for i in range(1, 6)] + [(6, [2.0, 4.0, 6.0]), (7, []), (8, [1e-30, 2e-30, 3e-30]), (9, [-1.0, -2.0, -3.0]), (1, [1.0, 2.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(table(rows)).collect()}
+    assert got == {0: (0, 0, True), 1: (6, 1, True), **{i: (6, 1, False) for i in (2, 3, 4, 5, 6, 8)}, 7: (0, 7, True), 9: (0, 9, True)}
+
+
+def test_forest_balls_and_copies(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((900, 16))
+    x[:300] = x[0]  # copies
+    x[300:600] = x[300] + 0.05 * rng.standard_normal((300, 16))  # near copies: a ball
+    x[600:640] = x[300] + 0.45 * rng.standard_normal((40, 16))  # around it
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in forest.near_duplicates(rows).collect()}
+    assert [got[i].n_links for i in range(900)] == near.sum(1).tolist()
+    assert all(got[i].component_id == min(np.flatnonzero(near[i]).tolist() + [i]) for i in range(600))
+
+
+@pytest.mark.parametrize("n", [5_000, 20_000, 80_000])
+def test_forest_recall_at_sizes(n):
+    """Planted pairs of cosine 0.9 to 0.95 that share a leaf; the copies of a vector grow slower than a root of the size."""
+    rng = np.random.default_rng(n)
+    x = forest.unit(rng.standard_normal((n, 64)))
+    k = n // 20
+    c, z = rng.uniform(0.9, 0.95, (k, 1)), rng.standard_normal((k, 64))
+    z = forest.unit(z - (z * x[:k]).sum(1, keepdims=True) * x[:k])
+    x[k : 2 * k] = c * x[:k] + np.sqrt(1 - c * c) * z
+    trees = forest.fit(x[rng.permutation(n)[: forest.SAMPLE]], n, 0.9)
+    (ra, la), (rb, lb) = trees.assign(x[:k]), trees.assign(x[k : 2 * k])
+    met = np.unique(np.intersect1d(ra * trees.leaves + la, rb * trees.leaves + lb) // trees.leaves)
+    assert len(met) >= 0.9 * k
+    assert len(trees.assign(x[:2000])[0]) <= 2000 * 4 * (n / 5_000) ** 0.4
+
+
 def test_decontamination(spark):
     rng = random.Random(10)
     words = [f"v{i}" for i in range(3000)] + ["the", "and"] * 400
