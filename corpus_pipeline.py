@@ -38,7 +38,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the copies of each that the mixture takes."""
-    return mixing.mix_sources(docs, keep=list(COLUMNS))
+    return mixing.mix_sources(docs, keep=list(COLUMNS), share=mixing.LONGER)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("pii", redact_pii), ("mixing", mix)]

@@ -8,10 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a local folder only where that is unset and there is one process, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     d = d or spark.conf.get("leafmill.shared.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("leafmill.shared.dir", d)  # spark.checkpoint.dir cannot be set in a running session
     return d
