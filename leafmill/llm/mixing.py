@@ -35,8 +35,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: flo
     up = Window.partitionBy(F.lit(0)).orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     left = F.sum("source_size").over(every) - (F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("most"))
     s = s.withColumn("level", left / F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", F.min(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.struct(F.col("most") / F.col("weight"), "level"))).over(every)["level"])
-    return s.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))).drop("most", "level")
+    s = s.withColumn("nth", F.row_number().over(up))  # of sources that stop at one level, only the first tells it
+    s = s.withColumn("level", F.min(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.struct("nth", "level"))).over(every)["level"])
+    return s.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))).drop("most", "level", "nth")
 
 
 def _levels(classes: DataFrame, cap: float) -> DataFrame:
@@ -77,7 +78,7 @@ def mix_sources(
     rows = rows.select(F.struct(*kept).alias("row"), F.col(source).alias("source"), "size", F.greatest(F.coalesce(of.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"), hashed.alias("tie"))
     rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "mix")
 
-    classes = materialize(rows.groupBy("source", "share").agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "mix-classes")
+    classes = rows.groupBy("source", "share").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     src = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), weights, cap)
     per = classes.join(src.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
     level = _levels(per, float(cap)).withColumnRenamed("source", "s")
@@ -103,27 +104,29 @@ def mix_sources(
     own = Window.partitionBy("source")
     bins = bins.withColumn("rest", F.col("target") - F.sum("certain").over(own)).withColumn("upto", F.sum("words").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     edge = bins.groupBy("source").agg(F.min(F.when(F.col("bin").isNotNull() & (F.col("upto") > F.col("rest")), F.struct("bin", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("gap")))).alias("edge"))
-    edge = materialize(edge.select("source", F.col("edge.bin").alias("edge_bin"), F.col("edge.gap").alias("gap")), "mix-edges")
+    edge = edge.select("source", F.col("edge.bin").alias("edge_bin"), F.col("edge.gap").alias("gap"))
 
     # In that bin, in order of rank, each document is taken that still fits: a fold over about BIN_ROWS sizes. Repeated
-    # rows are one entry with their number, as many of them are taken as fit.
-    inside = told(small, edge).where("bin = edge_bin").groupBy("source", "rank", "tie", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
-    fits = lambda a, x: F.least(x["n"], F.floor(a["left"] / x["size"])).cast("long")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("rank", "tie", "size", "n"))), F.struct(F.first("gap").cast("double").alias("left"), F.array().cast("array<struct<tie:bigint,n:bigint,some:bigint>>").alias("got")),
-        lambda a, x: F.struct(
-            (a["left"] - fits(a, x) * x["size"]).alias("left"), F.when(fits(a, x) > 0, F.array_append(a["got"], F.struct(x["tie"].alias("tie"), x["n"].alias("n"), fits(a, x).alias("some")))).otherwise(a["got"]).alias("got")
-        ),
-        lambda a: a["got"],
-    )
-    got = materialize(inside.groupBy("source").agg(fold.alias("got")), "mix-taken")
+    # rows are one entry, as many of them are taken as fit, those of the smallest keys.
+    inside = told(small, edge).where("bin = edge_bin").groupBy("source", "edge_bin", "rank", "tie", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    start = F.struct(F.first("gap").cast("double").alias("left"), F.array().cast("array<struct<tie:bigint,n:bigint,some:bigint>>").alias("got"))
+
+    def take(a: Column, x: Column) -> Column:
+        some = F.least(x["n"], F.floor(a["left"] / x["size"])).cast("long")
+        return F.struct((a["left"] - some * x["size"]).alias("left"), F.array_append(a["got"], F.struct(x["tie"].alias("tie"), x["n"].alias("n"), some.alias("some"))).alias("got"))
+
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("rank", "tie", "size", "n"))), start, take, lambda a: F.filter(a["got"], lambda g: g["some"] > 0))
+    got = materialize(inside.groupBy("source", "edge_bin").agg(fold.alias("got")), "mix-taken")
+    edge = got.select("source", "edge_bin", F.transform("got", lambda g: g["tie"]).alias("ties"))
     # Of repeated rows of which some are taken, those up to a key: a sort of their keys alone.
     some = got.select(F.col("source").alias("of_source"), F.explode("got").alias("g")).where("g.some < g.n").select("of_source", F.col("g.tie").alias("of_tie"), F.col("g.some").alias("some"))
-    keys = small.join(some, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("tie") == F.col("of_tie")))
-    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("source", "tie").orderBy("key"))).where("nth = some").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("tie", "key"))).alias("upto"))
-    whole = got.select("source", F.transform("got", lambda g: g["tie"]).alias("ties"))
-    out = told(told(told(ranked(rows), edge), whole), keys)
-    chosen = F.array_contains("ties", F.col("tie")) & (F.coalesce(F.try_element_at("upto", F.col("tie")), F.col("key")) >= F.col("key"))
+    if some.isEmpty():
+        out, upto = told(ranked(rows), edge), F.col("key")
+    else:
+        keys = rows.select("source", "tie", "key").join(some, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("tie") == F.col("of_tie")))
+        keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("source", "tie").orderBy("key"))).where("nth = some").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("tie", "key"))).alias("upto"))
+        out, upto = told(told(ranked(rows), edge), keys), F.coalesce(F.try_element_at("upto", F.col("tie")), F.col("key"))
+    chosen = F.array_contains("ties", F.col("tie")) & (upto >= F.col("key"))
     more = F.when(F.col("bin").isNull(), 0).when(F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")), 1).when((F.col("bin") == F.col("edge_bin")) & chosen, 1).otherwise(0)
     out = out.withColumn("copies", (F.col("whole") + more).cast("long"))
     return out.select(*(F.col("row")[c].alias(c) for c in kept), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
