@@ -226,14 +226,14 @@ def _compare(pdf, threshold: float):
 
 def build(classes: DataFrame, threshold: float, sample: int, leaf: int, meet: float) -> dict[int, Forest]:
     """A forest for each length of the vectors v of classes that the sample holds, fitted on its share of the sample."""
-    drawn = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.transform("v", lambda e: e.cast("double")).alias("v")).toPandas()["v"]
-    by: dict[int, list] = {}
-    for v in drawn:
-        by.setdefault(len(v), []).append(v)
+    drawn = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()  # compact, unlike rows
+    values, size = drawn.flatten().to_numpy(zero_copy_only=False), np.diff(drawn.offsets.to_numpy())
+    start = np.cumsum(size) - size
+    by = {d: values[start[size == d][:, None] + np.arange(d)] for d in np.unique(size).tolist()}
     totals = {r.d: r.n for r in classes.where(F.size("v").isin(list(by))).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row a length in the sample
     out, base = {}, 0
     for dim, own in sorted(by.items()):
-        out[dim] = fit(unit(np.array(own, np.float64)), totals[dim], threshold, leaf, meet, base)
+        out[dim] = fit(unit(own), totals[dim], threshold, leaf, meet, base)
         base += out[dim].leaves
     return out
 

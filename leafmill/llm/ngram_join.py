@@ -23,8 +23,9 @@ from .common import NOT_SPACE, Words, as_long, bucket_totals, components, lists,
 
 #: The global order counts shingles in 2**ORDER_BITS buckets; any order is right, rare-first makes few candidates.
 ORDER_BITS = 20
-#: Buckets of the filter that spares most texts a look when sets are fetched; what passes is joined exactly.
-FILTER_BITS = 20
+#: Bits of the filter that spares most texts a look when sets are fetched, sixteen a document asked for within these
+#: bounds (16 MB at most); what passes is joined exactly.
+FILTER_BITS = (20, 27)
 #: Rounds against pivots go on while more pairs than this a posting are left and each round at least halves them. A
 #: round reads all texts and postings anew, which costs as much as holding some such number of pairs a posting against
 #: the filters.
@@ -159,18 +160,18 @@ class JaccardJoin:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, set): whole sets of the documents ids (rep), computed again from their texts, and of a few others.
 
-        A bit for each id's hash goes to all tasks, 2**FILTER_BITS bits at any number of ids; joins with the result
-        drop what passes by chance.
+        A bit for each id's hash goes to all tasks; joins with the result drop what passes by chance.
         """
         k = self.k
+        bits_used = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * ids.count()).bit_length()))
 
         def place(doc_id: str) -> F.Column:
-            return F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long")), 64 - FILTER_BITS)
+            return F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long")), 64 - bits_used)
 
         at = ids.select((place("rep") + 1).alias("at"))
         maps = at.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-        bits = bytearray((1 << FILTER_BITS) // 8)
-        for row in maps.collect():  # at most 2**FILTER_BITS bits
+        bits = bytearray((1 << bits_used) // 8)
+        for row in maps.collect():  # at most 2**bits_used bits
             bits[(row.block - 1) * len(row.bits) : row.block * len(row.bits)] = row.bits
         shared = self.docs.sparkSession.sparkContext.broadcast(bytes(bits))
 

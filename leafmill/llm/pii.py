@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import carry, schema_with, slices
 
 #: Kinds in the order of results. The first four are the base; a base span that passes its check always stays.
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "national_id")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "national_id", "secret")
 BASE = KINDS[:4]
 
 # No pattern starts inside a run that its own first element could have started: each text is scanned in linear time.
@@ -24,15 +24,18 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _LOCAL_PHONE = re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+#: A value that is set, and the names that make it a secret.
+_SET = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_~-]{16,}=*)")
+_SECRET_NAME = re.compile(r"(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,3}$", re.I)
 
 #: Chances before context, and words within CONTEXT characters before a span that raise or lower them.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.6, "national_id": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.6, "national_id": 0.4, "secret": 0.7}
 FOR = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "pay", "credit"),
     "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "bank", "account"), "local_phone": ("phone", "tel", "call", "mobile", "fax"),
-    "national_id": ("ssn", "social", "security", "id"),
+    "national_id": ("ssn", "social", "security", "id"), "secret": ("token", "key", "auth", "login", "bearer"),
 }
-AGAINST = {"ip": ("version", "release", "section"), "card": ("order", "serial", "isbn", "tracking"), "phone": ("offset", "range"), "national_id": ("part", "model")}
+AGAINST = {"ip": ("version", "release", "section"), "card": ("order", "serial", "isbn", "tracking"), "phone": ("offset", "range"), "national_id": ("part", "model"), "secret": ("example", "placeholder")}
 CONTEXT, RAISE, LOWER, LEAST = 40, 0.2, 0.3, 0.5
 _WORD = re.compile(r"[a-z]+")
 
@@ -74,6 +77,14 @@ def _passing(pattern: re.Pattern, ok):
     return lambda t: ((m.start(), m.end()) for m in pattern.finditer(t) if ok(m[0]))
 
 
+def _secrets(t: str):
+    """Values of named secrets: letters and digits mixed, no run of few characters."""
+    for m in _SET.finditer(t):
+        v = m[1]
+        if len(set(v)) >= 8 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and _SECRET_NAME.search(t, max(0, m.start() - 24), m.start()):
+            yield m.start(1), m.end(1)
+
+
 _FIND = {
     "email": _emails,
     "ip": _passing(_IP, lambda s: all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in s.split("."))),
@@ -82,6 +93,7 @@ _FIND = {
     "iban": _passing(_IBAN, mod97),
     "local_phone": _passing(_LOCAL_PHONE, lambda s: True),
     "national_id": _passing(_NATIONAL_ID, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
+    "secret": _secrets,
 }
 
 
@@ -94,7 +106,8 @@ def _score(kind: str, t: str, start: int) -> float:
 def find(t: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as listed, then start; code points, end exclusive.
 
-    Added kinds need a score of LEAST; spans of added kinds that overlap a base span are left out.
+    Added kinds need a score of LEAST; spans of added kinds that overlap a base span are left out, but for secrets, of
+    which no part may stay when a text is redacted.
     """
     has_digit = _DIGIT.search(t) is not None
     out, taken = [], []
@@ -105,7 +118,7 @@ def find(t: str) -> list[tuple[str, int, int, float]]:
             p = _score(kind, t, s)
             if kind in BASE:
                 taken.append((s, e))
-            elif p < LEAST or any(s < b and a < e for a, b in taken):
+            elif p < LEAST or kind != "secret" and any(s < b and a < e for a, b in taken):
                 continue
             out.append((kind, s, e, p))
     return out
@@ -160,4 +173,5 @@ def digest(found: DataFrame) -> DataFrame:
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )

@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     Of texts of one label whose words are the same in the same order (copies, whatever their case and punctuation) one
     is used, so that a group of copies does not make its words look telling; all others are. Of rows that repeat an id
-    the least text is used. Without rows of both labels the model finds nothing and every score is the share of toxic
-    labels.
+    the least text is used. Without rows of both labels the model finds nothing and every score is about the share of toxic
+    labels, 0 where there are none.
     """
     sample = F.broadcast(training_sample(labels, label, max_rows))
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, "doc_id")
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     got = rows.mapInArrow(keys, "doc_id bigint, label int, same bigint, too bigint").toPandas()
     got = got.sort_values("doc_id").drop_duplicates(["label", "same", "too"])
-    share = float(got["label"].mean()) if len(got) else 0.5
+    share = float(got["label"].mean()) if len(got) else 0.0
     flat = Toxicity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
     if got["label"].nunique() < 2:
         return flat

@@ -80,6 +80,9 @@ def test_pii_base_equals_plain_patterns():
 
 def test_pii_rows(spark):
     assert [x[0] for x in pii.find("IBAN DE89370400440532013000 or DE89370400440532013001")] == ["iban"]
+    secret = 'x API_KEY: "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'
+    assert [x[0] for x in pii.find(secret)] == ["secret"] and pii.redact(secret, pii.find(secret)) == 'x API_KEY: "[SECRET]" y'
+    assert pii.find("token = aaaaaaaaaaaaaaaaaaaa1 commit: 04dbebab91ab85687d33eeaaf9ac699e1188f962") == []
     assert pii.redact("call +49 30 1234567 now", pii.find("call +49 30 1234567 now")) == "call [PHONE] now"
     assert pii.find_pii(odd(spark), redacted="clean").count() == len(ODD)
     assert pii.digest(pii.find_pii(empty(spark))).count() == 0
@@ -469,5 +472,26 @@ def test_pipeline(spark):
     assert abs(sum(r.taken for r in rows) - sum(r["size"] for r in rows)) < 0.05 * sum(r["size"] for r in rows)
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, empty and long texts, clashing columns; then no rows at all."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"u{rng.randrange(5000)}" for _ in range(n))
+    item, twice = text(30), text(50)
+    rows = [*ODD, (None, twice, "en", "s", 1), (None, twice, "en", "s", 1), (70, twice, "fr", None, 2), (71, text(40), "en", "s", 3), (71, text(40), "en", "t", 3), (None, f"{text(20)} {item} {text(20)}", "en", "s", 4)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in cp.run(spark, str(tmp_path)).collect())
+    want = [(False, 1, 0), (False, 2, 0), (False, 3, 3), (False, 4, len(LONG)), (False, 5, 4), (False, 70, len(twice)), *sorted((False, 71, len(r[1])) for r in rows if r[0] == 71), (True, 0, 3)]
+    assert got == want
+    (tmp_path / "none").mkdir()
+    for name, df in (("benchmark", bench.limit(0)), ("labels", labels(spark)), ("documents", empty(spark))):
+        df.write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_shingles_hash(spark):
     assert hashlib.sha256(b"").hexdigest() == pii.digest(pii.find_pii(odd(spark))).where("doc_id = 1").first()["base_sha256"]
