@@ -19,10 +19,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that shingle similarity connects, the one of the smallest id; of repeated rows, one."""
-    groups = JaccardJoin(docs).documents().where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(groups, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each group of rows that shingle similarity connects, the one of the smallest id (a null id last).
+
+    Rows get a key of their own, so those of a null or repeated id are judged like any other: repeated rows are copies,
+    rows of one id and different texts are different documents. Texts without words link with nothing and stay.
+    """
+    keyed = materialize(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    groups = JaccardJoin(keyed.select(F.col("key").alias("doc_id"), "text")).documents().select(F.col("doc_id").alias("key"), "component_id")
+    grouped = materialize(groups.join(keyed.select("key", "doc_id"), "key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))["key"]
+    kept = grouped.groupBy("component_id").agg(first.alias("stays"))
+    gone = grouped.join(kept, "component_id").where("key <> stays").select("key")
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
