@@ -253,35 +253,46 @@ def heavy_bound(edges: int) -> int:
     return max(64, 2 * edges // HEAVY_NODES)
 
 
-def _lowest(sym: DataFrame, bound: int) -> DataFrame:
-    """Edges (a, b) with m, the smallest of a and its neighbours.
+def _state(sym: DataFrame) -> tuple[int, int, int]:
+    """(edges, a checksum of them, the largest degree) of edges (a, b)."""
+    per = sym.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h"))
+    row = per.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0
+
+
+def _lowest(sym: DataFrame, edges: int, most: int) -> DataFrame:
+    """Edges (a, b) with m, the smallest of a and its neighbours. edges: how many there are; most: the largest degree.
 
     The minimum is a partial aggregate. A heavy node, the centre of a star, would bring all its edges to one task of the
-    join: the minima of the heavy nodes are broadcast instead, HEAVY_NODES at most, and only the others are joined.
+    join: the minima of the heavy nodes are broadcast instead, HEAVY_NODES at most, and their edges go where b hashes to.
     """
     low = sym.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "degree")
-    heavy = F.broadcast(low.where(F.col("degree") > bound).select("u", "m"))
+    bound = heavy_bound(edges)
+    if most <= bound:
+        return sym.join(low, F.col("a") == F.col("u")).select("a", "b", "m")
+    heavy = F.broadcast(low.where(F.col("degree") > bound).select(F.col("u").alias("hu"), F.col("m").alias("hm")))
     light = low.where(F.col("degree") <= bound).select("u", "m")
-    at = F.col("a") == F.col("u")
-    return sym.join(heavy, at).select("a", "b", "m").unionAll(sym.join(heavy, at, "left_anti").join(light, at).select("a", "b", "m"))
+    marked = sym.join(heavy, F.col("a") == F.col("hu"), "left").withColumn("at", F.when(F.col("hm").isNull(), F.col("a")).otherwise(F.col("b")))
+    return marked.join(light, F.col("at") == F.col("u"), "left").select("a", "b", F.coalesce("hm", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star steps; no neighbour list is ever gathered and the edges of a star are not
-    brought together. Edges of each round are written to the shared folder. Null ends and loops are left out.
+    brought together. Edges of each step are written to the shared folder. Null ends and loops are left out.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-    before = state()
+    both = lambda: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    before = _state(both())
     while before[0]:
-        bound = heavy_bound(before[0])
-        large = _lowest(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), bound).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = _lowest(large, bound).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
+        large = _lowest(both(), before[0], before[2]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large, "large")
+        n, _, most = _state(large)
+        small = _lowest(large, n, most).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
         e = materialize(small.where("a != b").distinct(), "edges")
-        now = state()
+        now = _state(both())
         if now == before:
             break
         before = now

@@ -26,10 +26,11 @@ ORDER_BITS = 20
 #: Bits of the filter that spares most texts a look when sets are fetched, sixteen a document asked for within these
 #: bounds (16 MB at most); what passes is joined exactly.
 FILTER_BITS = (20, 27)
-#: Rounds against pivots go on while more pairs than this a posting are left and each round at least halves them. A
-#: round reads all texts and postings anew, which costs as much as holding some such number of pairs a posting against
-#: the filters.
+#: A shingle goes on against pivots while more pairs than this a posting of its own are apart; below, its pairs are all
+#: enumerated. All are where a turn leaves more than nine tenths of the pairs, as pivots then do not help.
 PAIRS_PER_ROW = 64
+#: Pivots of a shingle in each turn but the first: in a loose group a single one links with some of the others only.
+PIVOTS = 8
 #: Parts of the hash range whose counts the suffix filter compares.
 PARTS = 16
 
@@ -212,10 +213,11 @@ class JaccardJoin:
         return self.verify(materialize(self._apart(self.postings.withColumn("label", F.col("rep"))), "pairs"))
 
     def _pivots(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each gram's documents with its pivot, the one whose label comes first in this turn's order."""
-        key = F.col("label") if turn == 0 else F.xxhash64("label", F.lit(turn))
-        top = rows.groupBy("gram").agg(F.min(F.struct(key.alias("key"), "label", "rep", "n", "pos")).alias("p"), F.max("label").alias("hi"), F.min("label").alias("lo"))
-        top = top.where("lo < hi").select(F.col("gram").alias("g"), "p")
+        """Pairs of each gram's documents with its pivots: those first in this turn's orders of labels, then of documents."""
+        orders = [(F.xxhash64("label", F.lit(turn * PIVOTS + i)), F.xxhash64("rep", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)] if turn else [(F.col("label"), F.col("rep"))]
+        first = F.array(*(F.min(F.struct(k.alias("key"), r.alias("then"), "label", "rep", "n", "pos")) for k, r in orders))
+        top = rows.groupBy("gram").agg(first.alias("p"), F.max("label").alias("hi"), F.min("label").alias("lo"))
+        top = top.where("lo < hi").select(F.col("gram").alias("g"), F.explode("p").alias("p"))
         c = F.col
         met = rows.join(top, c("gram") == c("g")).where((c("label") != c("p.label")) & _may_link(c("n"), c("pos"), c("p.n"), c("p.pos"), self.num, self.den))
         return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
@@ -225,15 +227,21 @@ class JaccardJoin:
         rows = self.postings.withColumn("label", F.col("rep"))
         done = found = before = None
         for turn in itertools.count():
-            last = False
-            if turn:
+            if not turn:
+                new, last = self._pivots(rows, 0), False
+            else:
                 per = rows.groupBy("gram", "label").agg(F.count("*").cast("double").alias("m")).groupBy("gram").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("left"), F.sum("m").alias("m"))
-                left, size = per.agg(F.sum("left"), F.sum("m")).first()
-                if not left:
+                per = materialize(per.where("left > 0").withColumn("many", F.col("left") > PAIRS_PER_ROW * F.col("m")), "apart")
+                every, left = per.agg(F.count("*"), F.sum(F.when(F.col("many"), F.col("left")))).first()
+                if not every:
                     break
-                last = left <= PAIRS_PER_ROW * size or (before is not None and 2 * left > before)
+                last = left is None or before is not None and left > 0.9 * before
                 before = left
-            new = self._apart(rows) if last else self._pivots(rows, turn)
+                own = lambda grams: rows.join(grams.select("gram"), "gram", "left_semi")  # noqa: E731, B023
+                new = self._apart(own(per) if last else own(per.where("not many")))
+                if not last:
+                    rows = materialize(own(per.where("many")), "labels")
+                    new = new.unionByName(self._pivots(rows, turn)).distinct()
             new = materialize(new if done is None else new.join(done, ["a", "b"], "left_anti"), "pairs")
             links = materialize(self.verify(new), "links")
             found = links if found is None else found.unionByName(links)
@@ -241,7 +249,7 @@ class JaccardJoin:
                 break
             done = new if done is None else done.unionByName(new)
             label = components(found)
-            rows = materialize(self.postings.join(label, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("label")), "labels")
+            rows = materialize(rows.drop("label").join(label, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("label")), "labels")
         return found
 
     def documents(self) -> DataFrame:

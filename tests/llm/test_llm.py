@@ -215,7 +215,7 @@ def classes(docs, k=5, num=80, den=100):
     return sets, links, root
 
 
-def test_ngram_join(spark):
+def test_ngram_join(spark, monkeypatch):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     base = [[rng.choice(words) for _ in range(rng.choice([1, 4, 6, 30, 80]))] for _ in range(12)]
@@ -234,6 +234,8 @@ def test_ngram_join(spark):
     assert {i: r.component_id for i, r in got.items()} == root
     own = {i: r.class_id for i, r in got.items()}
     assert {(r.a, r.b) for r in join.pairs().collect()} == {(a, b) for a, b in ((min(own[a], own[b]), max(own[a], own[b])) for a, b in links) if a != b}
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 1)  # more turns against pivots
+    assert {r.doc_id: r.component_id for r in ngram_join.JaccardJoin(df).documents().collect()} == root
     few = ngram_join.JaccardJoin(odd(spark)).documents().collect()
     assert len(few) == len(ODD) and ngram_join.JaccardJoin(empty(spark)).documents().count() == 0
 
