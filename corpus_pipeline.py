@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     grouped = materialize(groups.join(keyed.select("key", "doc_id"), "key"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))["key"]
     kept = grouped.groupBy("component_id").agg(first.alias("stays"))
-    gone = grouped.join(kept, "component_id").where("key <> stays").select("key")
+    gone = grouped.select("key").join(kept.select(F.col("stays").alias("key")), "key", "left_anti")
     return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
