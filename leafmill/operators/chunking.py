@@ -118,26 +118,24 @@ def transcript_chunks(segments: DataFrame, key: str = "doc_id", seconds: float =
 
 
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most size characters, cut at the first separator that helps, each led by the end of the one before.
+    """Pieces of about size characters, cut at the first separator that helps, each led by the end of the one before.
 
-    A separator is put back after every piece, those cut finer included, so some appear twice.
+    Empty parts go. At each level every piece but the last gets the separator back, pieces cut finer included, so
+    some gain several. Pieces are stripped; a separator and the overlap may take one past size.
     """
     def cut(t: str, level: int) -> list[str]:
-        if len(t) <= size:
-            return [t]
-        sep = separators[level]
-        if sep == "":
-            return [t[i : i + size] for i in range(0, len(t), size)]
-        return [q + sep for p in t.split(sep) for q in (cut(p, level + 1) if len(p) > size else [p])]
+        sep, pieces = separators[level], []
+        for p in filter(None, t.split(sep) if sep else t):
+            pieces += [p] if len(p) <= size or level + 1 == len(separators) else cut(p, level + 1)
+        return [p + sep for p in pieces[:-1]] + pieces[-1:]
 
     out, own = [], ""
     for piece in cut(text, 0):
         if own and len(own) + len(piece) > size:
             out.append(own.strip())
-            own = own[-overlap:] if overlap else ""
+            own = own[-overlap:] if overlap > 0 else ""
         own += piece
-    out.append(own.strip())
-    return [p for p in out if p]
+    return out + ([own.strip()] if own.strip() else [])
 
 
 def split_characters(docs: DataFrame, size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:

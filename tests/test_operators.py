@@ -113,6 +113,9 @@ def test_splitter_keeps_every_word():
         parts = chunking.split_text(t, 40, 0)
         assert "".join("".join(parts).split()) == "".join(t.split())
         assert all(len(p) <= 42 for p in parts)
+    first, second = chunking.split_text("x" * 600 + "\n\n\n\n" + "y" * 600, 1000, 200)
+    assert first == "x" * 600 and second == "x" * 198 + "\n\n" + "y" * 600  # no empty part between the line feeds
+    assert chunking.split_text("", 10, 2) == []
 
 
 def test_sources(spark, tmp_path):
