@@ -213,9 +213,16 @@ class JaccardJoin:
         return self.verify(materialize(self._apart(self.postings.withColumn("label", F.col("rep"))), "pairs"))
 
     def _pivots(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each gram's documents with its pivots: those first in this turn's orders of labels, then of documents."""
-        orders = [(F.xxhash64("label", F.lit(turn * PIVOTS + i)), F.xxhash64("rep", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)] if turn else [(F.col("label"), F.col("rep"))]
-        first = F.array(*(F.min(F.struct(k.alias("key"), r.alias("then"), "label", "rep", "n", "pos")) for k, r in orders))
+        """Pairs of each gram's documents with its pivots.
+
+        A document whose place of the gram is low has few shingles rarer than it: the middle of a group of edited copies
+        rather than one of the copies. So the first turn takes the lowest place, whatever the ids; further turns the
+        labels that come first in orders of their own, and of those the lowest place or, every other time, any document.
+        """
+        seeds = [F.lit(turn * PIVOTS + i) for i in range(PIVOTS)]
+        orders = [(F.xxhash64("label", x), F.xxhash64("rep", x) if i % 2 else F.struct("pos", "rep")) for i, x in enumerate(seeds)] if turn else [(F.col("pos"), F.col("rep"))]
+        row = ("label", "rep", "n", "pos")
+        first = F.array(*(F.struct(*(F.min(F.struct(k.alias("key"), r.alias("then"), *row))[x].alias(x) for x in row)) for k, r in orders))
         top = rows.groupBy("gram").agg(first.alias("p"), F.max("label").alias("hi"), F.min("label").alias("lo"))
         top = top.where("lo < hi").select(F.col("gram").alias("g"), F.explode("p").alias("p"))
         c = F.col
