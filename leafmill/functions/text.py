@@ -169,3 +169,19 @@ def sentences(text: Column) -> Column:
 
 def is_numeric_cell(s: Column) -> Column:
     return F.regexp_replace(s, r"[\s$€£%(),]", "").rlike(r"^[-+]?\d+(\.\d+)?$")
+
+
+def percent_decode(s: Column) -> Column:
+    """Each % and two hexadecimal digits as the byte they name; all else stays, + too. Bytes that are no UTF-8 become U+FFFD."""
+    parts = F.regexp_extract_all(s, F.lit("((?s)%[0-9A-Fa-f]{2}|[^%]+|%)"), F.lit(1))
+    codes = F.transform(parts, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(p, 2, 2)).otherwise(F.hex(F.encode(p, "UTF-8"))))
+    return F.make_valid_utf8(F.unhex(F.array_join(codes, "")).cast("string"))
+
+
+def data_url(s: Column) -> Column:
+    """(mime, ext, content) of a base64 data URL; null where s is none, content null where its digits are broken."""
+    form = r"^data:([^;]+);base64,(.*)$"
+    mime = F.regexp_extract(s, form, 1)
+    ext = F.regexp_replace(F.coalesce(F.get(F.split(mime, "/"), F.lit(1)), F.lit("")), "^(.*?)jpeg", "$1jpg")
+    parts = F.struct(mime.alias("mime"), F.when(ext == "", "bin").otherwise(ext).alias("ext"), F.try_to_binary(F.regexp_extract(s, form, 2), F.lit("base64")).alias("content"))
+    return F.when(s.rlike(form), parts)

@@ -133,3 +133,11 @@ def resolve_style(names: Column, styles: Column) -> Column:
     """Maps of the named styles merged from left to right, later keys win (an ordered fold, no session setting)."""
     merge = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
     return F.aggregate(names, F.create_map().cast("map<string,string>"), lambda acc, n: merge(acc, F.coalesce(F.try_element_at(styles, n), F.create_map().cast("map<string,string>"))))
+
+
+def resource(doc: Column, key: Column) -> Column:
+    """The resource of a key in a document (VARIANT): an entry of its own that holds data, else the image, else the video."""
+    held = lambda path: F.try_element_at(F.try_variant_get(doc, path, "map<string,variant>"), key)
+    there = lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), v)
+    direct = held("$.resources")
+    return F.coalesce(F.when(F.try_variant_get(direct, "$.data", "variant").isNotNull(), direct), there(held("$.resources.images")), there(held("$.resources.videos")))

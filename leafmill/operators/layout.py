@@ -106,3 +106,25 @@ def pairwise_agreement(rows: DataFrame, by: str, truth: str, got: str) -> DataFr
     b = rows.select(by, F.col(truth).alias("t2"), F.col(got).alias("g2"))
     p = a.join(b, by).where("t1 < t2")
     return p.groupBy(by).agg(F.count("*").alias("pairs"), F.count_if(F.col("g1") < F.col("g2")).alias("agreeing"))
+
+
+#: Millimetres of a point.
+MM = 25.4 / 72
+
+
+def text_rows(runs: DataFrame, by: list[str], order: str, x: str = "x", y: str = "y", font_size: str = "font_size") -> DataFrame:
+    """runs with row: from the top, a run joins the last row if it stands no further from that row's first run than 0.35
+    of its own font size, or 0.8 mm. An ordered fold over one page's places; only these are gathered. Runs of a null
+    place have no row; order tells runs of a page apart."""
+    near = F.greatest(F.lit(0.8), F.col(font_size) * MM * 0.35)
+    got = runs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(order).alias("o"), F.coalesce(near, F.lit(0.8)).alias("near")))).alias("r"))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, r: Column) -> Column:
+        joins = F.coalesce(F.abs(a["y"] - r["y"]) <= r["near"], F.lit(False))
+        n = a["n"] + (~joins).cast("int")
+        return F.struct(F.when(joins, a["y"]).otherwise(r["y"]).alias("y"), n.alias("n"), F.array_append(a["out"], n).alias("out"))
+
+    rows = F.aggregate("r", start, step, lambda a: a["out"])
+    got = got.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda r: r["o"]).alias("o"), rows.alias("n"))).alias("z")).select(*by, F.col("z.o").alias(order), F.col("z.n").alias("row"))
+    return runs.join(got, [*by, order], "left")

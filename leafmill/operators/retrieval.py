@@ -177,3 +177,33 @@ def without_repeated(pages: DataFrame, by: str, page: str, text: str = "text", l
     kept = lines.join(repeated_lines(pages, by, page, text, least), [by, "line"], "left_anti")
     joined = kept.groupBy(by, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda r: r["line"]), "\n").alias(text))
     return pages.drop(text).join(joined, [by, page], "left").withColumn(text, F.coalesce(text, F.lit("")))
+
+
+def best(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """The row of the largest value of each group (of all rows where by is empty), the first by order on ties. Nulls lose."""
+    rest = F.struct(*(c for c in rows.columns if c not in by))
+    top = rows.groupBy(*by).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(order)).alias("o"), rest.alias("r")))["r"].alias("r"))
+    return top.where("r is not null").select(*by, "r.*")
+
+
+def leaders(rows: DataFrame, tool: str, value: str, order: str, most: int = 3) -> DataFrame:
+    """The best configuration of each tool, and of these the `most` best with their rank; ties by order."""
+    top = best(rows, [tool], value, order).orderBy(F.desc(value), order).limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), order)))  # `most` rows
+
+
+def headline(rows: DataFrame, retriever: str, value: str, order: str, baseline: str = "bm25") -> DataFrame:
+    """(retriever, mean): the retriever of the largest mean over all pipelines but the baseline; ties by its first order."""
+    mean = rows.where(F.col(retriever) != baseline).groupBy(retriever).agg(F.avg(value).alias("mean"), F.min(order).alias("o"))
+    return best(mean, [], "mean", "o").select(retriever, "mean")
+
+
+def verify(published: DataFrame, fresh: DataFrame, key: str = "pipeline", retriever: str = "retriever", metric: str = "metric", value: str = "value", tolerance: Column | None = None) -> DataFrame:
+    """Published figures with this run's and status: ok, differs, skipped (the pipeline ran without that figure) or
+    missing (it did not run). tolerance, over the columns of published: 0.0005 for bm25 and 0.02 for all else."""
+    tolerance = F.when(F.col(retriever) == "bm25", 0.0005).otherwise(0.02) if tolerance is None else tolerance
+    ran = fresh.select(key).distinct().withColumn("_ran", F.lit(True))
+    now = fresh.select(key, retriever, metric, F.col(value).alias("fresh"))
+    both = published.withColumn("_most", tolerance).join(now, [key, retriever, metric], "left").join(ran, key, "left")
+    status = F.when(F.col("_ran").isNull(), "missing").when(F.col("fresh").isNull() | F.col(value).isNull(), "skipped").when(F.abs(F.col(value) - F.col("fresh")) > F.col("_most"), "differs").otherwise("ok")
+    return both.withColumn("status", status).drop("_ran", "_most")

@@ -466,6 +466,78 @@ def stream_ingest(spark, d):
     return ingest.run_once(spark, d, "documents")
 
 
+#: Mean order value in millions of each priority (a tool), status (a retriever) and last digit of the order (a setting).
+_FIGURES = """f as (select o_orderpriority as tool, o_orderstatus as retriever, o_orderpriority || '-' || (o_orderkey % 10) as pipeline, (o_orderkey % 10)::bigint as setting, round(avg(o_totalprice::double) / 1e6, 6) as value from orders group by all)"""
+
+
+def _figures(spark, d) -> DataFrame:
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("tool"), F.col("o_orderstatus").alias("retriever"), (F.col("o_orderkey") % 10).cast("long").alias("setting"), F.col("o_totalprice").cast("double").alias("p"))
+    return o.groupBy("tool", "retriever", "setting").agg(F.round(F.avg("p") / 1e6, 6).alias("value")).withColumn("pipeline", F.concat_ws("-", "tool", F.col("setting").cast("string")))
+
+
+@query(f"with {_FIGURES} select tool, retriever, setting, value from f qualify row_number() over (partition by tool, retriever order by value desc, setting) = 1")
+def best_setting(spark, d):
+    return rt.best(_figures(spark, d).drop("pipeline"), ["tool", "retriever"], "value", "setting").select("tool", "retriever", "setting", "value")
+
+
+@query(
+    f"with {_FIGURES}, b as (select tool, setting, value from f where retriever = 'O' qualify row_number() over (partition by tool order by value desc, setting) = 1) select tool, setting, value, row_number() over (order by value desc, setting)::int as rank from b qualify rank <= 3"
+)
+def leading_tools(spark, d):
+    return rt.leaders(_figures(spark, d).where("retriever = 'O'"), "tool", "value", "setting").select("tool", "setting", "value", "rank")
+
+
+@query(f"with {_FIGURES} select retriever, round(avg(value), 6) as mean from f where retriever <> 'F' group by 1 order by avg(value) desc limit 1")
+def headline_retriever(spark, d):
+    return rt.headline(_figures(spark, d), "retriever", "value", "setting", "F").select("retriever", F.round("mean", 6).alias("mean"))
+
+
+@query(
+    f"""with {_FIGURES}, n as (select pipeline, retriever, case when setting = 3 then value + 0.001 when setting = 4 then value + 0.03 else value end as fresh from f where setting <> 5 and not (setting = 6 and retriever = 'P')),
+p as (select pipeline, case when retriever = 'F' then 'bm25' else retriever end as retriever, value from f), m as (select pipeline, case when retriever = 'F' then 'bm25' else retriever end as retriever, fresh from n)
+select p.pipeline, p.retriever, case when p.pipeline not in (select pipeline from m) then 'missing' when fresh is null then 'skipped' when abs(value - fresh) > case when p.retriever = 'bm25' then 0.0005 else 0.02 end then 'differs' else 'ok' end as status from p left join m using (pipeline, retriever)"""
+)
+def verify_figures(spark, d):
+    f = _figures(spark, d).withColumn("metric", F.lit("mean"))
+    now = f.where("setting <> 5 and not (setting = 6 and retriever = 'P')").withColumn("value", F.col("value") + F.when(F.col("setting") == 3, 0.001).when(F.col("setting") == 4, 0.03).otherwise(0.0))
+    named = lambda x: x.withColumn("retriever", F.when(F.col("retriever") == "F", "bm25").otherwise(F.col("retriever"))).select("pipeline", "retriever", "metric", "value")
+    return rt.verify(named(f), named(now)).select("pipeline", "retriever", "status")
+
+
+@query("select page_id, url || ' é 50%zz+%4' as plain from pages")
+def percent_decoded(spark, d):
+    coded = F.replace(F.replace(F.col("url"), F.lit("/"), F.lit("%2F")), F.lit(":"), F.lit("%3a"))
+    return t(spark, d, "pages").select("page_id", tx.percent_decode(F.concat(coded, F.lit("%20%C3%A9%2050%zz+%4"))).alias("plain"))
+
+
+@query("select doc_id, case when doc_id % 5 < 4 then case when doc_id % 2 = 0 then 'image/jpeg' else 'note' end end as mime, case when doc_id % 5 < 4 then case when doc_id % 2 = 0 then 'jpg' else 'bin' end end as ext, case when doc_id % 5 < 4 then sha256(text) end as sha from documents")
+def data_urls(spark, d):
+    src = F.concat(F.when(F.col("doc_id") % 5 < 4, "data:").otherwise("https:"), F.when(F.col("doc_id") % 2 == 0, "image/jpeg").otherwise("note"), F.lit(";base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
+    u = tx.data_url(src)
+    return t(spark, d, "documents").select("doc_id", u["mime"].alias("mime"), u["ext"].alias("ext"), F.sha2(u["content"], 256).alias("sha"))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then p_brand when 1 then p_size::varchar when 2 then p_type when 3 then p_name end as data from part")
+def resource_lookup(spark, d):
+    at, c = F.col("p_partkey") % 5, F.col
+    entry = lambda x: F.create_map(F.lit("k"), F.struct(x.alias("data")))
+    held = lambda n, x: F.when(at == n, entry(c(x)))
+    doc = F.parse_json(F.to_json(F.struct(F.struct(F.when(at == 0, F.struct(c("p_brand").alias("data"))).when(at == 2, F.struct(F.lit(None).cast("string").alias("data"))).alias("k"), F.coalesce(F.when(at == 1, entry(c("p_size").cast("string"))), held(2, "p_type")).alias("images"), F.coalesce(held(0, "p_name"), held(1, "p_name"), held(3, "p_name")).alias("videos")).alias("resources"))))
+    return t(spark, d, "part").select("p_partkey", el.get(el.resource(doc, F.lit("k")), "$.data").alias("data"))
+
+
+@query(
+    """with recursive r as (select user_id, event_id, value::double as y, (event_id % 7)::double as x, (8 + event_id % 5)::double as fs, row_number() over (partition by user_id order by value::double, event_id % 7, event_id) as i from events),
+g as (select user_id, event_id, i, y as top, 0 as row from r where i = 1 union all
+select r.user_id, r.event_id, r.i, case when abs(g.top - r.y) <= greatest(0.8, r.fs * (25.4::double / 72) * 0.35) then g.top else r.y end, case when abs(g.top - r.y) <= greatest(0.8, r.fs * (25.4::double / 72) * 0.35) then g.row else g.row + 1 end from g join r on r.user_id = g.user_id and r.i = g.i + 1)
+select event_id, row from g"""
+)
+def rows_of_runs(spark, d):
+    n = F.col("event_id")
+    runs = t(spark, d, "events").select("user_id", n, F.col("value").cast("double").alias("y"), (n % 7).cast("double").alias("x"), (8 + n % 5).cast("double").alias("font_size"))
+    return ly.text_rows(runs, ["user_id"], "event_id").select("event_id", "row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
