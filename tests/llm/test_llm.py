@@ -240,6 +240,17 @@ def test_ngram_join(spark, monkeypatch):
     assert len(few) == len(ODD) and ngram_join.JaccardJoin(empty(spark)).documents().count() == 0
 
 
+def test_pivot_is_the_middle_of_a_group(spark, monkeypatch):
+    """Copies edited in two places of their own link with their text, not with each other; its id is the largest."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"x{i}" if j in (5 + i, 55 + i) else w for j, w in enumerate(words))) for i in range(40)] + [(40, " ".join(words))]
+    held, verify = [], ngram_join.JaccardJoin.verify
+    monkeypatch.setattr(ngram_join.JaccardJoin, "verify", lambda self, pairs: held.append(pairs.count()) or verify(self, pairs))
+    got = ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).documents().collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(held) < 41 * 40 / 4
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(None, 1), (5, 5)]
