@@ -136,8 +136,8 @@ def page_of_link(target: Column) -> Column:
 
 #: Media types by extension (fixed values).
 MIME = {
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "avif": "image/avif",
-    "mp4": "video/mp4", "webm": "video/webm", "mov": "video/quicktime", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "avif": "image/avif", "bmp": "image/bmp",
+    "mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mov": "video/quicktime", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
     "mp3": "audio/mpeg", "wav": "audio/wav", "json": "application/json", "pdf": "application/pdf",
 }
 
@@ -185,3 +185,84 @@ def data_url(s: Column) -> Column:
     ext = F.regexp_replace(F.coalesce(F.get(F.split(mime, "/"), F.lit(1)), F.lit("")), "^(.*?)jpeg", "$1jpg")
     parts = F.struct(mime.alias("mime"), F.when(ext == "", "bin").otherwise(ext).alias("ext"), F.try_to_binary(F.regexp_extract(s, form, 2), F.lit("base64")).alias("content"))
     return F.when(s.rlike(form), parts)
+
+
+#: Symbol fonts' private-use characters and what they show (fixed values); all others of U+E000 to U+F8FF are bullets.
+GLYPHS = {
+    0xF0B7: "•", 0xF0A7: "▪", 0xF0A8: "◻", 0xF0B2: "■", 0xF0A0: "◦", 0xF0B0: "◦", 0xF076: "❖", 0xF0D8: "➢",
+    0xF0FC: "✓", 0xF0FE: "☑", 0xF0A3: "☐", 0xF0F0: "⇨", 0xF0E0: "→", 0xF0AE: "→", 0xF0AD: "←", 0xF0B6: "¶", 0xF02D: "−", 0xF0BE: "―",
+    0xF0D7: "•", 0xF0A4: "◆", 0xF0F6: "✖", 0xF0FB: "✗", 0xF0E8: "⇒", 0xF0D0: "—",
+}
+
+
+def symbol_glyphs(s: Column) -> Column:
+    """Private-use characters of symbol fonts as ordinary ones."""
+    return F.regexp_replace(F.translate(s, "".join(map(chr, GLYPHS)), "".join(GLYPHS.values())), "[\uE000-\uF8FF]", "•")
+
+
+#: Families by what a font's name holds, without spaces, hyphens and underscores; the first that fits (fixed values).
+FAMILIES = [
+    ("calibri|carlito", "Carlito, Calibri, sans-serif"),
+    ("cambria", "Caladea, Cambria, serif"),
+    ("georgia", "Gelasio, Georgia, serif"),
+    ("courier|mono|consolas|menlo|sourcecode|firacode", "Cousine, 'Courier New', JetBrains Mono, monospace"),
+    ("times|roman|garamond|baskerville|bookantiqua|palatino|minion", "Tinos, 'Times New Roman', serif"),
+    ("plexsans", "'IBM Plex Sans', Arimo, sans-serif"),
+    ("plexserif", "'IBM Plex Serif', Tinos, serif"),
+    ("arial|helvetica|liberationsans|arimo|segoe|verdana|tahoma|roboto|inter|noto|opensans|lato|aptos|sans", "Arimo, Arial, Helvetica, sans-serif"),
+    ("serif", "Tinos, 'Times New Roman', serif"),
+]
+
+
+def font_face(name: Column, serif: Column | None = None, monospace: Column | None = None, bold: Column | None = None, italic: Column | None = None) -> Column:
+    """(family, bold, italic) of a font by its name and the flags of its file; the flags decide where the name says nothing."""
+    n = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[\s_-]+", "")
+    flag = lambda f: F.coalesce(F.lit(False) if f is None else f, F.lit(False))
+    family = F.when(n.rlike(FAMILIES[0][0]), FAMILIES[0][1])
+    for pattern, face in FAMILIES[1:]:
+        family = family.when(n.rlike(pattern), face)
+    family = family.when(flag(monospace), "Cousine, 'Courier New', monospace").when(flag(serif), FAMILIES[4][1]).otherwise(FAMILIES[7][1])
+    return F.struct(family.alias("family"), (flag(bold) | n.rlike("bold|black|heavy")).alias("bold"), (flag(italic) | n.rlike("italic|oblique")).alias("italic"))
+
+
+def wrap(s: Column, most: int) -> Column:
+    """Lines of at most `most` characters: broken at white space, longer words cut; line feeds stay, blank lines are empty."""
+    start = lambda: F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, w: Column) -> Column:
+        pieces = F.regexp_extract_all(w, F.lit(f"((?s).{{1,{most}}})"), F.lit(1))
+        fits = (a["line"] != "") & (F.length(a["line"]) + 1 + F.length(w) <= most)
+        done = F.concat(a["out"], F.when(a["line"] != "", F.array(a["line"])).otherwise(F.array().cast("array<string>")), F.slice(pieces, 1, F.size(pieces) - 1))
+        return F.struct(F.when(fits, F.concat_ws(" ", a["line"], w)).otherwise(F.element_at(pieces, -1)).alias("line"), F.when(fits, a["out"]).otherwise(done).alias("out"))
+
+    words = lambda line: F.filter(F.split(line, f"{_WS}+"), lambda w: w != "")
+    return F.flatten(F.transform(F.split(s, "\n"), lambda line: F.aggregate(words(line), start(), step, lambda a: F.array_append(a["out"], a["line"]))))
+
+
+_MASK = (1 << 32) - 1
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """Product of two unsigned 32-bit numbers modulo 2^32, in steps that fit 64 bits."""
+    high = (a * F.shiftrightunsigned(b, 16)).bitwiseAND(0xFFFF)
+    return (a * b.bitwiseAND(0xFFFF) + F.shiftleft(high, 16)).bitwiseAND(_MASK)
+
+
+def draw(seed: Column, i: Column) -> Column:
+    """Number i (from 0) of the seeded stream mulberry32, in [0, 1). Its state grows by a constant, so any number of the
+    stream is had by itself, on any row."""
+    up = lambda x, n: F.shiftrightunsigned(x, n)
+    state = (seed.cast("long").bitwiseAND(_MASK) + _times32((i.cast("long") + 1).bitwiseAND(_MASK), F.lit(0x6D2B79F5).cast("long"))).bitwiseAND(_MASK)
+    x = _times32(state.bitwiseXOR(up(state, 15)), state.bitwiseOR(F.lit(1).cast("long")))
+    x = x.bitwiseXOR((x + _times32(x.bitwiseXOR(up(x, 7)), x.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(_MASK))
+    return x.bitwiseXOR(up(x, 14)) / F.lit(float(1 << 32))
+
+
+def draw_between(seed: Column, i: Column, low: int, high: int) -> Column:
+    return (F.floor(draw(seed, i) * (high - low + 1)) + low).cast("long")
+
+
+def finite(v: Column, fallback: float) -> Column:
+    """v, or fallback where it is null, no number or infinite."""
+    d = v.cast("double")
+    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), fallback).otherwise(d)

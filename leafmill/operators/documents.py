@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +71,40 @@ def violations(rows: DataFrame, table: str, key: Column, rules: list[tuple[str,
     return rows.select(F.lit(table).alias("table_name"), key.cast("string").alias("key"), F.explode(F.filter(broken, lambda b: b.isNotNull())).alias("v")).select("table_name", "v.severity", "v.rule", "key")
 
 
-def document_rules(doc: Column) -> list[tuple[str, str, Column]]:
-    """Structure of a JSON document (VARIANT): version, title, pages with elements of known kinds."""
-    from .elements import KINDS, get
-
-    array = lambda v, p: F.try_variant_get(v, p, "array<variant>")
-    pages = array(doc, "$.pages")
-    elements = lambda p: F.coalesce(array(p, "$.elements"), F.array().cast("array<variant>"))
-    return [
-        ("error", "document is an object", F.schema_of_variant(doc).startswith("OBJECT")),
-        ("error", "meta.title is a string", F.schema_of_variant(F.try_variant_get(doc, "$.meta.title", "variant")) == "STRING"),
-        ("error", "pages is a non-empty array", F.size(F.coalesce(pages, F.array().cast("array<variant>"))) > 0),
-        ("error", "every page has elements", F.forall(pages, lambda p: array(p, "$.elements").isNotNull())),
-        ("error", "every element has a type", F.forall(pages, lambda p: F.forall(elements(p), lambda e: get(e, "$.type").isNotNull()))),
-        ("warning", "element types are known", F.forall(pages, lambda p: F.forall(elements(p), lambda e: F.coalesce(get(e, "$.type").isin(*KINDS), F.lit(True))))),
-        ("error", "text elements have content", F.forall(pages, lambda p: F.forall(elements(p), lambda e: (F.coalesce(get(e, "$.type"), F.lit("")) != "text") | get(e, "$.content").isNotNull()))),
-    ]
+def structure_report(docs: DataFrame, version_field: str, key: str = "doc_id", doc: str = "doc") -> DataFrame:
+    """(key, severity, message): what a JSON document (VARIANT) lacks: its version, meta, pages, their elements and types.
+    Places count from 0. A null document lacks all of them."""
+    from .elements import KINDS
+
+    d, none = F.col(doc), F.array().cast("array<struct<severity:string,message:string>>")
+    at = lambda v, p: F.try_variant_get(v, p, "variant")
+    there = lambda v, p: at(v, p).isNotNull() & ~F.is_variant_null(at(v, p))
+    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    is_text = lambda v, p: F.coalesce(F.schema_of_variant(at(v, p)) == "STRING", F.lit(False))
+    found = lambda message, severity="error": F.struct(F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    version = f"$['{version_field}']"
+    elements = lambda p: F.try_variant_get(p, "$.elements", "array<variant>")
+
+    def of_element(e: Column, page: Column, i: Column) -> Column:
+        place = F.concat(F.lit("page["), page.cast("string"), F.lit("].element["), i.cast("string"), F.lit("].type "))
+        kind = F.try_variant_get(e, "$.type", "string")
+        unknown = found(F.concat(place, F.lit('"'), kind, F.lit('" is not a known type')), "warning")
+        return F.when(~is_text(e, "$.type"), found(F.concat(place, F.lit("missing")))).when(~kind.isin(*KINDS), unknown)
+
+    def of_page(p: Column, i: Column) -> Column:
+        place = F.concat(F.lit("page["), i.cast("string"), F.lit("]"))
+        inner = F.filter(F.transform(elements(p), lambda e, j: of_element(e, i, j)), lambda m: m.isNotNull())
+        lacking = F.array(found(F.concat(place, F.lit(".elements missing or not an array"))))
+        return F.when(~is_object(p), F.array(found(F.concat(place, F.lit(" must be an object"))))).when(elements(p).isNull(), lacking).otherwise(inner)
+
+    pages = F.try_variant_get(d, "$.pages", "array<variant>")
+    head = F.array(
+        F.when(at(d, version).isNull(), found(f"Missing required field: {version_field}")).when(~is_text(d, version), found(f"{version_field} must be a string")),
+        F.when(at(d, "$.meta").isNull(), found("Missing required field: meta")).when(~is_object(at(d, "$.meta")), found("meta must be an object")).when(~is_text(d, "$.meta.title"), found("meta.title is missing or empty", "warning")),
+        F.when(pages.isNull(), found("Missing required field: pages (must be array)")).when(F.size(pages) == 0, found("pages is empty, at least one page required")),
+    )
+    rest = F.coalesce(F.flatten(F.transform(pages, of_page)), none)
+    return docs.select(key, F.explode(F.concat(F.filter(head, lambda m: m.isNotNull()), rest)).alias("m")).select(key, "m.*")
 
 
 def coverage(rows: DataFrame, by: list[str], covered: Column) -> DataFrame:
@@ -111,5 +127,16 @@ def fingerprint(words: Column) -> Column:
     return F.substring(F.sha1(F.array_join(F.sort_array(words), " ")), 1, 16)
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def counts(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> DataFrame:
+    """(key, pages, elements): how many a JSON document (VARIANT) has; 0 where there are none."""
+    none = F.array().cast("array<variant>")
+    pages = F.coalesce(F.try_variant_get(doc, "$.pages", "array<variant>"), none)
+    sizes = F.transform(pages, lambda p: F.size(F.coalesce(F.try_variant_get(p, "$.elements", "array<variant>"), none)))
+    return docs.select(key, F.size(pages).alias("pages"), F.aggregate(sizes, F.lit(0), lambda a, n: a + n).alias("elements"))
+
+
+def search_lines(rows: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
+    """(key, line, hit, at, snippet): occurrences in the lines of a text; lines count from 1, hits and places from 0."""
+    lines = rows.where(F.instr(F.lower(F.col(text)), query.lower()) > 0).select(key, F.posexplode(F.split(text, "\n")).alias("line", "_l"))
+    hits = lines.where(F.instr(F.lower("_l"), query.lower()) > 0).select(key, (F.col("line") + 1).alias("line"), "_l", F.posexplode(occurrences(F.col("_l"), query)).alias("hit", "at"))
+    return hits.select(key, "line", "hit", "at", context(F.col("_l"), F.col("at"), len(query)).alias("snippet"))

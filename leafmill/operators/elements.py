@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import trim_all, utf16_len
+from .trees import list_lines, load, nested
 
 KINDS = ("text", "richtext", "image", "video", "table", "list", "shape", "collapsible", "toc", "input", "textarea", "checkbox", "select", "signature")
 
@@ -53,14 +56,17 @@ def top_level(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def walk(elements: DataFrame, key: str = "doc_id") -> DataFrame:
     """elements and, level by level, those nested in collapsibles: adds el_path (array of places) and depth.
 
-    Only elements with nested ones enter the recursion; flat ones are joined in after it.
+    Only elements with nested ones are unrolled, in Arrow batches and to any depth; flat ones are joined in after it.
     """
     first = elements.withColumn("el_path", F.array(F.col("el_idx").cast("int"))).withColumn("depth", F.lit(0))
-    nested = first.where(F.try_variant_get("el", "$.elements", "variant").isNotNull())
-    nested.select(key, "page", "el_path", "depth", "el").createOrReplaceTempView("_leafmill_nested")
-    deep = elements.sparkSession.sql(
-        f"with recursive w as (select * from _leafmill_nested union all select w.`{key}`, w.page, array_append(w.el_path, c.pos), w.depth + 1, c.value from w, lateral variant_explode(try_variant_get(w.el, '$.elements', 'variant')) c) select * from w where depth > 0"
-    )
+    holders = elements.where(F.try_variant_get("el", "$.elements", "variant").isNotNull()).select(key, "page", F.col("el_idx").cast("int").alias("el_idx"), F.to_json("el").alias("el"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, p, *r) for k, p, i, e in zip(pdf[key], pdf["page"], pdf["el_idx"], pdf["el"]) for r in nested(load(e) or {}, int(i))]
+            yield pd.DataFrame(rows, columns=[key, "page", "el_path", "depth", "el"])
+
+    deep = holders.mapInPandas(run, f"`{key}` {dict(elements.dtypes)[key]}, page int, el_path array<int>, depth int, el string").withColumn("el", F.parse_json("el"))
     cols = [key, "page", "el_path", "depth", "el"]
     return first.select(*cols).unionByName(deep).withColumn("type", get(F.col("el"), "$.type"))
 
@@ -83,9 +89,9 @@ def table_rows(headers: Column, rows: Column) -> Column:
 
 
 def _list_lines(items: Column, depth: int, levels: int) -> Column:
-    """Lines `- content` indented two spaces a level, children after their item; levels are unrolled."""
+    """Lines `- content` indented two spaces a level, children after their item; the first levels are unrolled."""
     def lines(i: Column) -> Column:
-        own = F.array(F.concat(F.lit("  " * depth + "- "), F.coalesce(F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")), F.try_variant_get(i, "$.content", "string"), F.lit(""))))
+        own = F.array(F.concat(F.lit("  " * depth + "- "), trim_all(F.coalesce(F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")), F.try_variant_get(i, "$.content", "string"), F.lit("")))))
         if depth + 1 >= levels:
             return own
         return F.concat(own, _list_lines(F.try_variant_get(i, "$.children", "array<variant>"), depth + 1, levels))
@@ -93,6 +99,24 @@ def _list_lines(items: Column, depth: int, levels: int) -> Column:
     return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<variant>")), lines))
 
 
+@F.pandas_udf(StringType())
+def _deep_list(items: pd.Series) -> pd.Series:
+    return items.map(lambda x: None if x is None else "\n".join(list_lines(load(x))))
+
+
+def _goes_deeper(items: Column, levels: int) -> Column:
+    """Whether an item stands below the first levels."""
+    inner = lambda i: F.try_variant_get(i, "$.children", "array<variant>")
+    return F.exists(items, lambda i: F.size(F.coalesce(inner(i), F.array().cast("array<variant>"))) > 0 if levels == 1 else F.coalesce(_goes_deeper(inner(i), levels - 1), F.lit(False)))
+
+
+def list_text(el: Column, levels: int = 4) -> Column:
+    """Lines of a list: its first levels as expressions; a list that goes deeper is read whole in an Arrow batch instead."""
+    items = F.try_variant_get(el, "$.items", "array<variant>")
+    deeper = _deep_list(F.when(_goes_deeper(items, levels), F.to_json(F.try_variant_get(el, "$.items", "variant"))))
+    return F.coalesce(deeper, F.array_join(_list_lines(items, 0, levels), "\n"))
+
+
 def serialize(el: Column, list_levels: int = 4) -> Column:
     """Text of an element by kind; shapes, tables of contents and signatures have none."""
     t = get(el, "$.type")
@@ -107,7 +131,7 @@ def serialize(el: Column, list_levels: int = 4) -> Column:
     return (
         F.when(t == "text", trim_all(text("$.content")))
         .when(t == "richtext", trim_all(F.array_join(F.transform(F.coalesce(F.try_variant_get(el, "$.runs", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.coalesce(F.try_variant_get(r, "$.text", "string"), F.lit(""))), "")))
-        .when(t == "list", F.array_join(_list_lines(F.try_variant_get(el, "$.items", "array<variant>"), 0, list_levels), "\n"))
+        .when(t == "list", list_text(el, list_levels))
         .when(t == "table", table_rows(headers, rows))
         .when(t == "collapsible", trim_all(text("$.title")))
         .when(t == "image", join("\n", F.when(text("$.alt") != "", F.concat(F.lit("[image: "), text("$.alt"), F.lit("]"))), text("$.caption"), F.array_join(ocr, "\n")))
@@ -141,3 +165,34 @@ def resource(doc: Column, key: Column) -> Column:
     there = lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), v)
     direct = held("$.resources")
     return F.coalesce(F.when(F.try_variant_get(direct, "$.data", "variant").isNotNull(), direct), there(held("$.resources.images")), there(held("$.resources.videos")))
+
+
+#: Sheets in millimetres (fixed values).
+SHEETS = {"A3": (297.0, 420.0), "A4": (210.0, 297.0), "A5": (148.0, 210.0), "Letter": (215.9, 279.4), "Legal": (215.9, 355.6), "Tabloid": (279.4, 431.8)}
+
+
+def page_size(page: Column, doc: Column) -> Column:
+    """(width, height) in mm of a page: its own size, else the document's, by name or in figures; else A4. Landscape
+    swaps the two."""
+    own = lambda p: F.coalesce(F.try_variant_get(page, f"$.{p}", "variant"), F.try_variant_get(doc, f"$.meta.{p}", "variant"))
+    size, name = own("pageSize"), F.try_variant_get(own("pageSize"), "$", "string")
+    named = lambda i: F.try_element_at(F.create_map(*(F.lit(x) for k, v in SHEETS.items() for x in (k, v[i]))), name)
+    w, h = (F.coalesce(F.try_variant_get(size, f"$.{f}", "double"), named(i), F.lit(SHEETS["A4"][i])) for i, f in enumerate(("width", "height")))
+    turned = F.coalesce(F.try_variant_get(own("pageOrientation"), "$", "string") == "landscape", F.lit(False))
+    return F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+
+#: Margins in millimetres where nothing says otherwise (fixed values).
+MARGINS = {"top": 25.0, "right": 20.0, "bottom": 25.0, "left": 20.0}
+
+
+def margins(page: Column, doc: Column) -> Column:
+    """(top, right, bottom, left): each from the page, else from the document, else MARGINS."""
+    side = lambda s, usual: F.coalesce(F.try_variant_get(page, f"$.margins.{s}", "double"), F.try_variant_get(doc, f"$.meta.margins.{s}", "double"), F.lit(usual)).alias(s)
+    return F.struct(*(side(s, v) for s, v in MARGINS.items()))
+
+
+def running_part(page: Column, doc: Column, part: str) -> Column:
+    """The header or footer (part) of a page: its own, else the document's."""
+    here = lambda v: F.try_variant_get(v, f"$.{part}", "variant")
+    return F.coalesce(F.when(~F.is_variant_null(here(page)), here(page)), here(doc))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +132,152 @@ def text_rows(runs: DataFrame, by: list[str], order: str, x: str = "x", y: str =
     rows = F.aggregate("r", start, step, lambda a: a["out"])
     got = got.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda r: r["o"]).alias("o"), rows.alias("n"))).alias("z")).select(*by, F.col("z.o").alias(order), F.col("z.n").alias("row"))
     return runs.join(got, [*by, order], "left")
+
+
+def match_title(s: Column) -> Column:
+    """Lower case letters and digits with single spaces, for comparing titles."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[\\s\u00a0]+", " "), r"[^\p{L}\p{N} ]", ""))
+
+
+def apply_outline(texts: DataFrame, outline: DataFrame, by: list[str], order: str, text: str = "text", y: str = "y", heading: str = "heading") -> DataFrame:
+    """texts with heading, toc_entry and toc_level from an outline (by, seq, title, depth): each entry goes to the text of
+    its page that says the same (3), begins with it or the other way round (2) or stands in it with 6 letters or more (1);
+    of equals to the highest, then the first by order. A text keeps a heading it has; of several entries the first gives
+    the heading, the last its entry. Joined on the page; an entry compares with the texts of one page only."""
+    e = outline.select(*by, F.col("seq").alias("_seq"), F.trim("title").alias("_title"), match_title(F.col("title")).alias("_want"), F.least(F.lit(6), F.greatest(F.lit(1), F.col("depth"))).cast("int").alias("_level")).where("_want <> ''")
+    t = texts.select(*by, F.col(order).alias("_o"), F.coalesce(F.col(y), F.lit(0.0)).alias("_y"), match_title(F.col(text)).alias("_have")).where("_have <> ''")
+    have, want = F.col("_have"), F.col("_want")
+    score = F.when(have == want, 3).when(F.startswith(have, want) | F.startswith(want, have), 2).when((F.length(have) >= 6) & F.contains(want, have), 1)
+    hit = e.join(t, by).withColumn("_s", score).where("_s is not null")
+    best = hit.groupBy(*by, "_seq").agg(F.min(F.struct((-F.col("_s")).alias("s"), "_y", "_o"))["_o"].alias("_o"), F.first("_title").alias("_title"), F.first("_level").alias("_level"))
+    given = best.groupBy(*by, "_o").agg(F.min_by("_level", "_seq").alias("_first"), F.max_by("_title", "_seq").alias("toc_entry"), F.max_by("_level", "_seq").alias("toc_level"))
+    out = texts.join(given.withColumnRenamed("_o", order), [*by, order], "left")
+    return out.withColumn(heading, F.coalesce(heading, "_first")).drop("_first")
+
+
+def each_page(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """The rows that fold makes of each page's rows in order; a page is gathered, as it is a bounded unit of layout."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fold(pdf.sort_values(order, kind="stable").to_dict("records"))
+        return pd.DataFrame([(*keys, *(r.get(n) for n in names)) for r in out], columns=[*by, *names])
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*by).applyInPandas(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), schema]))
+
+
+def merge_lines(runs: list[dict], near: float = 0.6) -> list[dict]:
+    """Runs (text, x, y, width, font_size, face, color) of a page in order, put together where one goes on the line of the
+    one before: same style, within `near` mm of its baseline, and a gap from half an em back to 0.45 em on. Gaps beyond 0.08
+    em become a space. A currency sign after a number begins anew. Blank runs wider than two ems part columns; one em in
+    pages with many wide blanks."""
+    blank = [r for r in runs if r["text"] and not r["text"].strip() and r["width"] >= r["font_size"] * MM * 0.5]
+    wide = sum(r["width"] >= r["font_size"] * MM * 2 for r in blank)
+    column = 1.0 if len(blank) >= 8 and wide / len(blank) >= 0.25 else 2.0
+    out: list[dict] = []
+    for r in runs:
+        em, text = r["font_size"] * MM, r["text"]
+        if not text or (not text.strip() and r["width"] > em * column):
+            continue
+        last = out[-1] if out else None
+        gap = r["x"] - last["x"] - last["width"] if last else None
+        alike = last and abs(last["y"] - r["y"]) <= near and abs(last["font_size"] - r["font_size"]) < 0.4 and (last["face"], last["color"]) == (r["face"], r["color"])
+        price = last and re.fullmatch("[$€£¥]", text.strip()) and re.search(r"[\d)]\s*$", last["text"])
+        if not alike or price or not -em * 0.5 <= gap <= em * 0.45:
+            out.append({**r, "bold": bool(r.get("bold"))})
+            continue
+        apart = gap > em * 0.08 and not last["text"][-1:].isspace() and not text[:1].isspace()
+        last["text"] += " " * apart + text
+        last["width"] = max(last["width"], r["x"] - last["x"] + r["width"])
+    return out
+
+
+def without_doubles(lines: list[dict], back: int = 40) -> list[dict]:
+    """Lines without those drawn again a fraction of a point beside one of the last `back` kept, which is bold then."""
+    out: list[dict] = []
+    for r in lines:
+        same = lambda k: abs(k["y"] - r["y"]) <= 0.9 and abs(k["x"] - r["x"]) <= 1.3 and abs(k["font_size"] - r["font_size"]) < 0.6 and k["text"].strip() == r["text"].strip()  # noqa: B023, E731
+        twin = next(filter(same, out[-back:]), None) if r["text"].strip() else None
+        if twin:
+            twin["bold"] = True
+        else:
+            out.append(dict(r))
+    return out
+
+
+#: What begins a list's item, and what ends a sentence (fixed values).
+ITEM_START = re.compile(r"^\s*(?:[•◦▪●■\-–—*]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|[ivx]{1,4}[.)]\s)")
+SENTENCE_END = re.compile(r"[.!?:;][\"'”’)\]]*$")
+
+
+def paragraphs(lines: list[dict]) -> list[dict]:
+    """Lines (text, x, y, width, font_size, face, heading) with paragraph, a running number. A line goes on the paragraph
+    before it if it has its face and size, stands 0.9 to 1.75 lines below, at its left edge (the second line of one may be
+    up to 6 mm off), begins no item, and the line before is full, ends in a hyphen, or ends no sentence while this one
+    begins small or that one is over 0.6 of the widest."""
+    part: list[dict] = []
+    out, n = [], -1
+    for r in lines:
+        if not part or not _goes_on(part, r):
+            part, n = [], n + 1
+        part.append(r)
+        out.append({**r, "paragraph": n})
+        if r.get("heading"):
+            part = []
+    return out
+
+
+def _goes_on(part: list[dict], r: dict) -> bool:
+    last, line = part[-1], part[-1]["font_size"] * MM
+    if r.get("heading") or r["face"] != last["face"] or abs(r["font_size"] - last["font_size"]) >= 0.5:
+        return False
+    if not line * 0.9 <= r["y"] - last["y"] <= line * 1.75 or not r["text"].strip() or ITEM_START.match(r["text"]):
+        return False
+    if abs(r["x"] - part[0]["x"]) > (6 if len(part) == 1 else 1.2) or (len(part) > 1 and abs(r["x"] - part[1]["x"]) > 1.2):
+        return False
+    widest, before = max(p["width"] for p in (*part, r)), last["text"].rstrip()
+    if last["width"] >= widest * 0.85 or re.search("[-‐‑]$", before):
+        return True
+    return not SENTENCE_END.search(before) and bool(re.match(r"[a-z(\[]", r["text"].lstrip()) or last["width"] >= widest * 0.6)
+
+
+def wrapped_headings(lines: DataFrame, by: list[str], order: str) -> DataFrame:
+    """lines (x, y, font_size, heading) with title: a running number that headings share which follow one another, of one
+    level, size and left edge, each less than 2.2 lines below the one before; null for lines that are no heading."""
+    w = Window.partitionBy(*by).orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    drop = F.col("y") - before("y")
+    joins = (F.col("heading") == before("heading")) & (F.abs(F.col("font_size") - before("font_size")) < 0.5) & (F.abs(F.col("x") - before("x")) < 1) & (drop > 0) & (drop < F.col("font_size") * MM * 2.2)
+    out = islands(lines, by, order, joins)
+    return out.withColumn("title", F.when(F.col("heading").isNotNull(), F.col("island"))).drop("island")
+
+
+def without_widget_values(runs: DataFrame, widgets: DataFrame, by: list[str], key: str) -> DataFrame:
+    """runs without those whose centre lies in a form widget (x, y, width, height, value; 1 mm more above and below) of
+    their page that holds the same text: joined on page and text, so only equal values meet."""
+    cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
+    own = runs.withColumn("_t", F.trim("text")).where("_t <> ''").select(*by, key, "_t", cx.alias("_cx"), cy.alias("_cy"))
+    w = widgets.select(*by, F.trim("value").alias("_t"), *(F.col(c).alias(f"_w{c}") for c in ("x", "y", "width", "height")))
+    hit = own.join(w, [*by, "_t"]).where("_cx between _wx and _wx + _wwidth and _cy between _wy - 1 and _wy + _wheight + 1")
+    return runs.join(hit.select(*by, key).distinct(), [*by, key], "left_anti")
+
+
+def numeric_columns(cells: DataFrame, by: list[str], text: str = "text", least: int = 2, share: float = 0.6) -> DataFrame:
+    """(by, filled, numeric, is_numeric): columns of a table where two cells or more, and 60 % of those not blank, are numbers."""
+    from ..functions.text import is_numeric_cell
+
+    filled = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    n = cells.groupBy(*by).agg(F.count_if(filled).alias("filled"), F.count_if(filled & is_numeric_cell(F.col(text))).alias("numeric"))
+    return n.withColumn("is_numeric", (F.col("numeric") >= least) & (F.col("numeric") >= F.col("filled") * share))
+
+
+def extent(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, left, top, right, bottom): the smallest box around those of a group."""
+    return boxes.groupBy(*by).agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom"))
+
+
+def row_pitch(rows: DataFrame, by: str, y: str = "y") -> DataFrame:
+    """(by, median, n): the upper median of the distances of neighbouring rows."""
+    gaps = rows.withColumn("_g", F.col(y) - F.lag(y).over(Window.partitionBy(by).orderBy(y)))
+    return upper_median(gaps, by, "_g")

@@ -19,22 +19,25 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_key: str = "item_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_key: str = "item_id", key: str = "chunk_id", text: str = "text", heavy: int = 100_000, salts: int = 64) -> DataFrame:
     """(query_key, rank, key, score): the k best chunks, ties by key; chunks without any term fill up by key at 0.
 
-    Query terms are a set. Only postings of query terms take part, joined on the term; of chunks without a match the
-    k smallest keys are enough to fill any query's list. Scores are rounded to 1e-9 before ranking.
+    Query terms are a set. Only postings of query terms take part, joined on the term; a term that stands in more than
+    `heavy` chunks is dealt over `salts` parts by the chunk, so no task holds it alone. Of chunks without a match the k
+    smallest keys are enough to fill any query's list. Scores are rounded to 1e-9 before ranking.
     """
     size = chunks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avg"))
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     posts = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     df = posts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    hits = asked.join(df, "term").join(posts, "term").join(F.broadcast(size))
+    every = F.sequence(F.lit(0), F.when(F.col("df") > heavy, salts - 1).otherwise(0))
+    asked = asked.join(df, "term").withColumn("salt", F.explode(every))
+    posts = posts.join(df.where(F.col("df") > heavy).select("term", F.lit(salts).alias("parts")), "term", "left").withColumn("salt", F.coalesce(F.pmod(F.hash(key), F.col("parts")), F.lit(0))).drop("parts")
+    hits = asked.join(posts, ["term", "salt"]).join(F.broadcast(size))
     score = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg")))
-    scored = hits.groupBy(query_key, key).agg(F.sum(score).alias("score"))
     fill = queries.select(query_key).join(chunks.select(key).orderBy(key).limit(k)).withColumn("score", F.lit(0.0))
-    every = scored.unionByName(fill).groupBy(query_key, key).agg(F.round(F.max("score"), 9).alias("score"))
-    return top(every, query_key, key, k)
+    scored = hits.select(query_key, key, score.alias("score")).unionByName(fill).groupBy(query_key, key).agg(F.round(F.sum("score"), 9).alias("score"))
+    return top(scored, query_key, key, k)
 
 
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -165,6 +168,53 @@ def questions(docs: DataFrame, per_doc: int = 2, key: str = "doc_id", text: str
     return s.where(F.array_contains(picked, F.col("i").cast("bigint"))).select(key, F.col("i").cast("int").alias("n"), "sentence", "answer", "word")
 
 
+#: Numbers of questions, the words that key them, what a number may label, and words that are no key (fixed values).
+NUMBER = r"(?<![\w.])(?>(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{2,})\s?%?)"
+KEY_WORD = r"(?<![A-Za-z-])([A-Za-z]{5,9})(?![A-Za-z-])"
+LABELS = r"(?i)(?:Figure|Fig\.|Table|Section|Sec\.|Chapter|Appendix|Eq\.|Equation|pages?|pp\.|arXiv:|vol\.|no\.)\s*$"
+NO_KEYS = (
+    "which", "there", "these", "those", "their", "about", "would", "could", "should", "where", "while", "between", "during", "through", "under", "after", "before", "table", "figure",
+    "section", "using", "based", "model", "models", "results", "result", "other", "first", "second", "shows", "shown", "however", "because", "within",
+)
+
+
+def blanked_questions(docs: DataFrame, per_doc: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n, question, answer, word): sentences of 8 to 45 words whose first number that is a fact is blanked.
+
+    No facts are years, numbers that a figure, section, page or the like bears, ordinals, numbers that begin a sentence
+    and citations in brackets. word is the sentence's longest plain word of 5 to 9 letters, the first of equals, which
+    the answer does not hold. Of more than per_doc, per_doc evenly spread ones stay; n is their place among all.
+    """
+    flat = F.regexp_replace(text, r"\s+", " ")
+    s = docs.select(key, F.posexplode(F.split(flat, r"(?<=[.!?])\s+(?=[A-Z(]|\d+(?:\.\d+)*\s+[A-Z])")).alias("at", "s"))
+    s = s.where(F.size(F.filter(F.split("s", r"\s+"), lambda w: w != "")).between(8, 45) & ~F.contains(F.col("s"), F.lit("....")) & F.col("s").rlike(r"\d\d|\d\.\d"))
+    pair = F.lit(f"((?s).*?)({NUMBER})")
+    # Each number with the text between it and the one before; places are the sums of both.
+    parts = F.arrays_zip(F.regexp_extract_all("s", pair, F.lit(1)).alias("gap"), F.regexp_extract_all("s", pair, F.lit(2)).alias("num"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        lo = a["end"] + F.length(p["gap"])
+        hi = lo + F.length(p["num"])
+        return F.struct(hi.alias("end"), F.array_append(a["out"], F.struct(lo.alias("lo"), hi.alias("hi"))).alias("out"))
+
+    def is_fact(p: Column) -> Column:
+        head, num, tail = F.substring("s", F.lit(1), p["lo"]), F.substring("s", p["lo"] + 1, p["hi"] - p["lo"]), F.substring("s", p["hi"] + 1, F.length("s"))
+        cited = F.rtrim(head).endswith("[") & F.ltrim(tail).startswith("]")
+        return ~num.rlike(r"^(19|20)\d\d\s?%?$") & ~head.rlike(LABELS) & ~tail.rlike(r"^\s*(?:th|st|nd|rd)\b") & (F.trim(head) != "") & ~cited
+
+    s = s.withColumn("p", F.get(F.filter(F.aggregate(parts, start, step, lambda a: a["out"]), is_fact), F.lit(0))).where("p is not null")
+    s = s.withColumn("answer", F.trim(F.substring("s", F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo"))))
+    words = F.filter(F.regexp_extract_all("s", F.lit(KEY_WORD), F.lit(1)), lambda w: ~F.lower(w).isin(*NO_KEYS) & ~F.contains(F.lower("answer"), F.lower(w)))
+    s = s.withColumn("word", F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]).where("word is not null")
+    question = F.concat(F.lit("Fill in the blank: "), F.trim(F.concat(F.substring("s", F.lit(1), F.col("p.lo")), F.lit("____"), F.substring("s", F.col("p.hi") + 1, F.length("s")))))
+    w = Window.partitionBy(key)
+    s = s.withColumn("i", F.row_number().over(w.orderBy("at")) - 1).withColumn("m", F.count("*").over(w).cast("int"))
+    kept = F.least(F.lit(per_doc), F.col("m"))
+    picked = F.transform(F.sequence(F.lit(0), kept - 1), lambda j: F.floor(j * (F.col("m") / kept)))
+    return s.where(F.array_contains(picked, F.col("i").cast("long"))).select(key, F.col("i").cast("int").alias("n"), question.alias("question"), "answer", "word")
+
+
 def repeated_lines(pages: DataFrame, by: str, page: str, text: str = "text", least: int = 3) -> DataFrame:
     """(by, line, pages): running lines, which stand on at least `least` pages of a group."""
     lines = pages.select(by, page, F.explode(F.split(text, "\n")).alias("line")).where("line <> ''").distinct()

@@ -13,6 +13,7 @@ from ..operators import documents as dc
 from ..operators import elements as el
 from ..operators import layout as ly
 from ..operators import retrieval as rt
+from ..operators import trees as tr
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -538,6 +539,262 @@ def rows_of_runs(spark, d):
     return ly.text_rows(runs, ["user_id"], "event_id").select("event_id", "row")
 
 
+def _tree_rows(spark, d) -> DataFrame:
+    """A JSON document for each supplier: fields in a section, a table, a list and the running parts."""
+    s = t(spark, d, "supplier")
+    field = lambda kind, name, value: F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    box = F.struct(F.lit("checkbox").alias("type"), F.lit("known").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("checked"))
+    section = F.struct(F.lit("collapsible").alias("type"), F.array(field("input", "key", F.col("s_suppkey"))).alias("elements"))
+    table = F.struct(F.lit("table").alias("type"), F.array(F.array(field("select", "nation", F.col("s_nationkey")))).alias("rows"))
+    items = F.struct(F.lit("list").alias("type"), F.array(field("textarea", "", F.col("s_name"))).alias("items"))
+    page = F.struct(F.array(F.to_variant_object(section), F.to_variant_object(table), F.to_variant_object(items)).alias("elements"), F.struct(F.array(box).alias("elements")).alias("header"))
+    tree = F.struct(F.array(page).alias("pages"), F.struct(F.array(field("signature", "signed", F.col("s_name"))).alias("elements")).alias("footer"))
+    return s.select(F.col("s_suppkey").alias("doc_id"), F.to_json(tree).alias("value"))
+
+
+@query(
+    """select s_suppkey as doc_id, seq::int as seq, name, kind as type, value from supplier, lateral (values (0, 'key', 'input', s_suppkey::varchar), (1, 'nation', 'select', s_nationkey::varchar),
+(2, 'known', 'checkbox', case when s_suppkey % 2 = 0 then 'true' else 'false' end), (3, 'signed', 'signature', s_name)) f(seq, name, kind, value)"""
+)
+def form_fields(spark, d):
+    return tr.form_fields(_tree_rows(spark, d))
+
+
+#: Documents with one fault or two, by their number.
+_FAULTS = (
+    '{"v":"1","meta":{"title":"t"},"pages":[{"elements":[{"type":"text"}]}]}', '{"v":1,"meta":{},"pages":[]}', '{"meta":[],"pages":{}}',
+    '{"v":"1","meta":{"title":"t"},"pages":[{"elements":[{},{"type":"map"},{"type":3}]},7,{"elements":1}]}', "not JSON", '{"v":null,"meta":{"title":2},"pages":[{"elements":[]}]}',
+)
+_LACKS = {
+    1: [("error", "v must be a string"), ("warning", "meta.title is missing or empty"), ("error", "pages is empty, at least one page required")],
+    2: [("error", "Missing required field: v"), ("error", "meta must be an object"), ("error", "Missing required field: pages (must be array)")],
+    3: [("error", "page[0].element[0].type missing"), ("warning", 'page[0].element[1].type "map" is not a known type'), ("error", "page[0].element[2].type missing"), ("error", "page[1] must be an object"), ("error", "page[2].elements missing or not an array")],
+    4: [("error", "Missing required field: v"), ("error", "Missing required field: meta"), ("error", "Missing required field: pages (must be array)")],
+    5: [("error", "v must be a string"), ("warning", "meta.title is missing or empty")],
+}
+_LACKS_SQL = ", ".join(f"({i}, '{s}', '{m}')" for i, found in _LACKS.items() for s, m in found)
+
+
+def _faulty(spark, d) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, _FAULTS)), (F.col("doc_id") % len(_FAULTS) + 1).cast("int")).alias("value"))
+
+
+@query(f"select doc_id, severity, message from documents join (values {_LACKS_SQL}) v(i, severity, message) on doc_id % {len(_FAULTS)} = i")
+def structure_report(spark, d):
+    return dc.structure_report(el.parse_documents(_faulty(spark, d)), "v")
+
+
+@query("select doc_id, case doc_id % 6 when 1 then 0 when 2 then 0 when 4 then 0 when 3 then 3 else 1 end::int as pages, case doc_id % 6 when 0 then 1 when 3 then 3 else 0 end::int as elements from documents")
+def tree_counts(spark, d):
+    return dc.counts(el.parse_documents(_faulty(spark, d)))
+
+
+_PART_RULES = {
+    "type": "object", "required": ["name", "maker"], "additionalProperties": False,
+    "properties": {"name": {"type": "string", "maxLength": 20}, "size": {"$ref": "#/$defs/size"}, "sizes": {"type": "array", "items": {"$ref": "#/$defs/size"}, "minItems": 2}, "maker": {"enum": ["Brand#11", "Brand#12", None]}},
+    "$defs": {"size": {"type": "integer", "minimum": 10}},
+}
+
+
+@query(
+    """with p as (select p_partkey as doc_id, p_name, p_size, p_brand, p_partkey % 3 = 0 as extra from part)
+select doc_id, '/name' as place, 'must NOT have more than 20 characters' as message from p where length(p_name) > 20
+union all select doc_id, '/size', 'must be >= 10' from p where p_size < 10 union all select doc_id, '/sizes/0', 'must be >= 10' from p where p_size < 10
+union all select doc_id, '/sizes', 'must NOT have fewer than 2 items' from p union all select doc_id, '', 'must have required property ''maker''' from p where p_brand = 'Brand#13'
+union all select doc_id, '/maker', 'must be equal to one of the allowed values' from p where p_brand not in ('Brand#11', 'Brand#12', 'Brand#13') union all select doc_id, '', 'must NOT have additional properties' from p where extra"""
+)
+def schema_errors(spark, d):
+    p = t(spark, d, "part")
+    size = F.col("p_size").cast("int")
+    tree = F.struct(F.col("p_name").alias("name"), size.alias("size"), F.array(size).alias("sizes"), F.when(F.col("p_brand") != "Brand#13", F.col("p_brand")).alias("maker"), F.when(F.col("p_partkey") % 3 == 0, 1).alias("extra"))
+    return tr.schema_errors(p.select(F.col("p_partkey").alias("doc_id"), F.to_json(tree).alias("value")), _PART_RULES)
+
+
+@query(
+    """with x as (select conv_id, list(text order by turn, role, text) as a from conversations group by conv_id),
+b as (select conv_id, case when len(a) > 1 then list_concat(a[:1], ['new'], a[2:]) else list_concat(a, ['new']) end as a from x),
+c as (select conv_id, case when conv_id % 2 = 0 then list_concat(['set'], a[2:]) else list_concat([a[2], a[1]], a[3:]) end as a from b)
+select conv_id as doc_id, (2 - conv_id % 2)::int as pages, case when conv_id % 2 = 0 then array_to_string(a, '|') else array_to_string(list_concat(a, ['last']), '|') end as lines from c"""
+)
+def edited_documents(spark, d):
+    c = t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    docs = c.select("doc_id", F.to_json(F.struct(F.array(F.struct(F.transform("x", lambda r: F.struct(r["text"].alias("content"))).alias("elements"))).alias("pages"))).alias("value"))
+    edit = lambda seq, op, path, field, payload: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(path).alias("path"), F.lit(field).cast("string").alias("field"), F.lit(payload).cast("string").alias("payload"))
+    first = edit(0, "insert_after", '["pages",0,"elements",0]', None, '{"content":"new"}')
+    even = F.array(first, edit(1, "set", '["pages",0,"elements",0]', "content", '"set"'), edit(2, "insert_page", "[0]", None, None))
+    odd = F.array(first, edit(1, "move", '["pages",0,"elements",0]', None, "1"), edit(2, "append", "[0]", None, '{"content":"last"}'), edit(3, "delete_page", "[0]", None, None))
+    edits = docs.select("doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)).alias("e")).select("doc_id", "e.*")
+    v = F.try_parse_json("value")
+    pages = F.try_variant_get(v, "$.pages", "array<variant>")
+    lines = F.transform(F.try_variant_get(v, "$.pages[0].elements", "array<variant>"), lambda e: F.try_variant_get(e, "$.content", "string"))
+    return tr.apply_edits(docs, edits).select("doc_id", F.size(pages).alias("pages"), F.array_join(lines, "|").alias("lines"))
+
+
+@query(
+    "select p_partkey as doc_id, 'Part ' || p_partkey || '  ' || p_name || ' x' as shown, p_name || ' Part ' || p_partkey || ' L' || p_size || ' v L' || p_size || ' v' as found from part"
+)
+def search_texts(spark, d):
+    p = t(spark, d, "part").withColumn("title", F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))).withColumn("label", F.concat(F.lit("L"), F.col("p_size").cast("string")))
+    text = lambda c: F.struct(F.lit("text").alias("type"), c.alias("content"))
+    shown = F.struct(F.lit("collapsible").alias("type"), "title", F.array(F.struct(F.lit("shape").alias("type"), F.lit("").alias("content")), text(F.col("p_name")), text(F.lit("x"))).alias("elements"))
+    found = F.struct(F.lit("input").alias("type"), F.col("p_name").alias("content"), "title", "label", F.lit("v").alias("value"))
+    tree = lambda s: F.parse_json(F.to_json(s))
+    return p.select(F.col("p_partkey").alias("doc_id"), tr.search_text(tree(shown)).alias("shown"), tr.search_text(tree(found), every=True).alias("found"))
+
+
+@query(
+    """select page_id as doc_id, id, sha, mime, uses::int as uses from (select page_id, 'asset-2' as id, sha256(html) as sha, 'image/png' as mime, 3 as uses from pages union all
+select page_id, 'asset-3', sha256(url), 'video/quicktime', 1 from pages union all select page_id, 'asset-1', sha256('own'), 'image/webp', 1 from pages)"""
+)
+def extracted_assets(spark, d):
+    b64 = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
+    pic = lambda c, mime="image/png", kind="image": F.struct(F.lit(kind).alias("type"), F.concat(F.lit(f"data:{mime};base64,"), b64(c)).alias("src"))
+    ref = lambda name: F.struct(F.lit("image").alias("type"), F.lit(name).alias("resource"))
+    var = F.to_variant_object
+    elements = F.array(var(pic(F.col("html"))), var(F.struct(F.lit("collapsible").alias("type"), F.array(pic(F.col("html"))).alias("elements"))), var(pic(F.col("url"), "video/quicktime", "video")), var(ref("asset-1")), var(ref("logo")))
+    images = F.struct(F.struct(b64(F.lit("own")).alias("data"), F.lit("image/webp").alias("mimeType")).alias("asset-1"), F.struct(b64(F.col("html")).alias("data")).alias("logo"))
+    docs = t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.to_json(F.struct(F.array(F.struct(elements.alias("elements"))).alias("pages"), F.struct(images.alias("images")).alias("resources"))).alias("value"))
+    got = tr.extract_assets(docs)
+    # How many elements refer to each asset is read back from the document's row.
+    refs = F.regexp_extract_all("value", F.lit('"resource":"([^"]+)"'), F.lit(1))
+    doc = got.where("kind = 'document'").select("doc_id", F.explode(refs).alias("id")).groupBy("doc_id", "id").agg(F.count("*").cast("int").alias("uses"))
+    return got.where("kind = 'asset'").select("doc_id", "id", F.sha2("content", 256).alias("sha"), "mime").join(doc, ["doc_id", "id"])
+
+
+@query(
+    """select o_orderkey, case o_orderkey % 4 when 0 then 297 when 1 then 215.9 when 2 then 100 else 210 end::double as width, case o_orderkey % 4 when 0 then 420 when 1 then 279.4 when 2 then 297 else 297 end::double as height,
+(o_orderkey % 9)::double as top, 20::double as "left", case when o_orderkey % 2 = 0 then 'page' else 'document' end as header from orders where o_orderkey % 3 > 0 union all
+select o_orderkey, case o_orderkey % 4 when 0 then 420 when 1 then 279.4 when 2 then 297 else 297 end, case o_orderkey % 4 when 0 then 297 when 1 then 215.9 when 2 then 100 else 210 end, 25, 7, case when o_orderkey % 2 = 0 then 'page' else 'document' end from orders where o_orderkey % 3 = 0"""
+)
+def page_geometry(spark, d):
+    k = F.col("o_orderkey")
+    size = F.when(k % 4 == 0, F.to_variant_object(F.struct(F.lit("A3").alias("s")))).when(k % 4 == 2, F.to_variant_object(F.struct(F.struct(F.lit(100).alias("width")).alias("s"))))
+    own = F.struct(F.variant_get(size, "$.s", "variant").alias("pageSize"), F.when(k % 3 == 0, "landscape").alias("pageOrientation"), F.struct(F.when(k % 3 > 0, k % 9).alias("top")).alias("margins"), F.when(k % 2 == 0, F.struct(F.lit("page").alias("x"))).alias("header"))
+    meta = F.struct(F.when(k % 4 == 1, "Letter").alias("pageSize"), F.struct(F.when(k % 3 == 0, 7).alias("left")).alias("margins"))
+    doc = F.struct(meta.alias("meta"), F.struct(F.lit("document").alias("x")).alias("header"))
+    x = t(spark, d, "orders").select(k, F.parse_json(F.to_json(own)).alias("p"), F.parse_json(F.to_json(doc)).alias("d"))
+    p, dd = F.col("p"), F.col("d")
+    return x.select(k, el.page_size(p, dd)["width"].alias("width"), el.page_size(p, dd)["height"].alias("height"), el.margins(p, dd)["top"].alias("top"), el.margins(p, dd)["left"].alias("left"), F.try_variant_get(el.running_part(p, dd, "header"), "$.x", "string").alias("header"))
+
+
+@query()
+def blanked_questions(spark, d):
+    return rt.blanked_questions(t(spark, d, "documents")).select("doc_id", "n", "question", "answer", "word")
+
+
+@query()
+def word_wrap(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(tx.wrap(F.col("text"), 60)).alias("line_no", "line"))
+
+
+_M32 = "4294967296::hugeint"
+_T32 = f"(({{}})::hugeint * ({{}})::hugeint % {_M32})::bigint"
+_X1 = _T32.format("xor(s, s >> 15)", "s | 1")
+_X2 = f"xor(x, ((x + {_T32.format('xor(x, x >> 7)', 'x | 61')}) % {_M32})::bigint)"
+
+
+@query(
+    f"""with a as (select event_id, ((user_id::hugeint + (event_id + 1)::hugeint * 1831565813) % {_M32})::bigint as s from events), b as (select event_id, {_X1} as x from a), c as (select event_id, {_X2} as x from b)
+select event_id, xor(x, x >> 14) / 4294967296.0::double as draw, (floor(xor(x, x >> 14) / 4294967296.0::double * 6) + 1)::bigint as die from c"""
+)
+def seeded_draws(spark, d):
+    seed, i = F.col("user_id"), F.col("event_id")
+    return t(spark, d, "events").select("event_id", tx.draw(seed, i).alias("draw"), tx.draw_between(seed, i, 1, 6).alias("die"))
+
+
+@query(
+    """select p_partkey, case p_partkey % 5 when 0 then 'Arimo, Arial, Helvetica, sans-serif' when 1 then 'Tinos, ''Times New Roman'', serif' when 2 then 'Cousine, ''Courier New'', JetBrains Mono, monospace' when 3 then 'Cousine, ''Courier New'', monospace' else '''IBM Plex Sans'', Arimo, sans-serif' end as family,
+p_partkey % 5 = 1 or p_size > 25 as bold, p_partkey % 5 = 2 as italic from part"""
+)
+def font_faces(spark, d):
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "ABCDEF+Open Sans").when(k == 1, "Times_New-Roman,Semi Bold").when(k == 2, "Fira Code Oblique").when(k == 4, "IBM-Plex Sans")
+    face = tx.font_face(name, monospace=k == 3, bold=F.col("p_size") > 25)
+    return t(spark, d, "part").select("p_partkey", face["family"].alias("family"), face["bold"].alias("bold"), face["italic"].alias("italic"))
+
+
+@query("select doc_id, '→ ' || source || ' •✓•' as plain from documents")
+def symbol_glyphs(spark, d):
+    c = lambda *codes: F.lit("".join(map(chr, codes)))
+    return t(spark, d, "documents").select("doc_id", tx.symbol_glyphs(F.concat(c(0xF0E0, 32), F.col("source"), c(32, 0xF0B7, 0xF0FC, 0xE001))).alias("plain"))
+
+
+@query(
+    f"""with {_LINES}, h as (select doc_id, seq + 1 as line, text, string_split(lower(text), '{_Q}') as parts from lines where contains(lower(text), '{_Q}')),
+o as (select doc_id, line, text, unnest(range(len(parts) - 1)) as hit, unnest(list_transform(range(len(parts) - 1), lambda i: list_sum(list_transform(parts[1:i + 1], lambda p: length(p)))::bigint + i * {len(_Q)})) as pos from h),
+b as (select *, greatest(0, pos - 30) as lo, least(length(text), pos + {len(_Q)} + 30) as hi from o)
+select doc_id, line::int as line, hit::int as hit, pos::int as at, case when lo > 0 then '…' else '' end || substr(text, lo + 1, hi - lo) || case when hi < length(text) then '…' else '' end as snippet from b"""
+)
+def search_lines(spark, d):
+    return dc.search_lines(t(spark, d, "documents"), _Q, "doc_id")
+
+
+_TITLE = "trim(regexp_replace(regexp_replace(lower({}), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}} ]', '', 'g'))"
+
+
+@query(
+    f"""with c as (select c_nationkey as page, c_custkey, c_name, c_acctbal::double as y, {_TITLE.format("c_name")} as have from customer),
+e as (select c_nationkey as page, c_custkey as seq, case c_custkey % 3 when 0 then upper(c_name) || '!' when 1 then c_name || ' and more' else left(c_name, 12) end as title, c_custkey % 9 as depth from customer where c_custkey % 7 = 0),
+f as (select *, {_TITLE.format("title")} as want, least(6, greatest(1, depth))::int as lvl from e),
+h as (select page, seq, title, lvl, c_custkey from (select f.page, seq, title, lvl, c_custkey, y, case when have = want then 3 when starts_with(have, want) or starts_with(want, have) then 2 when length(have) >= 6 and contains(want, have) then 1 end as score from f join c using (page)) where score > 0
+  qualify row_number() over (partition by page, seq order by score desc, y, c_custkey) = 1)
+select c_custkey, case when c_custkey % 2 = 0 then 9 else arg_min(lvl, seq) end::int as heading, arg_max(trim(title), seq) as toc_entry, arg_max(lvl, seq) as toc_level from h group by c_custkey"""
+)
+def outline_headings(spark, d):
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("page"), k, F.col("c_name").alias("text"), F.col("c_acctbal").cast("double").alias("y"), F.when(k % 2 == 0, 9).alias("heading"))
+    title = F.when(k % 3 == 0, F.concat(F.upper("text"), F.lit("!"))).when(k % 3 == 1, F.concat("text", F.lit(" and more"))).otherwise(F.substring("text", 1, 12))
+    outline = c.where(k % 7 == 0).select("page", k.alias("seq"), title.alias("title"), (k % 9).alias("depth"))
+    return ly.apply_outline(c, outline, ["page"], "c_custkey").where("toc_entry is not null").select("c_custkey", "heading", "toc_entry", "toc_level")
+
+
+@query(
+    """with c as (select l_suppkey, l_linenumber, case when l_linenumber > 5 then '' when l_quantity > 25 then '$' || l_quantity::int else l_returnflag || l_quantity::int end as cell from lineitem)
+select l_suppkey, l_linenumber, count(*) filter (cell <> '') as filled, count(*) filter (starts_with(cell, '$')) as numeric, count(*) filter (starts_with(cell, '$')) >= 2 and count(*) filter (starts_with(cell, '$')) >= count(*) filter (cell <> '') * 0.6 as is_numeric from c group by 1, 2"""
+)
+def numeric_columns(spark, d):
+    cell = F.when(F.col("l_linenumber") > 5, "").when(F.col("l_quantity") > 25, F.concat(F.lit("$"), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.concat("l_returnflag", F.col("l_quantity").cast("int").cast("string")))
+    return ly.numeric_columns(t(spark, d, "lineitem").select("l_suppkey", "l_linenumber", cell.alias("text")), ["l_suppkey", "l_linenumber"])
+
+
+@query("select user_id, min(value::double) as \"left\", min((event_id % 50)::double) as top, max(value::double + 3) as \"right\", max((event_id % 50)::double + event_id % 4) as bottom from events group by 1")
+def box_extent(spark, d):
+    n = F.col("event_id")
+    boxes = t(spark, d, "events").select("user_id", F.col("value").cast("double").alias("x"), (n % 50).cast("double").alias("y"), F.lit(3.0).alias("width"), (n % 4).cast("double").alias("height"))
+    return ly.extent(boxes, ["user_id"])
+
+
+@query(
+    "with g as (select l_partkey, l_extendedprice::double - lag(l_extendedprice::double) over (partition by l_partkey order by l_extendedprice::double) as g from lineitem) select l_partkey, round(list_sort(list(g))[(count(*) // 2 + 1)::int], 6) as median, count(*) as n from g where g is not null group by 1"
+)
+def row_pitch(spark, d):
+    rows = t(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").cast("double").alias("y"))
+    return ly.row_pitch(rows, "l_partkey").select("l_partkey", F.round("median", 6).alias("median"), "n")
+
+
+@query(
+    """with e as (select event_id, user_id, (user_id % 3 + 1)::int as level, value::double as y, row_number() over (partition by user_id order by ts, event_id) as i from events), h as (select *, case when event_id % 4 > 0 then level end as heading from e),
+j as (select *, coalesce(heading = lag(heading) over w and y - lag(y) over w > 0 and y - lag(y) over w < 12 * (25.4::double / 72) * 2.2, false) as joins from h window w as (partition by user_id order by i))
+select event_id, case when heading is not null then sum(case when joins then 0 else 1 end) over (partition by user_id order by i)::bigint end as title from j"""
+)
+def wrapped_headings(spark, d):
+    n = F.col("event_id")
+    lines = t(spark, d, "events").select("user_id", n, F.struct("ts", "event_id").alias("o"), F.col("value").cast("double").alias("y"), F.lit(1.0).alias("x"), F.lit(12.0).alias("font_size"), F.when(n % 4 > 0, (F.col("user_id") % 3 + 1).cast("int")).alias("heading"))
+    return ly.wrapped_headings(lines, ["user_id"], "o").select("event_id", F.col("title").cast("long").alias("title"))
+
+
+@query(
+    """with r as (select event_id, user_id % 20 as page, event_type as text, value::double as x, (event_id % 30)::double as y from events), w as (select user_id % 20 as page, event_type as value, event_id as wid, value::double - 5 as x, (event_id % 30)::double as y from events where event_id % 11 = 0)
+select event_id from r where not exists (select 1 from w where w.page = r.page and w.value = r.text and r.x + 2 between w.x and w.x + 10 and r.y + 1 between w.y - 1 and w.y + 3)"""
+)
+def runs_without_widgets(spark, d):
+    n = F.col("event_id")
+    e = t(spark, d, "events").select((F.col("user_id") % 20).alias("page"), n, F.col("event_type").alias("text"), F.col("value").cast("double").alias("x"), (n % 30).cast("double").alias("y"))
+    runs = e.withColumn("width", F.lit(4.0)).withColumn("height", F.lit(2.0))
+    widgets = e.where(n % 11 == 0).select("page", F.concat(F.lit(" "), F.col("text")).alias("value"), (F.col("x") - 5).alias("x"), "y", F.lit(10.0).alias("width"), F.lit(2.0).alias("height"))
+    return ly.without_widget_values(runs, widgets, ["page"], "event_id").select("event_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -23,7 +23,8 @@ def folder(spark: SparkSession, path: str, pattern: str = "*.json", output: str
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     own = F.substring_index("file", path.rstrip("/").rpartition("/")[2] + "/", -1)
     rows = rows.where(~own.rlike(SKIPPED))
-    return rows.where(~F.startswith(own, F.lit(output.strip("/") + "/"))) if output else rows
+    rows = rows.where(~F.startswith(own, F.lit(output.strip("/") + "/"))) if output else rows
+    return rows.orderBy("file")
 
 
 def documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -68,24 +69,29 @@ def _tree(value: Column) -> Column:
 
 
 def subtitles(rows: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
-    """(key, t0, t1, text): SRT, WebVTT or JSON segments; tags are dropped, lines joined; bad stamps give no row."""
-    stamp = r"([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
-    plain = rows.where(_tree(F.col(value)).isNull()).select(key, F.explode(F.split(F.regexp_replace(value, "\r\n?", "\n"), r"\n\s*\n")).alias("b")).where(F.col("b").rlike(stamp))
+    """(key, t0, t1, text, speaker): SRT, WebVTT or JSON segments; tags are dropped, lines joined, segments without text
+    left out. speaker is null where none is named; a stamp that is none, and a missing end or begin in SRT, are null."""
+    plain = rows.where(_tree(F.col(value)).isNull()).select(key, F.explode(F.split(F.regexp_replace(value, "\r\n?", "\n"), r"\n\s*\n")).alias("b")).where(F.contains("b", F.lit("-->")))
+    stamp = F.regexp_extract("b", r"([^\n]*)-->([^\n]*)", 0)
+    side = lambda i: seconds(F.get(F.split(F.trim(F.get(F.split(stamp, "-->"), F.lit(i))), r"\s+"), F.lit(0)))
     body = F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "<[^>]+>", "")
-    plain = plain.select(key, seconds(F.regexp_extract("b", stamp, 1)).alias("t0"), seconds(F.regexp_extract("b", stamp, 2)).alias("t1"), collapse(body).alias("text"))
+    plain = plain.select(key, side(0).alias("t0"), side(1).alias("t1"), collapse(body).alias("text"), F.lit(None).cast("string").alias("speaker"))
     v = _tree(F.col(value))
     parts = F.coalesce(F.try_variant_get(v, "$.segments", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    num = lambda s, *ps: F.coalesce(*(F.try_variant_get(s, p, "double") for p in ps))
-    tree = rows.where(v.isNotNull()).select(key, F.explode(parts).alias("s")).select(key, num(F.col("s"), "$.t0", "$.start", "$.from").alias("t0"), num(F.col("s"), "$.t1", "$.end", "$.to").alias("t1"), collapse(F.coalesce(F.try_variant_get("s", "$.text", "string"), F.lit(""))).alias("text"))
-    return plain.unionByName(tree).where("t0 is not null and t1 is not null and text <> ''")
+    num = lambda s, *ps: F.coalesce(*(F.try_variant_get(s, p, "double") for p in ps), F.lit(0.0))
+    said = lambda p: F.try_variant_get("s", p, "string")
+    tree = rows.where(v.isNotNull()).select(key, F.explode(parts).alias("s"))
+    tree = tree.select(key, num(F.col("s"), "$.t0", "$.start", "$.from").alias("t0"), num(F.col("s"), "$.t1", "$.end", "$.to").alias("t1"), trim_all(F.coalesce(said("$.text"), F.lit(""))).alias("text"), F.nullif(said("$.speaker"), F.lit("")).alias("speaker"))
+    return plain.unionByName(tree).where("text <> ''")
 
 
 def chapters(rows: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
-    """(key, t, title): lines `mm:ss Title` or a JSON array of {t, title}."""
+    """(key, t, title): lines `mm:ss Title` or a JSON array of {t or start, title}."""
     line = r"^\s*((?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d+)?)\s+(.*\S)\s*$"
     v = _tree(F.col(value))
     plain = rows.where(v.isNull()).select(key, F.explode(F.split(value, "\r?\n")).alias("l")).where(F.col("l").rlike(line)).select(key, seconds(F.regexp_extract("l", line, 1)).alias("t"), F.regexp_extract("l", line, 2).alias("title"))
-    tree = rows.where(v.isNotNull()).select(key, F.explode(F.try_variant_get(v, "$", "array<variant>")).alias("c")).select(key, F.try_variant_get("c", "$.t", "double").alias("t"), F.try_variant_get("c", "$.title", "string").alias("title"))
+    at = F.coalesce(F.try_variant_get("c", "$.t", "double"), F.try_variant_get("c", "$.start", "double"), F.lit(0.0))
+    tree = rows.where(v.isNotNull()).select(key, F.explode(F.try_variant_get(v, "$", "array<variant>")).alias("c")).select(key, at.alias("t"), F.coalesce(F.try_variant_get("c", "$.title", "string"), F.lit("")).alias("title"))
     return plain.unionByName(tree)
 
 
@@ -101,13 +107,34 @@ def with_chapter(segments: DataFrame, chapter: DataFrame, key: str = "file") ->
 
 
 def plain_text(rows: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
-    """(key, page, seq, kind, text): pages at form feeds, blocks at blank lines; bullets, numbered lines, headings by
-    their share of capitals."""
-    pages = rows.select(key, F.posexplode(F.split(F.regexp_replace(value, "\r\n?", "\n"), "\f")).alias("page", "p"))
-    lines = pages.select(key, (F.col("page") + 1).alias("page"), F.posexplode(F.split("p", "\n")).alias("seq", "l")).withColumn("text", trim_all(F.col("l"))).where("text <> ''").drop("l")
-    letters, capitals = F.regexp_count("text", F.lit(r"\p{L}")), F.regexp_count("text", F.lit(r"\p{Lu}"))
-    kind = F.when(F.col("text").rlike(r"^[-*•]\s+"), "bullet").when(F.col("text").rlike(r"^\d+[.)]\s+"), "numbered").when((F.length("text") <= 80) & (letters > 2) & (capitals > 0.7 * letters), "heading").otherwise("text")
-    return lines.withColumn("kind", kind)
+    """(key, page, seq, kind, level, text, items): blocks of a plain text; pages are parted by form feeds, blocks by
+    blank lines, both counted from 1 and 0.
+
+    A block of two lines or more that all begin with a bullet is a list; one where at least half begin with a number and
+    a dot or bracket, two or more, is ordered. A block of one line is a heading where it is short and no sentence: level
+    1 if capitals prevail (and for a document's first block), 2 and 3 below that. Other blocks are text, their lines
+    joined. Sizes are in UTF-8 bytes.
+    """
+    whole = F.regexp_replace(value, "\r\n?", "\n")
+    pages = rows.select(key, F.posexplode(F.filter(F.split(whole, "\f"), lambda p: trim_all(p) != "")).alias("page", "p"))
+    blocks = F.filter(F.transform(F.split("p", "\n\n"), lambda b: F.regexp_replace(b, r"^[\n ]+|[\n ]+$", "")), lambda b: b != "")
+    b = pages.select(key, (F.col("page") + 1).alias("page"), F.posexplode(blocks).alias("seq", "b"))
+    b = b.withColumn("lines", F.filter(F.transform(F.split("b", "\n"), lambda x: F.rtrim(x)), lambda x: x != "")).where(F.size("lines") > 0)
+    some = lambda pattern: F.size(F.filter("lines", lambda x: x.rlike(pattern)))
+    bullets, numbers, n = some(r"^\s*([●•○]|[-*·] )"), some(r"^\s*[0-9]+[.)] "), F.size("lines")
+    is_list = (bullets >= n) & (bullets >= 2)
+    is_ordered = ~is_list & (numbers >= 2) & (numbers >= F.floor(n / 2))
+    bare = lambda pattern: F.filter(F.transform("lines", lambda x: trim_all(F.regexp_replace(x, pattern, ""))), lambda x: x != "")
+    items = F.when(is_list, bare("^[\\s●•○·*-]+")).when(is_ordered, bare(r"^\s*[0-9]*[.)]?"))
+    t = trim_all(F.element_at("lines", 1))
+    size, letters, capitals = F.octet_length(t), F.regexp_replace(t, r"\P{L}", ""), F.regexp_count(t, F.lit(r"\p{Lu}"))
+    titled = F.forall(F.split(t, r"\s+"), lambda w: w.rlike(r"^(\p{Lu}|\P{L})"))
+    level = F.when((capitals / F.octet_length(letters) > 0.85) & (size <= 60), 1).when((F.size(F.split(t, r"\s+")) <= 8) & titled & (size <= 60), 2)
+    level = F.when((n == 1) & (size <= 90) & ~t.rlike("[.,;:]$") & (F.octet_length(letters) >= 2), level)
+    first = (F.col("page") == 1) & (F.col("seq") == 0)
+    kind = F.when(is_list, "list").when(is_ordered, "ordered").when(level.isNotNull(), "heading").otherwise("text")
+    text = F.when(items.isNull(), F.array_join(F.transform("lines", lambda x: trim_all(x)), " "))
+    return b.select(key, "page", "seq", kind.alias("kind"), F.when(kind == "heading", F.when(first, 1).otherwise(level + 1)).alias("level"), text.alias("text"), items.alias("items"))
 
 
 def _markdown(text: str) -> list[tuple]:

@@ -1,0 +1,195 @@
+"""Operators on JSON trees, layout folds, questions and plain text, against brute force or documents made by hand."""
+
+import json
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as tx
+from leafmill.operators import chunking, documents, elements, layout, retrieval, trees
+from leafmill.sources import readers
+
+
+def frame(spark, trees_):
+    return spark.createDataFrame([(i, x if isinstance(x, str) or x is None else json.dumps(x)) for i, x in enumerate(trees_)], "doc_id long, value string")
+
+
+def chain(kind, n, leaf):
+    """An element of a kind nested n deep."""
+    for i in range(n):
+        leaf = {"type": "collapsible", "title": f"s{i}", "elements": [leaf]} if kind == "collapsible" else {"content": f" i{i} ", "children": [leaf]}
+    return leaf
+
+
+def test_any_depth(spark):
+    deep = {"pages": [{"elements": [chain("collapsible", 150, {"type": "text", "content": "x"}), {"type": "list", "items": [chain("list", 9, {"content": "end"}), "flat"]}]}]}
+    top = elements.top_level(elements.parse_documents(frame(spark, [deep])))
+    rows = elements.walk(top).where("depth > 0").collect()
+    assert max(r.depth for r in rows) == 150 and len(rows) == 150
+    text = top.where("type = 'list'").select(elements.serialize(F.col("el")).alias("x")).first()["x"]
+    assert text == "\n".join([*("  " * i + f"- i{8 - i}" for i in range(9)), "  " * 9 + "- end", "- flat"])
+
+
+def test_form_fields_everywhere(spark):
+    field = lambda n, **kw: {"type": "input", "name": n, **kw}
+    tree = {
+        "footer": {"elements": [field("last")]},
+        "pages": [{"footer": {"elements": [field("b")]}, "header": {"elements": [{"type": "select", "name": "h", "values": ["p", "q"]}]}, "elements": [field(""), field(3), {"items": [field("i", value="v")], "rows": [[[field("r")], "x"], 5], "elements": [field("e")]}]}, None],
+    }
+    got = trees.form_fields(frame(spark, [tree, "[]", "{", None, "{}"])).orderBy("seq").collect()
+    assert [(r.doc_id, r.name, r.value) for r in got] == [(0, "e", None), (0, "i", "v"), (0, "r", None), (0, "h", '["p","q"]'), (0, "b", None), (0, "last", None)]
+
+
+def test_edits(spark):
+    tree = {"pages": [{"elements": [{"a": 1, "position": {"x": 1}}, {"b": 2}]}]}
+    first = ["pages", 0, "elements", 0]
+    steps = [("duplicate", first, None, None), ("set", first, "style.runs.1.size", 3), ("set", ["pages", 9], "x", 1), ("move", first, None, -1), ("delete", ["pages", 0, "elements", 2], None, None), ("delete_page", [0], None, None), ("delete", ["pages", 0, "elements", 0, "a"], None, None)]
+    edits = spark.createDataFrame([(0, i, op, json.dumps(path), field, json.dumps(v)) for i, (op, path, field, v) in enumerate(steps)], "doc_id long, seq int, op string, path string, field string, payload string")
+    got = {r.doc_id: r.value for r in trees.apply_edits(frame(spark, [tree, '{"untouched" : 1}', None]), edits).collect()}
+    assert json.loads(got[0]) == {"pages": [{"elements": [{"position": {"x": 1}, "style": {"runs": [None, {"size": 3}]}}, {"a": 1, "position": {"x": 5, "y": 4}}]}]}
+    assert got[1] == '{"untouched" : 1}' and got[2] is None
+    broken = spark.createDataFrame([(1, 0, "set", "no path", "x", "1")], edits.schema)
+    assert json.loads(next(r.value for r in trees.apply_edits(frame(spark, [tree, '{"u":1}']), broken).collect() if r.doc_id == 1)) == {"u": 1, "x": 1}
+
+
+def test_schema_rules():
+    rules = {"type": "object", "properties": {"n": {"oneOf": [{"type": "string"}, {"type": "integer"}]}, "k": {"if": {"const": 1}, "then": False}, "s": {"pattern": "^a", "minLength": 3}}, "patternProperties": {"^x": {"type": ["null", "array"]}}, "minProperties": 9}
+    found = lambda v: list(trees.broken_rules(v, rules, rules))
+    assert found({"n": 1, "k": 2, "s": "abc", "xy": None}) == []
+    assert found([]) == [("", "must be object")]
+    assert found({"n": 1.5, "k": 1, "s": "b", "xy": {}}) == [
+        ("/n", "must match exactly one schema in oneOf"), ("/k", "boolean schema is false"), ("/s", "must NOT have fewer than 3 characters"), ("/s", 'must match pattern "^a"'), ("/xy", "must be null,array"),
+    ]
+
+
+def test_structure_of_odd_documents(spark):
+    docs = elements.parse_documents(frame(spark, ["3", '{"v":"1","meta":{"title":"t"},"pages":[{"elements":[null,"x"]}]}']))
+    got = documents.structure_report(docs, "v").collect()
+    assert [r.message for r in got if r.doc_id == 1] == ["page[0].element[0].type missing", "page[0].element[1].type missing"]
+    assert len([r for r in got if r.doc_id == 0]) == 3
+
+
+def test_search_texts():
+    e = {"type": "table", "headers": ["h"], "rows": [["a", None, {"content": "c"}], [1]]}
+    assert trees.shown_text(e) == "h a  c 1" and trees.every_text(e) == "a c"
+    field = {"type": "input", "label": "L", "value": "data:x", "values": ["v"], "elements": [{"content": "in"}, {}], "runs": [{"text": "r"}, {"text": "s"}]}
+    assert trees.every_text(field) == "rs L L data:x v in" and trees.every_text(field, False) == "rs L v in"
+    assert trees.shown_text({"type": "list", "items": [{"content": "a", "children": [{"content": "b"}]}, {"content": "c"}]}) == "a b c"
+
+
+def test_assets_that_cannot_be_read_stay():
+    tree = {"pages": [{"elements": [{"type": "image", "src": "data:image/png;base64,*"}, {"type": "video", "src": "data:video/mp4;base64,aGk="}]}], "resources": {"images": {"k": {"data": "%%"}}}}
+    assert trees.take_assets(tree) == [("asset-1", "video/mp4", "mp4", b"hi")]
+    assert tree["pages"][0]["elements"][0]["src"].endswith("*") and tree["resources"]["images"]["k"] == {"data": "%%"}
+
+
+def questions_by_hand(text, per_doc):
+    """The rule with places of matches instead of arrays."""
+    number = re.compile(r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{2,})\s?%?")
+    out = []
+    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z(]|\d+(?:\.\d+)*\s+[A-Z])", re.sub(r"\s+", " ", text)):
+        if not 8 <= len(s.split()) <= 45 or "...." in s:
+            continue
+        for m in number.finditer(s):
+            head, tail = s[: m.start()], s[m.end() :]
+            if re.fullmatch(r"(19|20)\d\d", m[1]) or re.search(retrieval.LABELS.replace("(?i)", ""), head, re.I) or re.match(r"\s*(th|st|nd|rd)\b", tail):
+                continue
+            if head.strip() and not (head.rstrip().endswith("[") and tail.lstrip().startswith("]")):
+                break
+        else:
+            continue
+        answer = m[0].strip()
+        words = [w for w in re.findall(retrieval.KEY_WORD, s) if w.lower() not in retrieval.NO_KEYS and w.lower() not in answer.lower()]
+        if words:
+            out.append(("Fill in the blank: " + (head + "____" + tail).strip(), answer, max(words, key=len)))
+    picked = range(len(out)) if len(out) <= per_doc else [int(i * (len(out) / per_doc)) for i in range(per_doc)]
+    return [(i, *out[i]) for i in picked]
+
+
+def test_blanked_questions(spark):
+    rng = random.Random(8)
+    bits = ["Figure 12", "in 1999", "the 21st", "[39]", "1,234.5 %", "costs 37", "Alpha rises", "0.75", "see Table", "(pp. 14)", "12,345th", "grown", "sample", "v1.20", "x 99%", "....", "which", "value", "3 Methods", "2021 %", "widget-like"]
+    texts = [" ".join(rng.choice(bits) + rng.choice(["", "", "", ".", "?\n"]) for _ in range(rng.randint(0, 120))) for _ in range(150)] + ["", None]
+    got = {}
+    for r in retrieval.blanked_questions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect():
+        got.setdefault(r.doc_id, []).append((r.n, r.question, r.answer, r.word))
+    want = {i: q for i, x in enumerate(texts) if (q := questions_by_hand(x or "", 3))}
+    assert len(want) > 50 and {i: sorted(q) for i, q in got.items()} == want
+
+
+def wrapped_by_hand(text, most):
+    out = []
+    for line in text.split("\n"):
+        now = ""
+        for w in line.split():
+            if now and len(now) + 1 + len(w) <= most:
+                now += " " + w
+                continue
+            out += [now] if now else []
+            *full, now = [w[i : i + most] for i in range(0, len(w), most)]
+            out += full
+        out.append(now)
+    return out
+
+
+def test_wrap_and_draws(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab  \n😀") for _ in range(rng.randint(0, 90))) for _ in range(100)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, s string").select("i", tx.wrap(F.col("s"), 7).alias("w")).collect()
+    assert all(list(r.w) == wrapped_by_hand(texts[r.i], 7) for r in got)
+
+    def stream(state, n):
+        for _ in range(n):
+            state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+            x = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
+            x ^= (x + ((x ^ x >> 7) * (x | 61))) & 0xFFFFFFFF
+            yield (x ^ x >> 14) / 2**32
+
+    for seed in (0, 7, 4294967295):
+        got = [r.x for r in spark.range(200).orderBy("id").select(tx.draw(F.lit(seed), F.col("id")).alias("x")).collect()]
+        assert got == list(stream(seed, 200))
+
+
+def test_lines_and_paragraphs(spark):
+    run = lambda text, x, y, width, **kw: {"text": text, "x": x, "y": y, "width": width, "font_size": 10.0, "face": "f", "color": "k", **kw}
+    runs = [run("Hel", 0, 0, 5), run("lo", 5, 0.1, 4), run("you", 10, 0, 6), run("37", 18, 0, 3), run("$", 21, 0, 1), run(" ", 22, 0, 9), run("far", 60, 0, 4), run("red", 64.1, 0, 4, color="r"), run("", 1, 1, 1)]
+    assert [r["text"] for r in layout.merge_lines(runs)] == ["Hello you", "37", "$", "far", "red"]
+    twins = layout.without_doubles([run("a", 0, 0, 1), run("a ", 0.4, 0.4, 1), run("b", 0, 0, 1), run("a", 0, 5, 1)])
+    assert [(r["text"], r.get("bold")) for r in twins] == [("a", True), ("b", None), ("a", None)]
+    many = [run(f"{i}", 0, i, 1) for i in range(50)]
+    assert len(layout.without_doubles([*many, run("3", 0, 3, 1)])) == 51  # more than 40 lines back
+    lines = [run("First line is full", 0, 0, 100), run("goes on.", 0, 4, 30), run("New one", 0, 8, 40), run("• item", 0, 12, 100), run("Head", 0, 16, 90, heading=1), run("body", 0, 20, 10)]
+    assert [r["paragraph"] for r in layout.paragraphs(lines)] == [0, 0, 1, 2, 3, 4]
+    df = spark.createDataFrame([(p, i, r["text"], r["x"], float(r["y"]), float(r["width"]), 10.0, "f", None) for p in (1, 2) for i, r in enumerate(lines[:3])], "page int, seq int, text string, x long, y double, width double, font_size double, face string, heading int")
+    got = layout.each_page(df.fillna({"heading": 0}), ["page"], ["seq"], layout.paragraphs, "seq int, paragraph int").orderBy("page", "seq").collect()
+    assert [(r.page, r.paragraph) for r in got] == [(1, 0), (1, 0), (1, 1), (2, 0), (2, 0), (2, 1)]
+
+
+def test_plain_text(spark):
+    text = "Quarterly Report\n\nSALES FIGURES\n\nWe sold things\r\nand more.\n\n- one\n• two\n\n1. a\n2) b\nnote\n\f\n\f\nWhat Came Next\n\nnot a heading here, as it is long\n\n- lone"
+    got = readers.plain_text(spark.createDataFrame([("f", text), ("g", ""), ("h", None)], "file string, value string")).orderBy("page", "seq").collect()
+    assert [(r.page, r.kind, r.level, r.text, r["items"]) for r in got] == [
+        (1, "heading", 1, "Quarterly Report", None), (1, "heading", 2, "SALES FIGURES", None), (1, "text", None, "We sold things and more.", None), (1, "list", None, None, ["one", "two"]),
+        (1, "ordered", None, None, ["a", "b", "note"]), (2, "heading", 3, "What Came Next", None), (2, "text", None, "not a heading here, as it is long", None), (2, "text", None, "- lone", None),
+    ]
+
+
+def test_subtitles_keep_speakers(spark):
+    rows = spark.createDataFrame([("a", '{"segments":[{"from":1,"to":2,"text":" x ","speaker":"Ann"},{"text":""}]}'), ("b", "WEBVTT\n\n00:01.5 --> 00:02.5 align:start\n<b>hi</b>\n\nbad --> 0:03\nyes")], "file string, value string")
+    assert [tuple(r) for r in readers.subtitles(rows).orderBy("file", F.desc("t0")).collect()] == [("a", 1.0, 2.0, "x", "Ann"), ("b", 1.5, 2.5, "hi", None), ("b", None, 3.0, "yes", None)]
+    ch = readers.chapters(spark.createDataFrame([("a", '[{"start": 4, "title": "s"}, {}]')], "file string, value string"))
+    assert sorted(tuple(r) for r in ch.collect()) == [("a", 0.0, ""), ("a", 4.0, "s")]
+
+
+def test_section_chunks_of_a_document(spark):
+    """Chunks by hand: headings that follow one another lead one section; texts are joined by a blank line."""
+    el = lambda content, **kw: {"type": "text", "content": content, **kw}
+    tree = {"pages": [{"elements": [el("Report", heading=1, id="top"), el("Costs", heading=2), el("Rent is 5."), {"type": "list", "items": [{"content": "a"}, {"content": "b"}]}]}, {"elements": [el("goes on"), el("Staff", heading=2), el("Ten.")]}]}
+    top = elements.top_level(elements.parse_documents(frame(spark, [tree]))).withColumn("seq", F.col("page").cast("long") * 1000 + F.col("el_idx")).withColumn("text", elements.serialize(F.col("el")))
+    got = chunking.chunk(top, "section").orderBy("section").collect()
+    assert [(r.id, r.page, list(r.path), list(r.types), r.text) for r in got] == [
+        ("top", 1, ["Report", "Costs"], ["text", "list"], "Report\n\nCosts\n\nRent is 5.\n\n- a\n- b\n\ngoes on"),
+        ("p2e1", 2, ["Report", "Staff"], ["text"], "Staff\n\nTen."),
+    ]
+    assert [r.tokens for r in got] == [11, 3]
