@@ -53,7 +53,18 @@ def materialize(df: DataFrame, what: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of materialize. Only for those that no plan still to be run reads, also after a lost executor: what
+    was made of them must be written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -290,8 +301,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = _lowest(both(), before[0], before[2]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large, "large")
         n, _, most = _state(large)
+        old = e
         small = _lowest(large, n, most).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
         e = materialize(small.where("a != b").distinct(), "edges")
+        release(old, large)
         now = _state(both())
         if now == before:
             break

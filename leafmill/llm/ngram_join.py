@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, as_long, bucket_totals, components, lists, materialize, mix, slices
+from .common import NOT_SPACE, Words, as_long, bucket_totals, components, lists, materialize, mix, release, slices
 
 #: The global order counts shingles in 2**ORDER_BITS buckets; any order is right, rare-first makes few candidates.
 ORDER_BITS = 20
@@ -157,6 +157,7 @@ class JaccardJoin:
         own = whole.select("fp1", "fp2", "n", "doc_id", "grams").join(own, ["fp1", "fp2", "n", "doc_id"], "left_semi")
         postings = own.select(F.posexplode("grams").alias("pos", "gram"), F.col("doc_id").alias("rep"), "n").select("gram", "rep", "n", "pos")
         self.postings = materialize(_shared(postings), "postings")
+        self.scratch: list[DataFrame] = []  # tables that the last verify reads
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, set): whole sets of the documents ids (rep), computed again from their texts, and of a few others.
@@ -197,6 +198,7 @@ class JaccardJoin:
         p = p.where((F.lit(num + den) * (F.col("n_a") + F.col("n_b") - apart)) >= F.lit(2 * num) * (F.col("n_a") + F.col("n_b")))
         p = materialize(p.select("a", "b").distinct(), "filtered")
         whole = self.sets(p.select(F.explode(F.array("a", "b")).alias("rep")))
+        self.scratch = [p, whole]
         p = p.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
         both = F.size(F.array_intersect("set_a", "set_b"))
         return p.where(F.lit(den) * both >= F.lit(num) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
@@ -233,6 +235,7 @@ class JaccardJoin:
         """Links that connect whatever is connected, or None; (a, b) between class representatives."""
         rows = self.postings.withColumn("label", F.col("rep"))
         done = found = before = None
+        spent: list[DataFrame] = []  # tables that this turn reads for the last time
         for turn in itertools.count():
             if not turn:
                 new, last = self._pivots(rows, 0), False
@@ -246,17 +249,22 @@ class JaccardJoin:
                 before = left
                 own = lambda grams: rows.join(grams.select("gram"), "gram", "left_semi")  # noqa: E731, B023
                 new = self._apart(own(per) if last else own(per.where("not many")))
+                spent = [rows, per]
                 if not last:
                     rows = materialize(own(per.where("many")), "labels")
                     new = new.unionByName(self._pivots(rows, turn)).distinct()
             new = materialize(new if done is None else new.join(done, ["a", "b"], "left_anti"), "pairs")
+            release(*spent)
             links = materialize(self.verify(new), "links")
+            release(*self.scratch)
             found = links if found is None else found.unionByName(links)
             if last:
                 break
             done = new if done is None else done.unionByName(new)
             label = components(found)
+            spent = [rows] if turn else []
             rows = materialize(rows.drop("label").join(label, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("label")), "labels")
+            release(*spent)
         return found
 
     def documents(self) -> DataFrame:
