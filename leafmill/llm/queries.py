@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, licenses, mixing, ngram_join, pii, quality, token_counts, toxicity
+from . import chat, decontaminate, forest, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -58,8 +58,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity, op12_packing)}
 
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.CONTROL)
