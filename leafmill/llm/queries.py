@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
+from . import chat, decontaminate, filter_audit, forest, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +69,7 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity, op12_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity, op11_filter_audit, op12_packing)}
 
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.CONTROL)
@@ -86,5 +90,41 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from n group by conv_id"""
 
 
+#: Documents by mask of the filters they fail, then every order of five letters and every place in it.
+_OP11 = r"""
+with d as (
+  select doc_id, coalesce("source", '') as part, coalesce("text", '') as txt,
+    list_filter(string_split_regex(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    min(doc_id) over (partition by coalesce("text", '')) as first_id from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by doc_id),
+f as (
+  select d.part, coalesce(l.good, 0) as good, coalesce(l.bad, 0) as bad,
+    {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+     'C': 100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > 5 * length(txt),
+     'D': regexp_matches(txt, '[#$%&*|]'), 'E': coalesce(d.doc_id > first_id, false)} as s
+  from d left join l on d.doc_id = l.doc_id),
+m as (
+  select part, concat(case when s.A then 'A' else '' end, case when s.B then 'B' else '' end, case when s.C then 'C' else '' end,
+    case when s.D then 'D' else '' end, case when s.E then 'E' else '' end) as failed, count(*) as n, sum(good) as good, sum(bad) as bad from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e
+  where a.x <> b.x and a.x <> c.x and a.x <> d.x and a.x <> e.x and b.x <> c.x and b.x <> d.x and b.x <> e.x and c.x <> d.x and c.x <> e.x and d.x <> e.x),
+steps as (select filter_order, i as step, filter_order[i] as letter, filter_order[1:i - 1] as earlier from orders, (select unnest(range(1, 6)) as i)),
+r as (
+  select part, filter_order, step, letter,
+    sum(n) filter (not here and translate(failed, earlier, '') = failed) as kept,
+    sum(n) filter (here and translate(failed, earlier, '') = failed) as removed,
+    sum(n) filter (here and translate(failed, earlier, '') <> failed) as redundant,
+    sum(n) filter (failed = letter) as unique_fails,
+    sum(good) filter (here and translate(failed, earlier, '') = failed) as good_lost,
+    sum(bad) filter (here and translate(failed, earlier, '') = failed) as toxic_lost
+  from (select *, contains(failed, letter) as here from m, steps) group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  (sum(coalesce(removed, 0)) over (partition by part, letter))::bigint as shapley
+from r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": _OP7}
+    return {"op7_chat": _OP7, "op11_filter_audit": _OP11}
