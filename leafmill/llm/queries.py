@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, filter_audit, forest, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
+from . import chat, collocations, decontaminate, filter_audit, forest, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -68,8 +68,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity, op11_filter_audit, op12_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_quality, op4_licenses, op5_near_dedup, op6_decontaminate, op7_chat, op8_mixing, op9_ngram_join, op10_toxicity, op11_filter_audit, op12_packing, op13_collocations)}
 
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.CONTROL)
@@ -126,5 +130,29 @@ select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept,
 from r"""
 
 
+#: Pieces of words, all runs of up to four of them with their counts, the lowest cut of each frequent one.
+_OP13 = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+n as (select lang, sum(len(w)) as n from w group by lang),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+runs as (select lang, w[i:i + 3] as w from starts),
+grams as (
+  select lang, k, array_to_string(w[1:k], ' ') as phrase, count(*)::hugeint as f from (select lang, w, unnest(range(1, len(w) + 1)) as k from runs) group by all having count(*) >= 30),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from grams where k > 1),
+cuts as (select lang, phrase, a, k, w, unnest(range(1, k)) as cut from c),
+scored as (
+  select x.lang, x.phrase, x.a, x.cut, l.f as l, r.f as r, 2000000::hugeint * x.a // (l.f + r.f) as score
+  from cuts x join grams l on l.lang = x.lang and l.phrase = array_to_string(x.w[1:x.cut], ' ') join grams r on r.lang = x.lang and r.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+firsts as (select lang, a, k, w, len, unnest(range(1, k - len + 2)) as i from (select *, unnest(range(2, k)) as len from c)),
+inside as (select lang, array_to_string(w[i:i + len - 1], ' ') as phrase, max(a) as longer from firsts group by all),
+kept as (select b.* from best b left join inside i on b.lang = i.lang and b.phrase = i.phrase where i.longer is null or 100 * i.longer < 80 * b.a)
+select k.lang, (row_number() over (partition by k.lang order by score desc, a desc, encode(phrase)))::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n.n::bigint as n, score::bigint as score
+from kept k join n on k.lang = n.lang
+qualify row_number() over (partition by k.lang order by score desc, a desc, encode(phrase)) <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": _OP7, "op11_filter_audit": _OP11}
+    return {"op7_chat": _OP7, "op11_filter_audit": _OP11, "op13_collocations": _OP13}
