@@ -48,11 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: With it Spark removes the shuffle files of an execution when that ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, what: str = "t") -> DataFrame:
-    """Cuts the lineage: df written once as Parquet in the shared folder and read again with the same schema."""
+    """Cuts the lineage: df written once as Parquet in the shared folder and read again with the same schema.
+
+    What was shuffled for it is of no use once the table is there, so those files go at once, not when the driver
+    happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
