@@ -167,8 +167,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: s != "")
 
 
+#: What a number in a table may end with (fixed values).
+UNITS = ("ms", "s", "k", "m", "b", "M", "K", "B", "x", "×")
+
+
 def is_numeric_cell(s: Column) -> Column:
-    return F.regexp_replace(s, r"[\s$€£%(),]", "").rlike(r"^[-+]?\d+(\.\d+)?$")
+    """Digits with decimals and one of UNITS, signs of currency, per cent, brackets, commas and a sign before them aside; dashes alone stand for a number too."""
+    bare = F.regexp_replace(F.regexp_replace(s, _WS[:-1] + "$€£¥(),%]", ""), "^[+\\-−–]", "")
+    return trim_all(s).rlike("^[—–\\-]+$") | bare.rlike(f"^\\d+(\\.\\d+)?({'|'.join(UNITS)})?$")
 
 
 def percent_decode(s: Column) -> Column:

@@ -795,9 +795,15 @@ def runs_without_widgets(spark, d):
     return ly.without_widget_values(runs, widgets, ["page"], "event_id").select("event_id")
 
 
+def _all() -> None:
+    from . import tables  # noqa: F401, it adds its own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("leafmill.shared.dir", d)  # spark.checkpoint.dir cannot be set in a running session
     return d
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts the lineage: df written once as Parquet in the shared folder and read again with the same schema."""
+    path = f"{shared_dir(df.sparkSession)}/leafmill/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
