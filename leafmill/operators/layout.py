@@ -28,26 +28,95 @@ def islands(rows: DataFrame, by: list[str], order: str, joins: Column) -> DataFr
     return rows.withColumn("island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def gutters(intervals: DataFrame, page: str = "page", lo: str = "x", hi: str = "x2", most: float = 0.02, least_bins: int = 6, step: float = 0.5) -> DataFrame:
-    """(page, left, right): runs of least_bins bins or more that hardly any line covers."""
-    c = coverage(intervals, [page], lo, hi, step)
-    n = intervals.groupBy(page).agg(F.count("*").alias("n"))
-    low = c.join(n, page).where(F.col("covered") <= F.col("n") * most)
+def gutters(lines: DataFrame, page_width: float, page: str = "page", step: float = 0.5) -> DataFrame:
+    """(page, left, right): blank strips between the text columns of pages, in mm.
+
+    lines: (page, text, x, width, font_size, body), body the size of the page's running text. Only lines of that size
+    (1.5 points more or less) narrower than 0.6 of the page count; a page needs twelve of them over 0.4 of its width. A
+    strip is 3 mm wide or more, lies 0.15 of the text's width inside it, and 5 % of the lines, two at least, may cross
+    it. All strips of a page go if one of them has less than four lines wholly on either side.
+    """
+    x, end = F.col("x").cast("double"), F.col("x").cast("double") + F.col("width")
+    body = lines.where((F.trim("text") != "") & (F.abs(F.col("font_size") - F.col("body")) <= 1.5) & (F.col("width") > 0) & (F.col("width") < page_width * 0.6)).select(page, x.alias("x"), end.alias("end"))
+    size = body.groupBy(page).agg(F.count("*").alias("n"), F.min("x").alias("from"), F.max("end").alias("to")).where((F.col("n") >= 12) & (F.col("to") - F.col("from") >= page_width * 0.4))
+    own = body.join(size, page).select(page, "n", "from", "to", (F.col("x") - F.col("from")).alias("x"), (F.col("end") - F.col("from")).alias("end"))
+    c = coverage(own, [page], "x", "end", step).join(size, page)
+    low = c.where(F.col("covered") <= F.greatest(F.lit(2.0), F.floor(F.col("n") * 0.05 + 0.5)))
     low = islands(low, [page], "bin", F.col("bin") - F.lag("bin").over(Window.partitionBy(page).orderBy("bin")) == 1)
-    return low.groupBy(page, "island").agg((F.min("bin") * step).alias("left"), ((F.max("bin") + 1) * step).alias("right")).where(F.col("right") - F.col("left") >= least_bins * step).drop("island")
+    g = low.groupBy(page, "island").agg(F.any_value("from").alias("from"), F.any_value("to").alias("to"), (F.any_value("from") + F.min("bin") * step).alias("left"), (F.any_value("from") + (F.max("bin") + 1) * step).alias("right"))
+    margin = (F.col("to") - F.col("from")) * 0.15
+    g = g.where((F.col("right") - F.col("left") >= 3) & (F.col("left") > F.col("from") + margin) & (F.col("right") < F.col("to") - margin)).select(page, "left", "right")
+    sides = g.join(body, page).groupBy(page, "left", "right").agg(F.count_if(F.col("end") <= F.col("left") + 0.5).alias("before"), F.count_if(F.col("x") >= F.col("right") - 0.5).alias("after"))
+    solid = sides.withColumn("least", F.min(F.least("before", "after")).over(Window.partitionBy(page)))
+    return solid.where("least >= 4").select(page, "left", "right")
 
 
-def reading_order(boxes: DataFrame, gutter: DataFrame, page: str = "page") -> DataFrame:
-    """boxes (page, x, y, width) with place: elements that span a gutter part the page in bands; within a band, columns
-    from the left, each from the top. A page has few gutters, gathered in its row."""
+def reading_order(boxes: DataFrame, gutter: DataFrame, page_width: float, page: str = "page", order: str = "idx") -> DataFrame:
+    """boxes (page, order, x, y, width) with place: by columns on pages with gutters, in the order given elsewhere.
+
+    A box stands in the column that holds its left edge, or the nearest. It spans columns if it reaches beyond the middle
+    of the next one; what spans parts the page in bands, read one after another, within them column by column, each from
+    the top. A page has few gutters, gathered in its row.
+    """
     g = gutter.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("g"))
-    b = boxes.join(g, page, "left").withColumn("g", F.coalesce("g", F.expr("cast(array() as array<struct<left:double,right:double>>)")))
-    b = b.withColumn("spans", F.exists("g", lambda q: (F.col("x") < q["left"]) & (F.col("x") + F.col("width") > q["right"])))
-    b = b.withColumn("column", F.size(F.filter("g", lambda q: F.col("x") + F.col("width") / 2 > (q["left"] + q["right"]) / 2)))
-    w = Window.partitionBy(page).orderBy("y", "x")
-    b = b.withColumn("band", 2 * F.sum(F.col("spans").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("spans").cast("int"))
-    order = Window.partitionBy(page).orderBy("band", F.when(F.col("spans"), 0).otherwise(F.col("column")), "y", "x")
-    return b.withColumn("place", F.row_number().over(order)).drop("g")
+    edges = F.concat(F.array(F.lit(0.0)), F.transform("g", lambda q: q["right"].cast("double"))), F.concat(F.transform("g", lambda q: q["left"].cast("double")), F.array(F.lit(float(page_width))))
+    g = g.select(page, F.zip_with(*edges, lambda a, z: F.struct(a.alias("x0"), z.alias("x1"))).alias("columns"))
+    x = F.coalesce(F.col("x").cast("double"), F.lit(0.0))
+    off = F.transform("columns", lambda c, i: F.struct(F.when((x >= c["x0"]) & (x < c["x1"]), -1.0).otherwise(F.least(F.abs(x - c["x0"]), F.abs(x - c["x1"]))).alias("off"), i.alias("i")))
+    b = boxes.join(g, page, "left").withColumn("column", F.array_min(off)["i"])
+    following = F.get("columns", F.col("column") + 1)
+    b = b.withColumn("spans", F.coalesce(x + F.coalesce("width", F.lit(0.0)) > (following["x0"] + following["x1"]) / 2, F.lit(False)))
+    top = [F.coalesce("y", F.lit(0.0)), x, F.col(order)]
+    before = Window.partitionBy(page).orderBy(*top).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("band", F.when(F.col("columns").isNotNull(), 2 * F.sum(F.col("spans").cast("int")).over(before) - F.col("spans").cast("int")))
+    several = F.col("columns").isNotNull()
+    by = [F.when(several, c) for c in (F.col("band"), F.when(F.col("spans"), 0).otherwise(F.col("column")), *top)]
+    return b.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(*by, order))).drop("columns", "column", "spans", "band")
+
+
+def next_on_line(runs: DataFrame, by: list[str], key: str, near: float = 20.0) -> DataFrame:
+    """runs (by, key, x, y, font_size, rotated) with next: the nearest run to the right (the first by key of equals) no
+    further up or down than half the larger of both sizes, 0.6 mm at least; rotated runs have none and are none.
+
+    Runs meet in strips as high as half the largest size of their page, first within `near` mm to the right; only those
+    that find none there are held against their whole strips.
+    """
+    some = runs.where(~F.coalesce("rotated", F.lit(False)) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    some = some.select(*by, F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), F.coalesce("font_size", F.lit(0.0)).cast("double").alias("_s"))
+    high = some.groupBy(*by).agg(F.greatest(F.lit(0.6), F.max("_s") * MM * 0.5).alias("_h"))
+    some = some.join(high, by).withColumn("_strip", F.floor(F.col("_y") / F.col("_h"))).withColumn("_cell", F.floor(F.col("_x") / near))
+    other = some.select(*by, "_strip", "_cell", *(F.col(c).alias(f"{c}2") for c in ("_k", "_x", "_y", "_s")))
+    fits = (F.col("_x2") > F.col("_x")) & (F.abs(F.col("_y2") - F.col("_y")) <= F.greatest(F.lit(0.6), F.greatest("_s", "_s2") * MM * 0.5))
+    strips = F.explode(F.array(*(F.col("_strip") + i for i in (-1, 0, 1))))
+    best = F.min(F.struct("_x2", "_k2"))["_k2"].alias("next")
+    cells = F.explode(F.array(F.col("_cell"), F.col("_cell") + 1))
+    ask = some.withColumn("_strip", strips)
+    close = ask.withColumn("_cell", cells).join(other, [*by, "_strip", "_cell"]).where(fits).groupBy(*by, "_k").agg(best)
+    rest = ask.drop("_cell").join(close, [*by, "_k"], "left_anti").join(other.drop("_cell"), [*by, "_strip"]).where(fits).groupBy(*by, "_k").agg(best)
+    return runs.join(close.unionByName(rest).withColumnRenamed("_k", key), [*by, key], "left")
+
+
+def rule_edges(rules: DataFrame, by: list[str], least: Column, near: float = 1.0) -> DataFrame:
+    """(by, x): where upright rules (x, width, height) less than `near` mm apart add up to the height least (a column of rules, or a number)."""
+    at = rules.where("height > width").select(*by, (F.col("x") + F.col("width") / 2).alias("x"), "height", least.alias("_least"))
+    w = Window.partitionBy(*by).orderBy("x")
+    at = islands(at, by, "x", F.col("x") - F.lag("x").over(w) < near)
+    return at.groupBy(*by, "island").agg(F.min("x").alias("x"), F.sum("height").alias("_sum"), F.max("_least").alias("_least")).where("_sum >= _least").select(*by, "x")
+
+
+def containing(points: DataFrame, intervals: DataFrame, by: list[str], value: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """points joined with the intervals (by, lo, hi, ...) that hold their value, lo < value < hi.
+
+    Each interval lies in two cells at most of the power of two that is no less than its length; a point looks into one
+    cell for each such size that its group has. So it is an equi-join whatever the lengths, not one of all with all.
+    """
+    size = F.when(F.col(hi) > F.col(lo), F.ceil(F.log2((F.col(hi) - F.col(lo)).cast("double"))).cast("int"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_size")))
+    held = intervals.withColumn("_size", size).where("_size is not null")
+    held = held.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(lo), cell(hi)))))
+    sizes = held.groupBy(*by).agg(F.collect_set("_size").alias("_sizes"))
+    asked = points.join(sizes, by).withColumn("_size", F.explode("_sizes")).drop("_sizes").withColumn("_cell", cell(value))
+    return asked.join(held, [*by, "_size", "_cell"]).where((F.col(value) > F.col(lo)) & (F.col(value) < F.col(hi))).drop("_size", "_cell")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, bin_size: float, other: str = "other", penalty: Column | None = None) -> DataFrame:

@@ -749,11 +749,15 @@ def outline_headings(spark, d):
 
 
 @query(
-    """with c as (select l_suppkey, l_linenumber, case when l_linenumber > 5 then '' when l_quantity > 25 then '$' || l_quantity::int else l_returnflag || l_quantity::int end as cell from lineitem)
-select l_suppkey, l_linenumber, count(*) filter (cell <> '') as filled, count(*) filter (starts_with(cell, '$')) as numeric, count(*) filter (starts_with(cell, '$')) >= 2 and count(*) filter (starts_with(cell, '$')) >= count(*) filter (cell <> '') * 0.6 as is_numeric from c group by 1, 2"""
+    """with c as (select l_suppkey, l_linenumber, l_quantity::int::varchar as q, l_returnflag as f, l_partkey % 9 as k from lineitem),
+t as (select *, case k when 0 then '$ ' || q when 1 then '(' || q || ')' when 2 then '—' when 3 then q || 'ms' when 4 then '−' || q when 5 then f || q when 6 then q || '%' when 7 then q || ' ' || f else '' end as cell from c),
+n as (select *, trim(cell) <> '' as used, regexp_matches(trim(cell), '^[—–\\-]+$') or regexp_matches(regexp_replace(regexp_replace(cell, '[\\s$€£¥(),%]', '', 'g'), '^[+\\-−–]', ''), '^\\d+(\\.\\d+)?(ms|s|k|m|b|M|K|B|x|×)?$') as num from t)
+select l_suppkey, l_linenumber, count(*) filter (used) as filled, count(*) filter (used and num) as numeric, count(*) filter (used and num) >= 2 and count(*) filter (used and num) >= count(*) filter (used) * 0.6 as is_numeric from n group by 1, 2"""
 )
 def numeric_columns(spark, d):
-    cell = F.when(F.col("l_linenumber") > 5, "").when(F.col("l_quantity") > 25, F.concat(F.lit("$"), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.concat("l_returnflag", F.col("l_quantity").cast("int").cast("string")))
+    q, f = F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag")
+    forms = [F.concat(F.lit("$ "), q), F.concat(F.lit("("), q, F.lit(")")), F.lit("—"), F.concat(q, F.lit("ms")), F.concat(F.lit("−"), q), F.concat(f, q), F.concat(q, F.lit("%")), F.concat(q, F.lit(" "), f), F.lit("")]
+    cell = F.element_at(F.array(*forms), (F.col("l_partkey") % 9 + 1).cast("int"))
     return ly.numeric_columns(t(spark, d, "lineitem").select("l_suppkey", "l_linenumber", cell.alias("text")), ["l_suppkey", "l_linenumber"])
 
 

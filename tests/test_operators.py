@@ -114,11 +114,29 @@ def test_sources(spark, tmp_path):
 
 
 def test_layout(spark):
-    boxes = spark.createDataFrame([(1, 10.0, y, 30.0) for y in (10.0, 20.0, 30.0)] + [(1, 60.0, y, 30.0) for y in (10.0, 20.0, 30.0)], "page int, x double, y double, width double")
-    g = layout.gutters(boxes.withColumn("x2", F.col("x") + F.col("width")))
-    assert [(r.left, r.right) for r in g.collect()] == [(40.0, 60.0)]
-    order = [(r.x, r.y) for r in layout.reading_order(boxes, g).orderBy("place").collect()]
-    assert order == [(10.0, 10.0), (10.0, 20.0), (10.0, 30.0), (60.0, 10.0), (60.0, 20.0), (60.0, 30.0)]
+    schema = "page int, idx int, text string, x double, y double, width double, font_size double, body double"
+    column = [(1, i, "t", x, y, 50.0, 10.0, 10.0) for i, (x, y) in enumerate((x, 10.0 + 5 * k) for x in (20.0, 110.0) for k in range(10))]
+    lines = spark.createDataFrame(column + [(1, 90, "wide", 30.0, 200.0, 100.0, 10.0, 10.0), (1, 91, "head", 20.0, 5.0, 160.0, 10.0, 10.0), (1, 92, "middle", 80.0, 31.0, 10.0, 10.0, 10.0)] + [(2, *r[1:]) for r in column[:11]] + [(3, *r[1:3], 20.0, *r[4:]) for r in column], schema)
+    g = layout.gutters(lines, 210.0)
+    assert [(r.page, r.left, r.right) for r in g.collect()] == [(1, 70.0, 110.0)]  # two lines may cross
+    order = [r.idx for r in layout.reading_order(lines, g, 210.0).where("page = 1").orderBy("place").collect()]
+    assert order == [91, *range(5), 92, *range(5, 10), 90, *range(10, 20)]
+    assert [r.idx for r in layout.reading_order(lines, g, 210.0).where("page = 2").orderBy("place").collect()] == sorted(r[1] for r in column[:11])
+
+
+def test_next_on_line_and_intervals(spark):
+    rng = random.Random(3)
+    runs = [(p, i, rng.uniform(0, 200), rng.choice([0, 0.4, 3, 3.2, 9]) + rng.random(), rng.choice([4.0, 10.0, 30.0, None]), rng.random() < 0.1) for p in range(3) for i in range(60)] + [(0, 100, None, 1.0, 4.0, False)]
+    got = {(r.page, r.k): r.next for r in layout.next_on_line(spark.createDataFrame(runs, "page int, k int, x double, y double, font_size double, rotated boolean"), ["page"], "k").collect()}
+    for p, k, x, y, s, turned in runs:
+        near = [(b[2], b[1]) for b in runs if b[0] == p and b[2] is not None and x is not None and not turned and not b[5] and b[2] > x and abs(b[3] - y) <= max(0.6, max(s or 0, b[4] or 0) * layout.MM / 2)]
+        assert got[p, k] == (min(near)[1] if near else None)
+    points = [(rng.randint(0, 2), i, round(rng.uniform(-50, 50), 1)) for i in range(200)] + [(0, 999, None)]
+    spans = [(rng.randint(0, 2), i, lo := round(rng.uniform(-50, 50), 1), lo + rng.choice([0, -1, 0.1, 3, 64, 200])) for i in range(80)] + [(0, 998, None, 3.0)]
+    pairs = layout.containing(spark.createDataFrame(points, "g int, p int, v double"), spark.createDataFrame(spans, "g int, i int, lo double, hi double"), ["g"], "v").collect()
+    assert sorted((r.p, r.i) for r in pairs) == sorted((p, i) for g, p, v in points for h, i, lo, hi in spans if g == h and v is not None and lo is not None and lo < v < hi)
+    rules = spark.createDataFrame([(1, 10.0, 0.2, 5.0), (1, 10.4, 0.2, 6.0), (1, 30.0, 0.2, 9.0), (1, 50.0, 9.0, 0.2), (1, 70.0, 0.0, 10.0)], "page int, x double, width double, height double")
+    assert [r.x for r in layout.rule_edges(rules, ["page"], F.lit(10.0)).orderBy("x").collect()] == [10.1, 70.0]
 
 
 def test_edits_and_embedding(spark):
