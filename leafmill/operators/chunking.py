@@ -117,33 +117,49 @@ def transcript_chunks(segments: DataFrame, key: str = "doc_id", seconds: float =
     return out.select(key, "n", "t0", "t1", "chapter", text.alias("text")).withColumn("tokens", F.ceil(utf16_len(F.col("text")) / F.lit(4.0)).cast("int")).withColumn("hash", content_hash(F.col("text")))
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of about size characters, cut at the first separator that helps, each led by the end of the one before.
+#: Where texts are parted, from the best place to the worst: paragraphs, lines, words, characters (fixed values).
+SEPARATORS = ("\n\n", "\n", " ", "")
 
-    Empty parts go. At each level every piece but the last gets the separator back, pieces cut finer included, so
-    some gain several. Pieces are stripped; a separator and the overlap may take one past size.
-    """
-    def cut(t: str, level: int) -> list[str]:
-        sep, pieces = separators[level], []
-        for p in filter(None, t.split(sep) if sep else t):
-            pieces += [p] if len(p) <= size or level + 1 == len(separators) else cut(p, level + 1)
-        return [p + sep for p in pieces[:-1]] + pieces[-1:]
 
-    out, own = [], ""
-    for piece in cut(text, 0):
-        if own and len(own) + len(piece) > size:
-            out.append(own.strip())
-            own = own[-overlap:] if overlap > 0 else ""
-        own += piece
-    return out + ([own.strip()] if own.strip() else [])
+def _pieces(text: Column, size: int, level: int = 0) -> Column:
+    """Parts of a text between separators of a level, those longer than size parted at the next; all but the last get the separator back."""
+    sep, last = SEPARATORS[level], level + 1 == len(SEPARATORS)
+    parts = F.filter(F.split(text, sep), lambda p: p != "")
+    if not last:
+        parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_pieces(p, size, level + 1))))
+    whole = F.transform(F.array(parts), lambda x: F.transform(x, lambda p, i: F.when(i < F.size(x) - 1, F.concat(p, F.lit(sep))).otherwise(p)))
+    return F.get(whole, F.lit(0))
 
 
 def split_characters(docs: DataFrame, size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece_no, piece) by split_text, in Arrow batches: nested recursion has no built-in form."""
-    def run(batches):
-        for pdf in batches:
-            pdf["pieces"] = [split_text(t, size, overlap) if t else [] for t in pdf[text]]
-            yield pdf[[key, "pieces"]]
-
-    got = docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, pieces array<string>")
-    return got.select(key, F.posexplode("pieces").alias("piece_no", "piece"))
+    """(key, piece_no, piece): pieces of about size characters, each led by the last `overlap` of the one before.
+
+    A text is parted at blank lines; parts that are too long at line ends, then at spaces, then anywhere. Empty parts go.
+    At each level every part but the last gets its separator back, parts cut finer included, so some gain several.
+    Pieces are stripped; a separator and the overlap may take one past size. The lengths of the parts tell which of them
+    a piece takes (first, number); the texts are joined afterwards.
+    """
+    span = "struct<at: int, n: int>"
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{span}>").alias("out"))
+
+    def count(s: Column, n: Column) -> Column:
+        full = (s["held"] > 0) & (s["held"] + n > size)
+        closed = F.array_append(s["out"], F.struct(s["at"].alias("at"), s["n"].alias("n")))
+        return F.struct(
+            (F.when(full, F.least(s["held"], F.lit(overlap))).otherwise(s["held"]) + n).alias("held"), F.when(full, s["at"] + s["n"]).otherwise(s["at"]).alias("at"),
+            F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, closed).otherwise(s["out"]).alias("out"),
+        )
+
+    spans = F.aggregate(F.transform("parts", lambda p: F.length(p)), start, count, lambda s: F.array_append(s["out"], F.struct(s["at"].alias("at"), s["n"].alias("n"))))
+
+    def join(s: Column, x: Column) -> Column:
+        tail = F.right(s["last"], F.lit(overlap)) if overlap > 0 else F.lit("")
+        own = F.transform(F.array(F.concat(tail, F.array_join(F.slice("parts", x["at"] + 1, x["n"]), ""))), lambda t: F.struct(t.alias("last"), F.array_append(s["out"], t).alias("out")))
+        return F.get(own, F.lit(0))
+
+    joined = F.aggregate("spans", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out")), join, lambda s: F.transform(s["out"], trim_all))
+    got = docs.select(key, _pieces(F.coalesce(F.col(text), F.lit("")), size).alias("parts"))
+    got = got.select(key, "parts", spans.alias("spans")).select(key, joined.alias("pieces"))
+    # The outer form: with the other, Spark would work the pieces out a second time to see whether there are any.
+    rows = got.select(key, F.size("pieces").alias("_n"), F.posexplode_outer("pieces").alias("piece_no", "piece"))
+    return rows.where((F.col("piece") != "") | (F.col("piece_no") < F.col("_n") - 1)).select(key, "piece_no", "piece")

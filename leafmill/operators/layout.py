@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_all
 from .chunking import greedy
 
 
@@ -224,91 +221,117 @@ def apply_outline(texts: DataFrame, outline: DataFrame, by: list[str], order: st
     return out.withColumn(heading, F.coalesce(heading, "_first")).drop("_first")
 
 
-def each_page(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """The rows that fold makes of each page's rows in order; a page is gathered, as it is a bounded unit of layout."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf.sort_values(order, kind="stable").to_dict("records"))
-        return pd.DataFrame([(*keys, *(r.get(n) for n in names)) for r in out], columns=[*by, *names])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*by).applyInPandas(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), schema]))
-
-
-def merge_lines(runs: list[dict], near: float = 0.6) -> list[dict]:
-    """Runs (text, x, y, width, font_size, face, color) of a page in order, put together where one goes on the line of the
-    one before: same style, within `near` mm of its baseline, and a gap from half an em back to 0.45 em on. Gaps beyond 0.08
-    em become a space. A currency sign after a number begins anew. Blank runs wider than two ems part columns; one em in
-    pages with many wide blanks."""
-    blank = [r for r in runs if r["text"] and not r["text"].strip() and r["width"] >= r["font_size"] * MM * 0.5]
-    wide = sum(r["width"] >= r["font_size"] * MM * 2 for r in blank)
-    column = 1.0 if len(blank) >= 8 and wide / len(blank) >= 0.25 else 2.0
-    out: list[dict] = []
-    for r in runs:
-        em, text = r["font_size"] * MM, r["text"]
-        if not text or (not text.strip() and r["width"] > em * column):
-            continue
-        last = out[-1] if out else None
-        gap = r["x"] - last["x"] - last["width"] if last else None
-        alike = last and abs(last["y"] - r["y"]) <= near and abs(last["font_size"] - r["font_size"]) < 0.4 and (last["face"], last["color"]) == (r["face"], r["color"])
-        price = last and re.fullmatch("[$€£¥]", text.strip()) and re.search(r"[\d)]\s*$", last["text"])
-        if not alike or price or not -em * 0.5 <= gap <= em * 0.45:
-            out.append({**r, "bold": bool(r.get("bold"))})
-            continue
-        apart = gap > em * 0.08 and not last["text"][-1:].isspace() and not text[:1].isspace()
-        last["text"] += " " * apart + text
-        last["width"] = max(last["width"], r["x"] - last["x"] + r["width"])
-    return out
-
-
-def without_doubles(lines: list[dict], back: int = 40) -> list[dict]:
-    """Lines without those drawn again a fraction of a point beside one of the last `back` kept, which is bold then."""
-    out: list[dict] = []
-    for r in lines:
-        same = lambda k: abs(k["y"] - r["y"]) <= 0.9 and abs(k["x"] - r["x"]) <= 1.3 and abs(k["font_size"] - r["font_size"]) < 0.6 and k["text"].strip() == r["text"].strip()  # noqa: B023, E731
-        twin = next(filter(same, out[-back:]), None) if r["text"].strip() else None
-        if twin:
-            twin["bold"] = True
-        else:
-            out.append(dict(r))
-    return out
+#: What two runs must share to be one line, where a page has it.
+STYLE = ("face", "color", "italic", "rotation", "opacity")
+
+
+def merge_lines(runs: DataFrame, by: list[str], order: str, near: float = 0.6) -> DataFrame:
+    """(by, order, text, x, y, width, font_size, the columns of STYLE there are, bold): runs that follow one another on a
+    line put together, under the order of the first.
+
+    A run goes on the line of the one before where style and size (less than 0.4 points apart) are the same, it stands
+    no more than `near` mm off, and begins between half an em before that one's end and 0.45 em behind it. More than
+    0.08 em is a space, where neither side has one. A currency sign after a number begins anew. Blank runs wider than
+    two ems are the space between columns: they go, and part lines; one em on pages of eight blanks and more of which a
+    quarter is that wide. Runs are compared with the run before them: a window over a page, no page is gathered.
+    """
+    style = [c for c in STYLE if c in runs.columns]
+    em, text = F.col("font_size") * F.lit(MM), F.col("text")
+    page, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    blank = trim_all(text) == ""
+    counts = blank & (F.col("width") >= em * 0.5)
+    n, wide = F.count_if(counts).over(page), F.count_if(counts & (F.col("width") >= em * 2)).over(page)
+    r = runs.where(text != "").withColumn("_gap", F.when((n >= 8) & (wide / n >= 0.25), 1.0).otherwise(2.0))
+    r = r.withColumn("_column", blank & (F.col("width") > em * F.col("_gap"))).withColumn("_cut", F.coalesce(before("_column"), F.lit(False))).where("not _column")
+    gap = F.col("x") - before(F.col("x") + F.col("width"))
+    same = F.lit(True)
+    for c in style:
+        same = same & F.col(c).eqNullSafe(before(c))
+    price = trim_all(text).rlike("^[$€£¥]$") & before("text").rlike(r"[\d)]\s*$")
+    joins = same & ~price & ~F.col("_cut") & (F.abs(F.col("y") - before("y")) <= near) & (F.abs(F.col("font_size") - before("font_size")) < 0.4) & gap.between(-em * 0.5, em * 0.45)
+    apart = joins & (gap > em * 0.08) & ~before("text").rlike(r"\s$") & ~text.rlike(r"^\s")
+    r = islands(r.withColumn("_apart", F.when(apart, " ").otherwise("")), by, order, joins)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat("_apart", "text").alias("t"))))
+    first = lambda c: F.min_by(c, order).alias(c)
+    bold = F.every(F.coalesce("bold", F.lit(False))) if "bold" in runs.columns else F.lit(False)
+    lines = r.groupBy(*by, "island").agg(F.min(order).alias(order), parts.alias("p"), first("x"), first("y"), F.max(F.col("x") + F.col("width")).alias("_end"), first("font_size"), *map(first, style), bold.alias("bold"))
+    joined = F.array_join(F.transform("p", lambda q: q["t"]), "")
+    return lines.select(*by, order, joined.alias("text"), "x", "y", (F.col("_end") - F.col("x")).alias("width"), "font_size", *style, "bold")
+
+
+def without_doubles(lines: DataFrame, by: list[str], order: str, back: int = 40) -> DataFrame:
+    """lines without those that say the same as one of the `back` lines before, a fraction of a millimetre off: 0.9 down,
+    1.3 across, less than 0.6 points of size. Those drawn twice are bold. Lines meet on page, text and a strip of y."""
+    w = Window.partitionBy(*by).orderBy(order)
+    said = lines.withColumn("_n", F.row_number().over(w)).withColumn("_t", trim_all(F.col("text")))
+    facts = said.where("_t != ''").select(*by, "_t", F.col("_n"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), F.col("font_size").cast("double").alias("_s"))
+    strip = F.floor(F.col("_y") / 0.9)
+    old = facts.select(*by, "_t", *(F.col(c).alias(f"{c}0") for c in ("_n", "_x", "_y", "_s")), F.explode(F.array(strip - 1, strip, strip + 1)).alias("_strip"))
+    close = (F.col("_n") - F.col("_n0")).between(1, back) & (F.abs(F.col("_y") - F.col("_y0")) <= 0.9) & (F.abs(F.col("_x") - F.col("_x0")) <= 1.3) & (F.abs(F.col("_s") - F.col("_s0")) < 0.6)
+    pairs = facts.withColumn("_strip", strip).join(old, [*by, "_t", "_strip"]).where(close).select(*by, "_n", "_n0")
+    marks = pairs.select(*by, "_n", F.lit(True).alias("_twin"), F.lit(False).alias("_drawn")).unionByName(pairs.select(*by, F.col("_n0").alias("_n"), F.lit(False).alias("_twin"), F.lit(True).alias("_drawn")))
+    marks = marks.groupBy(*by, "_n").agg(F.max("_twin").alias("_twin"), F.max("_drawn").alias("_drawn"))
+    out = said.join(marks, [*by, "_n"], "left").where(~F.coalesce("_twin", F.lit(False)))
+    return out.withColumn("bold", F.coalesce("_drawn", F.lit(False)) | (F.coalesce("bold", F.lit(False)) if "bold" in lines.columns else F.lit(False))).drop("_n", "_t", "_twin", "_drawn")
 
 
 #: What begins a list's item, and what ends a sentence (fixed values).
-ITEM_START = re.compile(r"^\s*(?:[•◦▪●■\-–—*]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|[ivx]{1,4}[.)]\s)")
-SENTENCE_END = re.compile(r"[.!?:;][\"'”’)\]]*$")
-
-
-def paragraphs(lines: list[dict]) -> list[dict]:
-    """Lines (text, x, y, width, font_size, face, heading) with paragraph, a running number. A line goes on the paragraph
-    before it if it has its face and size, stands 0.9 to 1.75 lines below, at its left edge (the second line of one may be
-    up to 6 mm off), begins no item, and the line before is full, ends in a hyphen, or ends no sentence while this one
-    begins small or that one is over 0.6 of the widest."""
-    part: list[dict] = []
-    out, n = [], -1
-    for r in lines:
-        if not part or not _goes_on(part, r):
-            part, n = [], n + 1
-        part.append(r)
-        out.append({**r, "paragraph": n})
-        if r.get("heading"):
-            part = []
-    return out
-
-
-def _goes_on(part: list[dict], r: dict) -> bool:
-    last, line = part[-1], part[-1]["font_size"] * MM
-    if r.get("heading") or r["face"] != last["face"] or abs(r["font_size"] - last["font_size"]) >= 0.5:
-        return False
-    if not line * 0.9 <= r["y"] - last["y"] <= line * 1.75 or not r["text"].strip() or ITEM_START.match(r["text"]):
-        return False
-    if abs(r["x"] - part[0]["x"]) > (6 if len(part) == 1 else 1.2) or (len(part) > 1 and abs(r["x"] - part[1]["x"]) > 1.2):
-        return False
-    widest, before = max(p["width"] for p in (*part, r)), last["text"].rstrip()
-    if last["width"] >= widest * 0.85 or re.search("[-‐‑]$", before):
-        return True
-    return not SENTENCE_END.search(before) and bool(re.match(r"[a-z(\[]", r["text"].lstrip()) or last["width"] >= widest * 0.6)
+ITEM_START = r"^\s*(?:[•◦▪●■\-–—*]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|[ivx]{1,4}[.)]\s)"
+SENTENCE_END = "[.!?:;][\"'”’)\\]]*$"
+
+
+def paragraphs(lines: DataFrame, by: list[str], order: str) -> DataFrame:
+    """lines (text, x, y, width, font_size, face, heading) with paragraph, a running number from 0.
+
+    Whether a line may go on the one before is told by a window over both: face, size, 0.9 to 1.75 line heights apart,
+    no heading, blank line or list item, and how the one before ends. How far that one is full depends on the widest
+    line of the paragraph so far, and the left edge on its first two: a fold over the page's numbers, not its texts.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    ends = F.rtrim(before("text"))
+    high, drop = before("font_size") * F.lit(MM), F.col("y") - before("y")
+    may = F.col("heading").isNull() & before("heading").isNull() & (F.col("face") == before("face")) & (F.abs(F.col("font_size") - before("font_size")) < 0.5) & drop.between(high * 0.9, high * 1.75) & (trim_all(F.col("text")) != "") & ~F.col("text").rlike(ITEM_START)
+    # How much of the widest line the one before must fill: nothing after a hyphen or within a sentence that goes on small.
+    least = F.when(ends.rlike("[-‐‑]$"), 0.0).when(ends.rlike(SENTENCE_END), 0.85).when(F.ltrim("text").rlike(r"^[a-z(\[]"), 0.0).otherwise(0.6)
+    num = lambda c: F.col(c).cast("double")
+    r = lines.withColumn("_r", F.struct(F.col(order).alias("o"), F.coalesce(may, F.lit(False)).alias("may"), F.coalesce(least, F.lit(0.0)).alias("least"), num("x").alias("x"), num("width").alias("width"), before("width").cast("double").alias("was")))
+    page = r.groupBy(*by).agg(F.array_sort(F.collect_list("_r")).alias("r"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(-1).alias("n"), none.alias("first"), none.alias("second"), none.alias("widest"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, q: Column) -> Column:
+        widest = F.greatest(s["widest"], q["width"])
+        edge = F.when(s["second"].isNull(), F.abs(q["x"] - s["first"]) <= 6).otherwise((F.abs(q["x"] - s["first"]) <= 1.2) & (F.abs(q["x"] - s["second"]) <= 1.2))
+        on = F.coalesce(q["may"] & edge & (q["was"] >= widest * q["least"]), F.lit(False))
+        n = s["n"] + F.when(on, 0).otherwise(1)
+        second = F.when(on, F.coalesce(s["second"], q["x"]))
+        return F.struct(n.alias("n"), F.when(on, s["first"]).otherwise(q["x"]).alias("first"), second.alias("second"), F.when(on, widest).otherwise(q["width"]).alias("widest"), F.array_append(s["out"], n).alias("out"))
+
+    page = page.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda q: q["o"]).alias("o"), F.aggregate("r", start, step, lambda s: s["out"]).alias("n"))).alias("z"))
+    return lines.join(page.select(*by, F.col("z.o").alias(order), F.col("z.n").alias("paragraph")), [*by, order])
+
+
+def merged_paragraphs(numbered: DataFrame, by: list[str], order: str, page_width: float) -> DataFrame:
+    """(by, paragraph, lines, text, x, y, width, height, line_height, indent): each paragraph as one box.
+
+    Lines stay lines, their blanks single. The box begins at the leftmost line; a first line further right than 0.5 mm
+    gives an indent. Its width is 1.2 times the text's and 0.4 of a line height, within the page. line_height: the mean
+    distance of lines in line heights; the box begins half of what that is above one higher. A single line keeps its box.
+    """
+    high = F.min_by("font_size", order) * F.lit(MM)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.regexp_replace(trim_all(F.col("text")), "[ \t]+", " ").alias("t")))), lambda q: q["t"]), "\n")
+    p = numbered.groupBy(*by, "paragraph").agg(
+        F.count("*").alias("lines"), text.alias("text"), F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.min_by("x", order).alias("x1"), F.min_by("y", order).alias("y1"), F.max_by("y", order).alias("y2"), high.alias("high")
+    )
+    several = F.col("lines") > 1
+    ratio = F.when(several, F.round((F.col("y2") - F.col("y1")) / (F.col("lines") - 1) / F.col("high"), 2)).otherwise(1.0)
+    p = p.withColumn("line_height", ratio)
+    inset = F.col("x1") - F.col("left")
+    width = F.when(several, F.round(F.least(page_width - F.col("left"), (F.col("right") - F.col("left")) * 1.2 + F.col("high") * 0.4), 2)).otherwise(F.col("right") - F.col("left"))
+    y = F.when(several, F.round(F.greatest(F.lit(0.0), F.col("y1") - (F.col("line_height") - 1) / 2 * F.col("high")), 2)).otherwise(F.col("y1"))
+    return p.select(*by, "paragraph", "lines", "text", F.col("left").alias("x"), y.alias("y"), width.alias("width"), F.round(F.col("lines") * F.col("line_height") * F.col("high"), 2).alias("height"), "line_height", F.when(several & (inset > 0.5), F.round(inset, 2)).alias("indent"))
 
 
 def wrapped_headings(lines: DataFrame, by: list[str], order: str) -> DataFrame:

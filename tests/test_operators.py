@@ -84,16 +84,24 @@ def test_greedy_and_breadcrumbs_on_random_input(spark):
     assert all(list(r.path) == want[r.doc_id, r.seq] for r in chunking.breadcrumbs(df).collect())
 
 
-def test_splitter_keeps_every_word():
+def test_splitter_keeps_every_word(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        t = "".join(rng.choice(["a", "bb ", "\n", "\n\n", "ccc ", " "]) for _ in range(rng.randint(0, 200)))
-        parts = chunking.split_text(t, 40, 0)
-        assert "".join("".join(parts).split()) == "".join(t.split())
-        assert all(len(p) <= 42 for p in parts)
-    first, second = chunking.split_text("x" * 600 + "\n\n\n\n" + "y" * 600, 1000, 200)
+    texts = ["".join(rng.choice(["a", "bb ", "\n", "\n\n", "ccc ", " ", "😀"]) for _ in range(rng.randint(0, 200))) for _ in range(200)] + [None, "", " \n "]
+    texts += ["x" * 600 + "\n\n\n\n" + "y" * 600]
+
+    def split(size, overlap):
+        out = {i: [] for i in range(len(texts))}
+        for r in chunking.split_characters(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size, overlap).orderBy("doc_id", "piece_no").collect():
+            assert r.piece_no == len(out[r.doc_id])
+            out[r.doc_id].append(r.piece)
+        return out
+
+    got = split(40, 0)
+    for i, t in enumerate(texts):
+        assert "".join("".join(got[i]).split()) == "".join((t or "").split()) and all(len(p) <= 42 for p in got[i])
+    assert got[200] == got[201] == got[202] == []
+    first, second = split(1000, 200)[len(texts) - 1]
     assert first == "x" * 600 and second == "x" * 198 + "\n\n" + "y" * 600  # no empty part between the line feeds
-    assert chunking.split_text("", 10, 2) == []
 
 
 def test_sources(spark, tmp_path):

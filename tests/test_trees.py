@@ -2,7 +2,6 @@
 
 import json
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -84,38 +83,29 @@ def test_assets_that_cannot_be_read_stay():
     assert tree["pages"][0]["elements"][0]["src"].endswith("*") and tree["resources"]["images"]["k"] == {"data": "%%"}
 
 
-def questions_by_hand(text, per_doc):
-    """The rule with places of matches instead of arrays."""
-    number = re.compile(r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{2,})\s?%?")
-    out = []
-    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z(]|\d+(?:\.\d+)*\s+[A-Z])", re.sub(r"\s+", " ", text)):
-        if not 8 <= len(s.split()) <= 45 or "...." in s:
-            continue
-        for m in number.finditer(s):
-            head, tail = s[: m.start()], s[m.end() :]
-            if re.fullmatch(r"(19|20)\d\d", m[1]) or re.search(retrieval.LABELS.replace("(?i)", ""), head, re.I) or re.match(r"\s*(th|st|nd|rd)\b", tail):
-                continue
-            if head.strip() and not (head.rstrip().endswith("[") and tail.lstrip().startswith("]")):
-                break
-        else:
-            continue
-        answer = m[0].strip()
-        words = [w for w in re.findall(retrieval.KEY_WORD, s) if w.lower() not in retrieval.NO_KEYS and w.lower() not in answer.lower()]
-        if words:
-            out.append(("Fill in the blank: " + (head + "____" + tail).strip(), answer, max(words, key=len)))
-    picked = range(len(out)) if len(out) <= per_doc else [int(i * (len(out) / per_doc)) for i in range(per_doc)]
-    return [(i, *out[i]) for i in picked]
+#: Sentences, and of each the text of its question, the answer and the key word; None where no question is made. The blank
+#: takes a space behind the number with it; a key word has five to nine letters and no hyphen.
+ANSWERS = [
+    ("The harbour handled 1,204 containers in the first quarter of it.", ("The harbour handled ____containers in the first quarter of it.", "1,204", "harbour")),
+    ("Sales of widget-like goods rose by 12.5 % over all of last spring.", ("Sales of widget-like goods rose by ____ over all of last spring.", "12.5 %", "spring")),
+    ("In 1999 the council opened 14 new libraries near the river.", ("In 1999 the council opened ____new libraries near the river.", "14", "libraries")),
+    ("In 1999 the council opened a new library near the old river.", None),
+    ("The 21st amendment was passed without any of the usual debate then.", None),
+    ("See Table 12 for the complete list of all the harbour fees.", None),
+    ("Only 37 ships.", None),
+    ("The contents ....... 12 pages are listed before all of the chapters.", None),
+    ("Version v1.20 shipped with 99% coverage of all the modules inside.", ("Version v1.20 shipped with ____ coverage of all the modules inside.", "99%", "coverage")),
+    ("As shown before [39] the crane lifts 250 tonnes without any strain.", ("As shown before [39] the crane lifts ____tonnes without any strain.", "250", "without")),
+]
 
 
 def test_blanked_questions(spark):
-    rng = random.Random(8)
-    bits = ["Figure 12", "in 1999", "the 21st", "[39]", "1,234.5 %", "costs 37", "Alpha rises", "0.75", "see Table", "(pp. 14)", "12,345th", "grown", "sample", "v1.20", "x 99%", "....", "which", "value", "3 Methods", "2021 %", "widget-like"]
-    texts = [" ".join(rng.choice(bits) + rng.choice(["", "", "", ".", "?\n"]) for _ in range(rng.randint(0, 120))) for _ in range(150)] + ["", None]
+    rows = [(i, s) for i, (s, _) in enumerate(ANSWERS)] + [(90, None), (91, ""), (92, " ".join(s for s, _ in ANSWERS))]
     got = {}
-    for r in retrieval.blanked_questions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect():
-        got.setdefault(r.doc_id, []).append((r.n, r.question, r.answer, r.word))
-    want = {i: q for i, x in enumerate(texts) if (q := questions_by_hand(x or "", 3))}
-    assert len(want) > 50 and {i: sorted(q) for i, q in got.items()} == want
+    for r in retrieval.blanked_questions(spark.createDataFrame(rows, "doc_id long, text string"), 3).orderBy("n").collect():
+        got.setdefault(r.doc_id, []).append((r.question.removeprefix("Fill in the blank: "), r.answer, r.word))
+    made = [a for _, a in ANSWERS if a]
+    assert got == {**{i: [a] for i, (_, a) in enumerate(ANSWERS) if a}, 92: [made[0], made[1], made[3]]}  # three of five, evenly
 
 
 def wrapped_by_hand(text, most):
@@ -151,19 +141,38 @@ def test_wrap_and_draws(spark):
         assert got == list(stream(seed, 200))
 
 
-def test_lines_and_paragraphs(spark):
-    run = lambda text, x, y, width, **kw: {"text": text, "x": x, "y": y, "width": width, "font_size": 10.0, "face": "f", "color": "k", **kw}
-    runs = [run("Hel", 0, 0, 5), run("lo", 5, 0.1, 4), run("you", 10, 0, 6), run("37", 18, 0, 3), run("$", 21, 0, 1), run(" ", 22, 0, 9), run("far", 60, 0, 4), run("red", 64.1, 0, 4, color="r"), run("", 1, 1, 1)]
-    assert [r["text"] for r in layout.merge_lines(runs)] == ["Hello you", "37", "$", "far", "red"]
-    twins = layout.without_doubles([run("a", 0, 0, 1), run("a ", 0.4, 0.4, 1), run("b", 0, 0, 1), run("a", 0, 5, 1)])
-    assert [(r["text"], r.get("bold")) for r in twins] == [("a", True), ("b", None), ("a", None)]
-    many = [run(f"{i}", 0, i, 1) for i in range(50)]
-    assert len(layout.without_doubles([*many, run("3", 0, 3, 1)])) == 51  # more than 40 lines back
-    lines = [run("First line is full", 0, 0, 100), run("goes on.", 0, 4, 30), run("New one", 0, 8, 40), run("• item", 0, 12, 100), run("Head", 0, 16, 90, heading=1), run("body", 0, 20, 10)]
-    assert [r["paragraph"] for r in layout.paragraphs(lines)] == [0, 0, 1, 2, 3, 4]
-    df = spark.createDataFrame([(p, i, r["text"], r["x"], float(r["y"]), float(r["width"]), 10.0, "f", None) for p in (1, 2) for i, r in enumerate(lines[:3])], "page int, seq int, text string, x long, y double, width double, font_size double, face string, heading int")
-    got = layout.each_page(df.fillna({"heading": 0}), ["page"], ["seq"], layout.paragraphs, "seq int, paragraph int").orderBy("page", "seq").collect()
-    assert [(r.page, r.paragraph) for r in got] == [(1, 0), (1, 0), (1, 1), (2, 0), (2, 0), (2, 1)]
+RUN = "page int, seq int, text string, x double, y double, width double, font_size double, face string, color string"
+
+
+def test_lines_of_runs(spark):
+    run = lambda i, text, x, y, width, color="k", size=10.0: (1, i, text, float(x), float(y), float(width), size, "f", color)
+    runs = [run(0, "Hel", 0, 0, 5), run(1, "lo", 5, 0.1, 4), run(2, "you", 10, 0, 6), run(3, "37", 18, 0, 3), run(4, "$", 21, 0, 1), run(5, " ", 22, 0, 9), run(6, "far", 31, 0, 4), run(7, "red", 35, 0, 4, "r"), run(8, "", 1, 1, 1), run(9, "low", 39, 0.8, 4, "r"), run(10, "big", 43, 0.8, 4, "r", 10.5)]
+    got = layout.merge_lines(spark.createDataFrame(runs, RUN), ["page"], "seq").orderBy("seq").collect()
+    assert [(r.seq, r.text, r.x, round(r.width, 3)) for r in got] == [(0, "Hello you", 0, 16), (3, "37", 18, 3), (4, "$", 21, 1), (6, "far", 31, 4), (7, "red", 35, 4), (9, "low", 39, 4), (10, "big", 43, 4)]
+    gaps = [run(i, " " if i % 2 else "w", 6 * i, 0, 8.0 if i % 4 == 1 else 4.0) for i in range(20)]
+    assert layout.merge_lines(spark.createDataFrame(gaps, RUN), ["page"], "seq").count() == 10  # blanks of an em part columns where many are wide
+    turned = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 2.0, 10.0, 0), (1, 1, "b", 2.0, 0.0, 2.0, 10.0, 90), (1, 2, "c", 4.0, 0.0, 2.0, 10.0, 90)], "page int, seq int, text string, x double, y double, width double, font_size double, rotation int")
+    assert [r.text for r in layout.merge_lines(turned, ["page"], "seq").orderBy("seq").collect()] == ["a", "bc"]
+
+
+def test_lines_drawn_twice(spark):
+    lines = [(1, i, t, x, y, 1.0, 10.0, "f", "k") for i, (t, x, y) in enumerate([("a", 0.0, 0.0), ("a ", 0.4, 0.4), ("b", 0.0, 0.0), ("a", 0.0, 5.0), (" ", 0.0, 0.0), (" ", 0.0, 0.0)])]
+    far = [(2, i, f"{i}", 0.0, float(i), 1.0, 10.0, "f", "k") for i in range(50)] + [(2, 50, "3", 0.0, 3.0, 1.0, 10.0, "f", "k"), (2, 51, "30", 0.0, 30.0, 1.0, 10.0, "f", "k")]
+    got = layout.without_doubles(spark.createDataFrame(lines + far, RUN), ["page"], "seq").orderBy("page", "seq").collect()
+    assert [(r.seq, r.bold) for r in got if r.page == 1] == [(0, True), (2, False), (3, False), (4, False), (5, False)]
+    assert [r.seq for r in got if r.page == 2] == list(range(51)) and [r.seq for r in got if r.page == 2 and r.bold] == [30]  # 3 is more than 40 lines back
+
+
+def test_paragraphs(spark):
+    line = lambda i, text, x, y, width, heading=None, page=1: (page, i, text, float(x), float(y), float(width), 10.0, "f", heading)
+    rows = [line(0, "First line is full", 3, 20, 100), line(1, "goes on.", 0, 24, 30), line(2, "New one", 0, 28, 40), line(3, "• item", 0, 32, 100), line(4, "Head", 0, 36, 90, 1), line(5, "body", 0, 40, 10), line(6, "Far below", 0, 60, 10)]
+    rows += [line(0, "A word is hyphen-", 0, 20, 20, page=2), line(1, "ated and", 0, 24, 90, page=2), line(2, "Then more of it", 0.5, 28, 100, page=2), line(3, "and off the edge", 4, 32, 100, page=2)]
+    schema = "page int, seq int, text string, x double, y double, width double, font_size double, face string, heading int"
+    numbered = layout.paragraphs(spark.createDataFrame(rows, schema), ["page"], "seq")
+    assert [(r.page, r.paragraph) for r in numbered.orderBy("page", "seq").collect()] == [(1, 0), (1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 0), (2, 0), (2, 0), (2, 1)]
+    p = layout.merged_paragraphs(numbered, ["page"], "seq", 210.0).where("page = 1").orderBy("paragraph").collect()
+    assert (p[0].text, p[0].lines, p[0].x, p[0].indent, p[0].line_height) == ("First line is full\ngoes on.", 2, 0.0, 3.0, 1.13)
+    assert p[0].width == round(103 * 1.2 + 10 * layout.MM * 0.4, 2) and p[0].y == round(20 - 0.13 / 2 * 10 * layout.MM, 2) and p[1].width == 40 and p[1].indent is None
 
 
 def test_plain_text(spark):
