@@ -10,6 +10,7 @@ import base64
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,16 +22,27 @@ from pyspark.sql.types import StringType
 FIELDS = ("input", "textarea", "checkbox", "select", "signature")
 
 
+def _no_number(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
 def load(text: str | None):
-    """The tree of a JSON text, None where it is broken or nested beyond what the parser takes."""
+    """The tree of a JSON text, None where it is broken (NaN and Infinity are) or nested beyond what the parser takes."""
     try:
-        return json.loads(text) if text else None
+        return json.loads(text, parse_constant=_no_number) if text else None
     except (ValueError, RecursionError):
         return None
 
 
+def sound(text: str) -> str:
+    """text as UTF-8 can hold it: half a surrogate pair becomes U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def dump(tree) -> str:
-    return json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+    """JSON of a tree; where it holds half a surrogate pair, all but ASCII is escaped, so that nothing is lost."""
+    text = json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+    return text if sound(text) == text else json.dumps(tree, separators=(",", ":"))
 
 
 def _list(v) -> list:
@@ -90,7 +102,7 @@ def fields(tree: dict) -> Iterator[tuple[int, str, str, str | None]]:
             name, kind = node.get("name"), node.get("type")
             if kind in FIELDS and isinstance(name, str) and name:
                 held = node.get("checked") if kind == "checkbox" else node.get("values") or node.get("value")
-                yield seq, name, kind, held if held is None or isinstance(held, str) else dump(held)
+                yield seq, sound(name), kind, held if held is None else sound(held) if isinstance(held, str) else dump(held)
                 seq += 1
             stack += reversed([x for x in (node.get("elements"), node.get("items"), *_list(node.get("rows"))) if isinstance(x, list)])
 
@@ -102,6 +114,9 @@ def form_fields(docs: DataFrame, key: str = "doc_id", value: str = "value") -> D
 
 # Edits
 
+#: An edit that would fill up a list with more than so many nulls changes nothing.
+MOST_FILLED = 100_000
+
 
 def _at(tree, path: list):
     """The node at path; None where a step does not exist."""
@@ -125,7 +140,9 @@ def _set(node, field: str, value) -> None:
         if isinstance(node, list):
             if not step.isdigit():
                 return
-            step = int(step)
+            step = int(step) if len(step) < 12 else len(node) + MOST_FILLED + 1
+            if step - len(node) > MOST_FILLED:
+                return
             node += [None] * (step + 1 - len(node))
         if last or not isinstance(node[step] if isinstance(node, list) else node.get(step), (dict, list)):
             node[step] = fresh
@@ -162,14 +179,15 @@ def edit(tree: dict, op: str, path: list, field: str | None, value) -> None:
         return
     if op == "delete":
         del parent[at]
-    elif op == "move" and 0 <= at + value < len(parent):
+    elif op == "move" and type(value) is int and 0 <= at + value < len(parent):
         parent.insert(at + value, parent.pop(at))
     elif op == "insert_after":
         parent.insert(at + 1, value)
     elif op == "duplicate":
         copy = load(dump(parent[at]))
         if isinstance(copy, dict) and isinstance(place := copy.get("position"), dict):
-            copy["position"] = {"x": (place.get("x") or 0) + 4, "y": (place.get("y") or 0) + 4}
+            number = lambda v: v if isinstance(v, (int, float)) else 0
+            copy["position"] = {"x": number(place.get("x")) + 4, "y": number(place.get("y")) + 4}
         parent.insert(at + 1, copy)
 
 
@@ -200,7 +218,7 @@ def _is(v, kind: str) -> bool:
     number = isinstance(v, (int, float)) and not isinstance(v, bool)
     return {
         "object": isinstance(v, dict), "array": isinstance(v, list), "string": isinstance(v, str), "boolean": isinstance(v, bool),
-        "null": v is None, "number": number, "integer": number and v == int(v),
+        "null": v is None, "number": number, "integer": number and (isinstance(v, int) or v.is_integer()),
     }.get(kind, True)
 
 
@@ -265,6 +283,22 @@ def broken_rules(v, schema, root: dict, at: str = "") -> Iterator[tuple[str, str
         yield from inner(v, schema.get("then" if holds(schema["if"]) else "else", True))
 
 
+#: Frames that checking one document may take; documents come no deeper out of the parser.
+_FRAMES = 200_000
+
+
+def _all_broken(tree, schema: dict) -> list[tuple[str, str]]:
+    """Every broken rule of a document; one that cannot be checked breaks a rule itself."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(_FRAMES)
+    try:
+        return list(broken_rules(tree, schema, schema))
+    except (RecursionError, re.error, TypeError, KeyError, AttributeError) as e:
+        return [("", f"cannot be checked: {type(e).__name__}")]
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def schema_errors(docs: DataFrame, schema: dict, key: str = "doc_id", value: str = "value") -> DataFrame:
     """(key, place, message): all rules of a JSON Schema that a document breaks; text that is no JSON breaks one itself."""
 
@@ -273,8 +307,8 @@ def schema_errors(docs: DataFrame, schema: dict, key: str = "doc_id", value: str
             rows = []
             for k, text in zip(pdf[key], pdf[value]):
                 tree = load(text)
-                broken = [("", "must be JSON")] if tree is None and (text or "").strip() != "null" else broken_rules(tree, schema, schema)
-                rows += [(k, *b) for b in broken]
+                broken = [("", "must be JSON")] if tree is None and (text or "").strip() != "null" else _all_broken(tree, schema)
+                rows += [(k, sound(at), sound(message)) for at, message in broken]
             yield pd.DataFrame(rows, columns=[key, "place", "message"])
 
     return docs.select(key, value).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, place string, message string")
@@ -285,40 +319,67 @@ def schema_errors(docs: DataFrame, schema: dict, key: str = "doc_id", value: str
 
 def shown_text(e) -> str:
     """What a reader sees of an element: content, runs, items, header and cells, or a section's title and elements."""
-    e = _dict(e)
     text = lambda v: "" if v is None else str(v)
-    kind = e.get("type")
-    if kind == "text":
-        return text(e.get("content"))
-    if kind == "richtext":
-        return "".join(text(_dict(r).get("text")) for r in _list(e.get("runs")))
-    if kind == "list":
-        return " ".join(line.lstrip().removeprefix("- ") for line in list_lines(e.get("items")))
-    if kind == "table":
-        cells = [c for row in _list(e.get("rows")) for c in (row if isinstance(row, list) else [row])]
-        return " ".join([*map(text, _list(e.get("headers"))), *(text(c.get("content")) if isinstance(c, dict) else text(c) for c in cells)])
-    if kind == "collapsible":
-        return text(e.get("title")) + " " + " ".join(map(shown_text, _list(e.get("elements"))))
-    return ""
+
+    def own(e: dict) -> str:
+        kind = e.get("type")
+        if kind == "richtext":
+            return "".join(text(_dict(r).get("text")) for r in _list(e.get("runs")))
+        if kind == "list":
+            return " ".join(line.lstrip().removeprefix("- ") for line in list_lines(e.get("items")))
+        if kind == "table":
+            cells = [c for row in _list(e.get("rows")) for c in (row if isinstance(row, list) else [row])]
+            return " ".join([*map(text, _list(e.get("headers"))), *(text(c.get("content")) if isinstance(c, dict) else text(c) for c in cells)])
+        return text(e.get("content")) if kind == "text" else text(e.get("title")) + " " if kind == "collapsible" else ""
+
+    out, stack = [], [e]
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str):
+            out.append(e)
+            continue
+        e = _dict(e)
+        out.append(own(e))
+        if e.get("type") == "collapsible":  # its elements with single spaces between them
+            inner = [x if isinstance(x, dict) else {} for x in _list(e.get("elements"))]
+            stack += [x for i, c in reversed(list(enumerate(inner))) for x in ([c, " "] if i else [c])]
+    return sound("".join(out))
 
 
 def every_text(e, repeat_fields: bool = True) -> str:
     """All text of an element for search, whatever its kind: also transcripts, labels, values, captions, recognised text
     and chapters. repeat_fields: a field's label and value stand twice, as in indexes made so."""
-    e = _dict(e)
-    inside = lambda *path: [_dict(x).get(path[-1]) for x in _list(_at(e, list(path[:-1])))]
-    items = [s for i in map(_dict, _list(e.get("items"))) for s in (i.get("content"), *(_dict(x).get("content") for x in _list(i.get("items"))))]
-    cells = [_dict(c).get("content") if isinstance(c, dict) else c for row in _list(e.get("rows")) for c in _list(row)]
-    value = e.get("value")
-    own = value if isinstance(value, str) and value and not value.startswith("data:") else None
-    parts = [*items, *cells, e.get("title"), *inside("transcript", "segments", "text"), e.get("label"), own, e.get("placeholder"), e.get("caption"), *inside("ocr", "blocks", "text"), *inside("chapters", "title")]
-    parts += [e.get("label"), value] if repeat_fields else []
-    parts += [*_list(e.get("values")), *(x or None for x in (every_text(c, repeat_fields) for c in _list(e.get("elements"))))]
-    out = "".join(s for s in (e.get("content"), *inside("runs", "text")) if isinstance(s, str))
-    for s in parts:
-        if isinstance(s, str):
-            out += (" " if out else "") + s
-    return out
+
+    def own(e: dict) -> tuple[str, list]:
+        """What leads, without a space between its parts, and what follows with one."""
+        inside = lambda *path: [_dict(x).get(path[-1]) for x in _list(_at(e, list(path[:-1])))]
+        items = [s for i in map(_dict, _list(e.get("items"))) for s in (i.get("content"), *(_dict(x).get("content") for x in _list(i.get("items"))))]
+        cells = [_dict(c).get("content") if isinstance(c, dict) else c for row in _list(e.get("rows")) for c in _list(row)]
+        value = e.get("value")
+        shown = value if isinstance(value, str) and value and not value.startswith("data:") else None
+        parts = [*items, *cells, e.get("title"), *inside("transcript", "segments", "text"), e.get("label"), shown, e.get("placeholder"), e.get("caption"), *inside("ocr", "blocks", "text"), *inside("chapters", "title")]
+        parts += [e.get("label"), value] if repeat_fields else []
+        return "".join(s for s in (e.get("content"), *inside("runs", "text")) if isinstance(s, str)), [*parts, *_list(e.get("values"))]
+
+    def joined(lead: str, parts: list) -> str:
+        """A part that follows nothing has no space before it."""
+        said = [s for s in parts if isinstance(s, str)]
+        return " ".join([lead, *said] if lead else said[next((i for i, s in enumerate(said) if s), len(said)) :] if said else [])
+
+    # An element is done when those within it are: each frame holds its own text, what is still to come and what came.
+    frames = [(*own(_dict(e)), list(_list(_dict(e).get("elements")))[::-1])]
+    while True:
+        lead, parts, left = frames[-1]
+        if left:
+            inner = _dict(left.pop())
+            frames.append((*own(inner), list(_list(inner.get("elements")))[::-1]))
+            continue
+        frames.pop()
+        text = joined(lead, parts)
+        if not frames:
+            return sound(text)
+        if text:
+            frames[-1][1].append(text)
 
 
 def search_text(el: Column, every: bool = False, repeat_fields: bool = True) -> Column:

@@ -38,26 +38,33 @@ def safe_name(name: Column) -> Column:
 
 
 def bundle_entries(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """(file, name, content): entries of zip bundles with safe names; a file that is no zip gives none."""
+    """(file, name, content, error): entries of zip bundles with safe names. What cannot be read is a row of its own with
+    error set and no content: a damaged entry by its name, a file that is no zip without one."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for file, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(file, n.filename, z.read(n)) for n in z.infolist() if not n.is_dir()]
-                except zipfile.BadZipFile:
+                    bundle = zipfile.ZipFile(io.BytesIO(content))
+                    names = [n for n in bundle.infolist() if not n.is_dir()]
+                except Exception as e:  # noqa: BLE001, whatever a broken file brings about is told in its row
+                    rows.append((file, None, None, f"{type(e).__name__}: {e}"))
                     continue
-            yield pd.DataFrame(rows, columns=["file", "name", "content"])
+                for n in names:
+                    try:
+                        rows.append((file, n.filename, bundle.read(n), None))
+                    except Exception as e:  # noqa: BLE001
+                        rows.append((file, n.filename, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["file", "name", "content", "error"])
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return raw.mapInPandas(run, "file string, name string, content binary").where(safe_name(F.col("name")))
+    return raw.mapInPandas(run, "file string, name string, content binary, error string").where(F.coalesce(safe_name(F.col("name")), F.lit(True)))
 
 
 def bundles(spark: SparkSession, path: str, pattern: str = "*.zip") -> tuple[DataFrame, DataFrame]:
     """(documents, assets): document.json of each bundle as VARIANT; assets of its manifest with their bytes."""
-    e = bundle_entries(spark, path, pattern)
+    e = bundle_entries(spark, path, pattern).where("error is null").drop("error")
     docs = e.where("name = 'document.json'").select("file", F.try_parse_json(F.decode("content", "UTF-8")).alias("doc"))
     listed = e.where("name = 'manifest.json'").select("file", F.explode(F.from_json(F.decode("content", "UTF-8"), "struct<assets:array<struct<id:string,path:string,mimeType:string>>>")["assets"]).alias("a")).select("file", "a.*")
     return docs, listed.join(e.withColumnRenamed("name", "path"), ["file", "path"])
