@@ -127,6 +127,39 @@ def fingerprint(words: Column) -> Column:
     return F.substring(F.sha1(F.array_join(F.sort_array(words), " ")), 1, 16)
 
 
+#: Kinds whose number may differ a little between two readings of a page (fixed values): by a tenth, by two at least.
+LOOSE = ("shape", "image")
+
+
+def fingerprints(elements: DataFrame, key: str = "doc_id", order: str = "n") -> DataFrame:
+    """(key, page, what, name, n): what a document is made of, as counts.
+
+    elements: (key, page, order, type, text, font, shape). Rows of what: type, elements of a kind; font, families of
+    a page (the first of a list, without quotes); table, the shapes of its tables in their order as one name; words, its
+    words; and, with page 0, text: the hash of all words of the document, sorted, so that their order does not count.
+    """
+    e = elements.withColumn("_w", F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")), " "), lambda w: w != ""))
+    row = lambda what, name, n: (F.lit(what).alias("what"), name.alias("name"), n.cast("long").alias("n"))
+    kinds = e.groupBy(key, "page", F.col("type").alias("name")).agg(F.count("*").alias("n")).select(key, "page", *row("type", F.col("name"), F.col("n")))
+    family = F.regexp_replace(F.trim(F.get(F.split("font", ","), F.lit(0))), "['\"]", "")
+    fonts = e.where("font is not null").select(key, "page", family.alias("name")).distinct().select(key, "page", *row("font", F.col("name"), F.lit(1)))
+    shapes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "shape"))), lambda s: s["shape"]), " ")
+    tables = e.where("shape is not null").groupBy(key, "page").agg(shapes.alias("name"), F.count("*").alias("n")).select(key, "page", *row("table", F.col("name"), F.col("n")))
+    words = e.groupBy(key, "page").agg(F.sum(F.size("_w")).alias("n")).select(key, "page", *row("words", F.lit(""), F.col("n")))
+    text = e.groupBy(key).agg(F.flatten(F.collect_list("_w")).alias("w")).select(key, F.lit(0).alias("page"), *row("text", F.substring(F.sha1(F.array_join(F.sort_array("w"), "\n")), 1, 16), F.size("w")))
+    return kinds.unionByName(fonts).unionByName(tables).unionByName(words).unionByName(text)
+
+
+def differences(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, page, what, name, was, now): facts of either side's fingerprints that the other lacks or counts otherwise; 0
+    where there is none. Kinds of LOOSE may differ by a tenth, by two at least."""
+    on = [key, "page", "what", "name"]
+    both = before.withColumnRenamed("n", "was").join(after.withColumnRenamed("n", "now"), on, "full_outer").fillna(0, ["was", "now"])
+    off, most = F.abs(F.col("was") - F.col("now")), F.greatest("was", "now")
+    allowed = F.when((F.col("what") == "type") & F.col("name").isin(*LOOSE), F.greatest(F.lit(2), F.ceil(most * 0.1))).otherwise(0)
+    return both.where(off > allowed).select(*on, "was", "now")
+
+
 def counts(docs: DataFrame, key: str = "doc_id", doc: str = "doc") -> DataFrame:
     """(key, pages, elements): how many a JSON document (VARIANT) has; 0 where there are none."""
     none = F.array().cast("array<variant>")

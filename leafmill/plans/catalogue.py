@@ -800,7 +800,7 @@ def runs_without_widgets(spark, d):
 
 
 def _all() -> None:
-    from . import tables  # noqa: F401, it adds its own
+    from . import pipelines, tables  # noqa: F401, they add their own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,9 +7,12 @@ after a failure. The latest batch of a key is its current state.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash, tokens
 from ..sources.shared import shared_dir
@@ -47,3 +50,54 @@ def run_once(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def sliding_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
     """Counts and sums by event type over sliding windows of event time; rows later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+CHANGES = "doc_id long, version long, chunk_id string, hash string, status string"
+
+
+def chunk_changes(chunks: DataFrame) -> DataFrame:
+    """A stream (doc_id, version, chunk_id, hash) of documents, each version as all of its chunks, as a stream of what
+    changes: (doc_id, version, chunk_id, hash, status), status new, changed or removed.
+
+    The state of a document is its version and the hashes of its chunks, so no batch reads what others wrote. Chunks that
+    a version lacks are removed; a version whose only row has a null chunk_id removes the document. Versions that are no
+    newer than the state's change nothing, so a version that is sent again is harmless; of several in one batch each is
+    compared with the one before. All rows of a version come in one batch.
+    """
+
+    def diff(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, known = (state.get[0], dict(zip(state.get[1], state.get[2]))) if state.exists else (-1, {})
+        rows = pd.concat(list(frames))
+        out = []
+        for version, own in sorted(rows.groupby("version"), key=lambda x: x[0]):
+            if version <= at:
+                continue
+            now = {c: h for c, h in sorted(zip(own["chunk_id"], own["hash"]), key=str) if isinstance(c, str)}
+            out += [(key[0], version, c, h, "changed" if c in known else "new") for c, h in now.items() if known.get(c) != h]
+            out += [(key[0], version, c, None, "removed") for c in known if c not in now]
+            at, known = int(version), now
+        state.update((at, list(known), list(known.values())))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    return chunks.groupBy("doc_id").applyInPandasWithState(diff, CHANGES, "version long, ids array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def follow(chunks: DataFrame, folder: str, checkpoint: str):
+    """A streaming query that writes the changes of each batch to a folder of its own, replaced when a batch is replayed."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return chunk_changes(chunks).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, version, chunk_id, hash): the chunks there are after all changes; the last change of each tells."""
+    rows = spark.read.schema(CHANGES).parquet(f"{folder}/batch=*")
+    last = F.max_by(F.struct("version", "hash", "status"), "version")
+    now = rows.groupBy("doc_id", "chunk_id").agg(last.alias("l")).where("l.status != 'removed'")
+    return now.select("doc_id", "l.version", "chunk_id", "l.hash")
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> DataFrame:
+    """The chunks there are, written as the first batch of another folder, where later batches may follow: what has been
+    removed or replaced takes no room there."""
+    latest(spark, folder).withColumn("status", F.lit("new")).select(*(c.split()[0] for c in CHANGES.split(", "))).write.mode("overwrite").parquet(f"{into}/batch=-1")
+    return latest(spark, into)
