@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import fold_items
+
 #: White space that trimming removes besides ASCII's: no-break space, byte-order mark and the Unicode spaces.
 _WS = r"[\s ﻿  -     　]"
 
@@ -233,16 +235,19 @@ def font_face(name: Column, serif: Column | None = None, monospace: Column | Non
 
 def wrap(s: Column, most: int) -> Column:
     """Lines of at most `most` characters: broken at white space, longer words cut; line feeds stay, blank lines are empty."""
-    start = lambda: F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, w: Column) -> Column:
+    def step(a: Column, w: Column) -> tuple[Column, Column]:
         pieces = F.regexp_extract_all(w, F.lit(f"((?s).{{1,{most}}})"), F.lit(1))
         fits = (a["line"] != "") & (F.length(a["line"]) + 1 + F.length(w) <= most)
-        done = F.concat(a["out"], F.when(a["line"] != "", F.array(a["line"])).otherwise(F.array().cast("array<string>")), F.slice(pieces, 1, F.size(pieces) - 1))
-        return F.struct(F.when(fits, F.concat_ws(" ", a["line"], w)).otherwise(F.element_at(pieces, -1)).alias("line"), F.when(fits, a["out"]).otherwise(done).alias("out"))
+        none = F.array().cast("array<string>")
+        done = F.concat(F.when(a["line"] != "", F.array(a["line"])).otherwise(none), F.slice(pieces, 1, F.size(pieces) - 1))
+        return F.struct(F.when(fits, F.concat_ws(" ", a["line"], w)).otherwise(F.element_at(pieces, -1)).alias("line")), F.when(fits, none).otherwise(done)
+
+    def lines(line: Column) -> Column:
+        folded = fold_items(F.filter(F.split(line, f"{_WS}+"), lambda w: w != ""), F.struct(F.lit("").alias("line")), "array<string>", step)
+        return F.get(F.transform(F.array(folded), lambda r: F.array_append(F.flatten(r["items"]), r["state"]["line"])), F.lit(0))
 
-    words = lambda line: F.filter(F.split(line, f"{_WS}+"), lambda w: w != "")
-    return F.flatten(F.transform(F.split(s, "\n"), lambda line: F.aggregate(words(line), start(), step, lambda a: F.array_append(a["out"], a["line"]))))
+    return F.flatten(F.transform(F.split(s, "\n"), lines))
 
 
 _MASK = (1 << 32) - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_items
 from ..functions.text import clock, collapse, content_hash, trim_all, utf16_len
 
 
@@ -34,14 +35,12 @@ def sections(rows: DataFrame, key: str = "doc_id", order: str = "seq", level: st
 
 def greedy(costs: Column, most) -> Column:
     """Group number of each cost, in order: a new group begins where the sum would pass most; none is ever split."""
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        full = (F.size(a["out"]) > 0) & (a["sum"] + c > most)
+    def step(a: Column, c: Column) -> tuple[Column, Column]:
+        full = (a["group"] < 0) | (a["sum"] + c > most)
         group = a["group"] + full.cast("int")
-        return F.struct(F.when(full, c.cast("bigint")).otherwise(a["sum"] + c).alias("sum"), group.alias("group"), F.array_append(a["out"], group).alias("out"))
+        return F.struct(F.when(full, c.cast("bigint")).otherwise(a["sum"] + c).alias("sum"), group.alias("group")), group
 
-    return F.aggregate(costs, start, step, lambda a: a["out"])
+    return fold_items(costs, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("group")), "int", step)["items"]
 
 
 def budget_groups(rows: DataFrame, by: list[str], order: str, cost: str, most: int) -> DataFrame:
@@ -95,15 +94,15 @@ def embedding_text(path: Column, text: Column) -> Column:
 def windows(segments: Column, seconds: float, max_tokens: int) -> Column:
     """Window number of each segment (t0, t1, text, chapter), in order: a new one begins where the chapter changes,
     where the segment's end is more than seconds after the window's start, or where the text would pass max_tokens."""
-    start = F.struct(F.lit(0.0).alias("t0"), F.lit(None).cast("string").alias("chapter"), F.lit(0).cast("bigint").alias("len"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0.0).alias("t0"), F.lit(None).cast("string").alias("chapter"), F.lit(0).cast("bigint").alias("len"), F.lit(-1).alias("n"))
 
-    def step(a: Column, s: Column) -> Column:
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
         size = utf16_len(s["text"]).cast("bigint")
         fresh = (a["n"] < 0) | ~s["chapter"].eqNullSafe(a["chapter"]) | (s["t1"] - a["t0"] > seconds) | (F.ceil((a["len"] + size) / F.lit(4.0)) > max_tokens)
         n = a["n"] + fresh.cast("int")
-        return F.struct(F.when(fresh, s["t0"]).otherwise(a["t0"]).alias("t0"), s["chapter"].alias("chapter"), F.when(fresh, size).otherwise(a["len"] + 1 + size).alias("len"), n.alias("n"), F.array_append(a["out"], n).alias("out"))
+        return F.struct(F.when(fresh, s["t0"]).otherwise(a["t0"]).alias("t0"), s["chapter"].alias("chapter"), F.when(fresh, size).otherwise(a["len"] + 1 + size).alias("len"), n.alias("n")), n
 
-    return F.aggregate(segments, start, step, lambda a: a["out"])
+    return fold_items(segments, start, "int", step)["items"]
 
 
 def transcript_chunks(segments: DataFrame, key: str = "doc_id", seconds: float = 45, max_tokens: int = 512) -> DataFrame:
@@ -140,26 +139,27 @@ def split_characters(docs: DataFrame, size: int = 1000, overlap: int = 200, key:
     a piece takes (first, number); the texts are joined afterwards.
     """
     span = "struct<at: int, n: int>"
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{span}>").alias("out"))
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    none = F.array().cast(f"array<{span}>")
 
-    def count(s: Column, n: Column) -> Column:
+    def count(s: Column, n: Column) -> tuple[Column, Column]:
         full = (s["held"] > 0) & (s["held"] + n > size)
-        closed = F.array_append(s["out"], F.struct(s["at"].alias("at"), s["n"].alias("n")))
-        return F.struct(
-            (F.when(full, F.least(s["held"], F.lit(overlap))).otherwise(s["held"]) + n).alias("held"), F.when(full, s["at"] + s["n"]).otherwise(s["at"]).alias("at"),
-            F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, closed).otherwise(s["out"]).alias("out"),
+        after = F.struct(
+            (F.when(full, F.least(s["held"], F.lit(overlap))).otherwise(s["held"]) + n).alias("held"), F.when(full, s["at"] + s["n"]).otherwise(s["at"]).alias("at"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"),
         )
+        return after, F.when(full, F.array(F.struct(s["at"].alias("at"), s["n"].alias("n")))).otherwise(none)
 
-    spans = F.aggregate(F.transform("parts", lambda p: F.length(p)), start, count, lambda s: F.array_append(s["out"], F.struct(s["at"].alias("at"), s["n"].alias("n"))))
+    counted = fold_items(F.transform("parts", lambda p: F.length(p)), start, f"array<{span}>", count)
 
-    def join(s: Column, x: Column) -> Column:
+    def join(s: Column, x: Column) -> tuple[Column, Column]:
         tail = F.right(s["last"], F.lit(overlap)) if overlap > 0 else F.lit("")
-        own = F.transform(F.array(F.concat(tail, F.array_join(F.slice("parts", x["at"] + 1, x["n"]), ""))), lambda t: F.struct(t.alias("last"), F.array_append(s["out"], t).alias("out")))
-        return F.get(own, F.lit(0))
+        own = F.concat(tail, F.array_join(F.slice("parts", x["at"] + 1, x["n"]), ""))
+        return F.struct(own.alias("last")), own
 
-    joined = F.aggregate("spans", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out")), join, lambda s: F.transform(s["out"], trim_all))
+    joined = F.transform(fold_items(F.col("spans"), F.struct(F.lit("").alias("last")), "string", join)["items"], trim_all)
     got = docs.select(key, _pieces(F.coalesce(F.col(text), F.lit("")), size).alias("parts"))
-    got = got.select(key, "parts", spans.alias("spans")).select(key, joined.alias("pieces"))
+    last = F.struct(F.col("c.state.at").alias("at"), F.col("c.state.n").alias("n"))
+    got = got.select(key, "parts", counted.alias("c")).select(key, "parts", F.array_append(F.flatten("c.items"), last).alias("spans")).select(key, joined.alias("pieces"))
     # The outer form: with the other, Spark would work the pieces out a second time to see whether there are any.
     rows = got.select(key, F.size("pieces").alias("_n"), F.posexplode_outer("pieces").alias("piece_no", "piece"))
     return rows.where((F.col("piece") != "") | (F.col("piece_no") < F.col("_n") - 1)).select(key, "piece_no", "piece")

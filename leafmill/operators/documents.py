@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_items
+
 
 def occurrences(text: Column, query: str) -> Column:
     """0-based places of all non-overlapping occurrences, without regard to case."""
     low = F.lower(text)
     parts = F.split(low, f"\\Q{query.lower()}\\E")
     heads = F.slice(parts, 1, F.size(parts) - 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(
-        heads, start, lambda a, p: F.struct((a["at"] + F.length(p) + len(query)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")), lambda a: a["out"]
-    )
+    step = lambda a, p: (F.struct((a["at"] + F.length(p) + len(query)).alias("at")), a["at"] + F.length(p))
+    return fold_items(heads, F.struct(F.lit(0).alias("at")), "int", step)["items"]
 
 
 def context(text: Column, at: Column, size: int, around: int = 30) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_items
 from ..functions.text import trim_all
 from .chunking import greedy
 
@@ -188,14 +189,12 @@ def text_rows(runs: DataFrame, by: list[str], order: str, x: str = "x", y: str =
     place have no row; order tells runs of a page apart."""
     near = F.greatest(F.lit(0.8), F.col(font_size) * MM * 0.35)
     got = runs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(order).alias("o"), F.coalesce(near, F.lit(0.8)).alias("near")))).alias("r"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
+    def step(a: Column, r: Column) -> tuple[Column, Column]:
         joins = F.coalesce(F.abs(a["y"] - r["y"]) <= r["near"], F.lit(False))
         n = a["n"] + (~joins).cast("int")
-        return F.struct(F.when(joins, a["y"]).otherwise(r["y"]).alias("y"), n.alias("n"), F.array_append(a["out"], n).alias("out"))
+        return F.struct(F.when(joins, a["y"]).otherwise(r["y"]).alias("y"), n.alias("n")), n
 
-    rows = F.aggregate("r", start, step, lambda a: a["out"])
+    rows = fold_items(F.col("r"), F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("n")), "int", step)["items"]
     got = got.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda r: r["o"]).alias("o"), rows.alias("n"))).alias("z")).select(*by, F.col("z.o").alias(order), F.col("z.n").alias("row"))
     return runs.join(got, [*by, order], "left")
 
@@ -299,17 +298,17 @@ def paragraphs(lines: DataFrame, by: list[str], order: str) -> DataFrame:
     r = lines.withColumn("_r", F.struct(F.col(order).alias("o"), F.coalesce(may, F.lit(False)).alias("may"), F.coalesce(least, F.lit(0.0)).alias("least"), num("x").alias("x"), num("width").alias("width"), before("width").cast("double").alias("was")))
     page = r.groupBy(*by).agg(F.array_sort(F.collect_list("_r")).alias("r"))
     none = F.lit(None).cast("double")
-    start = F.struct(F.lit(-1).alias("n"), none.alias("first"), none.alias("second"), none.alias("widest"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(-1).alias("n"), none.alias("first"), none.alias("second"), none.alias("widest"))
 
-    def step(s: Column, q: Column) -> Column:
+    def step(s: Column, q: Column) -> tuple[Column, Column]:
         widest = F.greatest(s["widest"], q["width"])
         edge = F.when(s["second"].isNull(), F.abs(q["x"] - s["first"]) <= 6).otherwise((F.abs(q["x"] - s["first"]) <= 1.2) & (F.abs(q["x"] - s["second"]) <= 1.2))
         on = F.coalesce(q["may"] & edge & (q["was"] >= widest * q["least"]), F.lit(False))
         n = s["n"] + F.when(on, 0).otherwise(1)
         second = F.when(on, F.coalesce(s["second"], q["x"]))
-        return F.struct(n.alias("n"), F.when(on, s["first"]).otherwise(q["x"]).alias("first"), second.alias("second"), F.when(on, widest).otherwise(q["width"]).alias("widest"), F.array_append(s["out"], n).alias("out"))
+        return F.struct(n.alias("n"), F.when(on, s["first"]).otherwise(q["x"]).alias("first"), second.alias("second"), F.when(on, widest).otherwise(q["width"]).alias("widest")), n
 
-    page = page.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda q: q["o"]).alias("o"), F.aggregate("r", start, step, lambda s: s["out"]).alias("n"))).alias("z"))
+    page = page.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda q: q["o"]).alias("o"), fold_items(F.col("r"), start, "int", step)["items"].alias("n"))).alias("z"))
     return lines.join(page.select(*by, F.col("z.o").alias(order), F.col("z.n").alias("paragraph")), [*by, order])
 
 
