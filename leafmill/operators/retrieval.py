@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +22,84 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_key: str = "item_id", key: str = "chunk_id", text: str = "text", heavy: int = 100_000, salts: int = 64) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_key: str = "item_id", key: str = "chunk_id", text: str = "text", query_block: int = 4096) -> DataFrame:
     """(query_key, rank, key, score): the k best chunks, ties by key; chunks without any term fill up by key at 0.
 
-    Query terms are a set. Only postings of query terms take part, joined on the term; a term that stands in more than
-    `heavy` chunks is dealt over `salts` parts by the chunk, so no task holds it alone. Of chunks without a match the k
-    smallest keys are enough to fill any query's list. Scores are rounded to 1e-9 before ranking.
+    Query terms are a set. Chunks stay where they are: query_block queries at a time, a first pass counts in how many
+    chunks each of their terms stands, a second adds up the scores of a thousand chunks for all queries of the block in
+    a matrix and keeps k of them a query, so what moves is k rows a query and batch. Of chunks without a match the k
+    smallest keys are enough to fill any query's list. Scores are rounded to 1e-9 before ranking. A driver and a task hold
+    one block of queries' terms.
     """
-    size = chunks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avg"))
-    asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    posts = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    df = posts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    every = F.sequence(F.lit(0), F.when(F.col("df") > heavy, salts - 1).otherwise(0))
-    asked = asked.join(df, "term").withColumn("salt", F.explode(every))
-    posts = posts.join(df.where(F.col("df") > heavy).select("term", F.lit(salts).alias("parts")), "term", "left").withColumn("salt", F.coalesce(F.pmod(F.hash(key), F.col("parts")), F.lit(0))).drop("parts")
-    hits = asked.join(posts, ["term", "salt"]).join(F.broadcast(size))
-    score = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg")))
+    spark, parts, own = chunks.sparkSession, [], []
+    read = chunks.select(key, terms(F.col(text)).alias("_t"))
+    kind, asked_kind = dict(chunks.dtypes)[key], dict(queries.dtypes)[query_key]
+
+    def search(block: list) -> DataFrame:
+        words = pa.array(sorted({w for _, ws in block for w in ws}), pa.string())
+        place = {w: i for i, w in enumerate(words.to_pylist())}
+        pairs = np.array(sorted((place[w], i) for i, (_, ws) in enumerate(block) for w in set(ws)), np.int64).reshape(-1, 2)
+        askers = np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, len(words))))
+        ids = [q for q, _ in block]
+
+        def found(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Of some chunks their lengths, and (chunk, word, times) of the words that the block asks for, by word."""
+            sizes = np.diff(lists.offsets.to_numpy())
+            code = pc.index_in(lists.flatten(), words).to_numpy(zero_copy_only=False).astype(float)
+            row = np.repeat(np.arange(len(lists)), np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0))
+            known = ~np.isnan(code)
+            pair, times = np.unique(code[known].astype(np.int64) * len(lists) + row[known], return_counts=True)
+            return sizes, pair % max(len(lists), 1), pair // max(len(lists), 1), times
+
+        def count(batches):
+            total = np.zeros(len(words) + 3, np.int64)
+            for batch in batches:
+                sizes, _, word, _ = found(batch.column(1))
+                total[: len(words)] += np.bincount(word, minlength=len(words))
+                total[len(words) :] += (batch.num_rows, batch.num_rows - batch.column(1).null_count, sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "n"])
+
+        total = np.zeros(len(words) + 3)
+        for r in read.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a word of the block
+            total[r.at] = r.n
+        n, some, length = total[len(words) :]
+        idf = np.log(1.0 + (n - total[: len(words)] + 0.5) / (total[: len(words)] + 0.5))
+        mean = length / some if some else 1.0
+        shared = spark.sparkContext.broadcast((askers, idf))
+
+        def score(batches):
+            askers, idf = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    sizes, row, word, times = found(batch.column(1))
+                    gain = idf[word] * (times * (k1 + 1.0)) / (times + k1 * (1.0 - b + b * sizes[row] / (mean or 1.0)))
+                    total = np.zeros((len(ids), batch.num_rows))
+                    ends = np.searchsorted(word, np.arange(len(words) + 1))
+                    for w in np.flatnonzero(np.diff(ends)):
+                        mine = slice(ends[w], ends[w + 1])
+                        total[np.ix_(askers[w], row[mine])] += gain[mine]
+                    total = np.round(total, 9)
+                    order = np.argsort(np.array(batch.column(0).to_pylist(), object), kind="stable")  # by key, so that of equals the first stays
+                    total = total[:, order]
+                    best = [hits[np.argsort(-t[hits], kind="stable")[:k]] for t in total for hits in (np.flatnonzero(t),)]
+                    who, at_ = np.repeat(np.arange(len(ids)), [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, asks).take(pa.array(who)), batch.column(0).take(pa.array(order[at_])), pa.array(total[who, at_])], [query_key, key, "score"])
+
+        asks = pa.int64() if asked_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+        return read.mapInArrow(score, f"`{query_key}` {'bigint' if asks == pa.int64() else 'string'}, `{key}` {kind}, score double")
+
+    for row in queries.select(query_key, terms(F.coalesce(F.col("text"), F.lit(""))).alias("t")).toLocalIterator():
+        own.append((row[0], row[1]))
+        if len(own) == query_block:
+            parts, own = [*parts, search(own)], []
+    parts += [search(own)] if own or not parts else []
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
     fill = queries.select(query_key).join(chunks.select(key).orderBy(key).limit(k)).withColumn("score", F.lit(0.0))
-    scored = hits.select(query_key, key, score.alias("score")).unionByName(fill).groupBy(query_key, key).agg(F.round(F.sum("score"), 9).alias("score"))
-    return top(scored, query_key, key, k)
+    filled = scored.unionByName(fill).groupBy(query_key, key).agg(F.max("score").alias("score"))
+    return top(filled.withColumn(query_key, F.col(query_key).cast(asked_kind)), query_key, key, k)
 
 
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -51,7 +113,6 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     A stated set of queries against all rows: each batch of rows is one matrix product with a block of queries and
     keeps k rows a query before anything moves. Queries are taken query_block at a time, which bounds the broadcast.
     """
-    import numpy as np
     import pandas as pd
 
     spark, parts, own = vectors.sparkSession, [], []
