@@ -140,10 +140,11 @@ def _tables(some: pa.Table, buckets: int, heavy: np.ndarray) -> Iterator[tuple[i
 
 
 def _count(blobs: Iterator[bytes], least: int, folder: str) -> pa.Table:
-    """(lang, phrase, words, f) of the n-grams of one bucket that occur `least` times and more."""
+    """(lang, phrase, words, f) of the n-grams of one bucket that occur `least` times and more. folder: where DuckDB may
+    spill; empty: nowhere, so that a bucket beyond MEMORY fails rather than fill a local disk."""
     import duckdb
 
-    temp = f"{folder}/{uuid.uuid4().hex}"
+    temp = f"{folder}/{uuid.uuid4().hex}" if folder else ""
     con = duckdb.connect(":memory:", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": temp, "preserve_insertion_order": "false"})
     try:
         con.execute("create table r (lang varchar, w1 varchar, w2 varchar, w3 varchar, w4 varchar, m bigint, dealt boolean)")
@@ -165,7 +166,8 @@ def _count(blobs: Iterator[bytes], least: int, folder: str) -> pa.Table:
             ).to_arrow_table()
     finally:
         con.close()
-        shutil.rmtree(temp, ignore_errors=True)
+        if temp:
+            shutil.rmtree(temp, ignore_errors=True)
 
 
 def frequent(found: DataFrame, runs: int, least: int) -> DataFrame:

@@ -62,3 +62,5 @@ def test_bucket_spills(tmp_path, monkeypatch):
     f = collections.Counter(" ".join(w[i : i + k]) for w in (p.split() for p in pieces) for i in range(len(w)) for k in range(1, 5) if i + k <= len(w))
     assert dict(zip(out["phrase"].to_pylist(), out["f"].to_pylist())) == {g: n for g, n in f.items() if n >= 3}
     assert not any(tmp_path.iterdir())
+    monkeypatch.setattr(co, "MEMORY", "384MB")
+    assert co._count((b for _, b in co._tables(t, 1, co.np.zeros(0, int))), 3, "").num_rows == out.num_rows  # without a folder to spill to
