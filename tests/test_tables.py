@@ -187,3 +187,16 @@ def test_scores_of_shuffled_merged_and_split_tables(spark):
         got = list(enumerate(read))
         rows = lambda ts: spark.createDataFrame([("f", n, i, j, x) for n, g in ts for i, r in enumerate(g) for j, x in enumerate(r)], "file string, table int, row int, column int, text string")
         assert tuple(tb.table_scores(rows(truth), rows(got), "file").first()) == scores_by_hand(truth, got)
+
+
+def test_cells_are_never_broadcast(spark, tmp_path):
+    """A side's size is told by its files, in which a page's cells are a small array: as rows they are many."""
+    from leafmill.sources.shared import written
+
+    cells = spark.range(4000).selectExpr("id div 40 as page", "int(id % 40 div 4) as row", "int(id % 4) as cell", "if(id % 4 = 0, 'a', '1') as text", "double(10 + 30 * (id % 4)) as x0", "double(20 + 30 * (id % 4)) as x1", "3.0D as em")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    got = tb.banded(written(cells, "few"), ["page"])
+    assert "Broadcast" not in plan(got) and got.where("band = cell").count() == 4000
+    runs = written(cells.selectExpr("page", "row * 4 + cell as run_idx", "text", "x0 as x", "double(row * 6) as y", "10.0D as width", "4.0D as height", "10.0D as font_size", "row = 0 as bold"), "runs")
+    found = tb.detect_tables(runs, ["page"])
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(tb.page_cells(runs, ["page"])) and found.count() == 100
