@@ -156,3 +156,16 @@ def test_edits_and_embedding(spark):
     v = retrieval.embed(chunks, retrieval.hashing_provider(8), 8, "m")
     assert retrieval.to_embed(chunks, v.where("chunk_id = 'c1'"), "m").count() == 1
     assert retrieval.to_embed(chunks, v, "other").count() == 2
+
+
+def test_held_values_against_pairs(spark):
+    rng = random.Random(5)
+    points = [(rng.randrange(3), float(rng.randrange(40))) for _ in range(600)] + [(0, None)]
+    spans = [(rng.randrange(4), i, float(a := rng.randrange(-5, 45)), float(a + rng.randrange(-1, 20))) for i in range(300)]
+    want = {}
+    for g, i, lo, hi in spans:
+        inside = [v for p, v in points if p == g and v is not None and lo < v < hi]
+        if inside:
+            want[i] = (len(inside), min(inside))
+    got = layout.held_values(spark.createDataFrame(points, "g int, v double"), spark.createDataFrame(spans, "g int, i int, lo double, hi double"), ["g"], "v")
+    assert {r.i: (r.held, r.first) for r in got.collect()} == want
