@@ -155,7 +155,14 @@ def held_values(points: DataFrame, intervals: DataFrame, by: list[str], value: s
 
 def nearest(left: DataFrame, right: DataFrame, key: str, bin_size: float, other: str = "other", penalty: Column | None = None) -> DataFrame:
     """left (key, x, y) with the nearest of right (other, x, y) in the 3 by 3 bins around it, ties by other: an
-    equi-join on bins. penalty is added to the squared distance. Rows without a neighbour have null."""
+    equi-join on bins. penalty is added to the squared distance. Rows without a neighbour have null. Without a penalty
+    only distinct places meet, each with the smallest other of those that stand there, and key tells rows apart."""
+    if penalty is None:
+        at = lambda c: c.isNotNull() & F.col(other).isNotNull()
+        seats = right.where(at(F.col("x")) & F.col("y").isNotNull()).groupBy("x", "y").agg(F.min(other).alias(other))
+        asked = left.where("x is not null and y is not null").select("x", "y").distinct().withColumn("_at", F.struct("x", "y"))
+        found = nearest(asked, seats, "_at", bin_size, other, F.lit(0.0)).select("x", "y", other, "distance2")
+        return left.join(found, ["x", "y"], "left").select(*left.columns, other, "distance2")
     cell = lambda c: F.floor(F.col(c) / bin_size)
     r = right.select(F.col(other), F.col("x").alias("rx"), F.col("y").alias("ry"), cell("x").alias("bx"), cell("y").alias("by"), *[c for c in right.columns if c not in (other, "x", "y")])
     around = F.array(*(F.struct((cell("x") + i).alias("bx"), (cell("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))

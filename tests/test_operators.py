@@ -169,3 +169,15 @@ def test_held_values_against_pairs(spark):
             want[i] = (len(inside), min(inside))
     got = layout.held_values(spark.createDataFrame(points, "g int, v double"), spark.createDataFrame(spans, "g int, i int, lo double, hi double"), ["g"], "v")
     assert {r.i: (r.held, r.first) for r in got.collect()} == want
+
+
+def test_nearest_makes_pairs_of_places_only(spark):
+    """A thousand rows on each of a few places: their pairs would be a million a place."""
+    left = spark.range(5000).selectExpr("id as key", "double(id % 5) as x", "if(id = 7, null, 0.0D) as y")
+    right = spark.range(5000).selectExpr("id + 10 as other", "double(id % 5) + 0.25D as x", "0.0D as y")
+    got = layout.nearest(left, right, "key", 10.0)
+    assert {(r.x, r.other, r.distance2, r.n) for r in got.groupBy("x", "other", "distance2").agg(F.count("*").alias("n")).collect()} == {
+        *((float(i), 10 + i, 0.0625, 1000 - (i == 2)) for i in range(5)), (2.0, None, None, 1)
+    }
+    at = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert at(got).index("Join") < at(got).index("Generate") and at(got).count("Aggregate") >= 3
