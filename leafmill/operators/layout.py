@@ -251,12 +251,27 @@ def apply_outline(texts: DataFrame, outline: DataFrame, by: list[str], order: st
     """texts with heading, toc_entry and toc_level from an outline (by, seq, title, depth): each entry goes to the text of
     its page that says the same (3), begins with it or the other way round (2) or stands in it with 6 letters or more (1);
     of equals to the highest, then the first by order. A text keeps a heading it has; of several entries the first gives
-    the heading, the last its entry. Joined on the page; an entry compares with the texts of one page only."""
+    the heading, the last its entry. Entries and texts meet by equality only: a text gives its beginnings of the lengths
+    that titles of its page have, a title its own of the lengths of texts, and titles that find nothing there their parts."""
     e = outline.select(*by, F.col("seq").alias("_seq"), F.trim("title").alias("_title"), match_title(F.col("title")).alias("_want"), F.least(F.lit(6), F.greatest(F.lit(1), F.col("depth"))).cast("int").alias("_level")).where("_want <> ''")
     t = texts.select(*by, F.col(order).alias("_o"), F.coalesce(F.col(y), F.lit(0.0)).alias("_y"), match_title(F.col(text)).alias("_have")).where("_have <> ''")
-    have, want = F.col("_have"), F.col("_want")
-    score = F.when(have == want, 3).when(F.startswith(have, want) | F.startswith(want, have), 2).when((F.length(have) >= 6) & F.contains(want, have), 1)
-    hit = e.join(t, by).withColumn("_s", score).where("_s is not null")
+    seat = F.min("_at").alias("_at")
+    said = t.groupBy(*by, "_have").agg(F.min(F.struct("_y", "_o")).alias("_at"))
+    asked = e.select(*by, "_want").distinct()
+    lengths = lambda d, c: d.groupBy(*by).agg(F.collect_set(F.length(c)).alias("_lengths"))
+    shorter = lambda c: F.filter("_lengths", lambda n: n < F.length(c))
+    begins = lambda c: F.explode(F.transform(shorter(c), lambda n: F.substring(c, F.lit(1), n)))
+    same = asked.join(said.withColumnRenamed("_have", "_want"), [*by, "_want"]).select(*by, "_want", F.lit(3).alias("_s"), "_at")
+    longer = said.join(lengths(asked, "_want"), by).select(*by, begins(F.col("_have")).alias("_want"), "_at").groupBy(*by, "_want").agg(seat)
+    longer = asked.join(longer, [*by, "_want"]).select(*by, "_want", F.lit(2).alias("_s"), "_at")
+    titles = asked.join(lengths(said, "_have"), by)
+    head = titles.select(*by, "_want", begins(F.col("_want")).alias("_have")).join(said, [*by, "_have"]).select(*by, "_want", F.lit(2).alias("_s"), "_at")
+    near = written(same.unionByName(longer).unionByName(head), "titles")
+    want = F.col("_want")
+    parts = F.flatten(F.transform(F.filter(shorter(want), lambda n: n >= 6), lambda n: F.transform(F.sequence(F.lit(1), F.length(want) - n + 1), lambda i: F.substring(want, i, n))))
+    left = titles.join(near.select(*by, "_want").distinct(), [*by, "_want"], "left_anti")
+    inside = left.select(*by, "_want", F.explode(F.array_distinct(parts)).alias("_have")).join(said, [*by, "_have"]).select(*by, "_want", F.lit(1).alias("_s"), "_at")
+    hit = e.join(near.unionByName(inside), [*by, "_want"]).select(*by, "_seq", "_title", "_level", "_s", "_at.*")
     best = hit.groupBy(*by, "_seq").agg(F.min(F.struct((-F.col("_s")).alias("s"), "_y", "_o"))["_o"].alias("_o"), F.first("_title").alias("_title"), F.first("_level").alias("_level"))
     given = best.groupBy(*by, "_o").agg(F.min_by("_level", "_seq").alias("_first"), F.max_by("_title", "_seq").alias("toc_entry"), F.max_by("_level", "_seq").alias("toc_level"))
     out = texts.join(given.withColumnRenamed("_o", order), [*by, order], "left")

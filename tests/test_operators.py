@@ -181,3 +181,20 @@ def test_nearest_makes_pairs_of_places_only(spark):
     }
     at = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
     assert at(got).index("Join") < at(got).index("Generate") and at(got).count("Aggregate") >= 3
+
+
+def test_outline_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts = [(p, i, word(rng.randrange(1, 9)), float(rng.randrange(3)), None) for i in range(300) for p in (i % 2,)]
+    outline = [(s % 2, s, rng.choice(texts)[2][: rng.randrange(1, 9)] + rng.choice(("", "!", word(4))) if s % 3 else word(3) + rng.choice(texts)[2] + word(2), s % 9) for s in range(200)]
+    frames = spark.createDataFrame(texts, "p int, o int, text string, y double, heading int"), spark.createDataFrame(outline, "p int, seq int, title string, depth int")
+    clean = lambda d, c: [tuple(r) for r in d.select("p", d.columns[1], layout.match_title(F.col(c))).collect()]
+    have, level, best = clean(frames[0], "text"), {s: min(6, max(1, d)) for _, s, _, d in outline}, {}
+    for p, seq, w in clean(frames[1], "title"):
+        score = lambda h: 3 if h == w else 2 if h.startswith(w) or w.startswith(h) else 1 if len(h) >= 6 and h in w else 0
+        hits = [(-score(h), texts[o][3], o) for q, o, h in have if q == p and h and w and score(h)]
+        if hits:
+            best.setdefault(min(hits)[2], []).append(seq)
+    got = layout.apply_outline(*frames, ["p"], "o").where("toc_level is not null").collect()
+    assert {r.o: (r.heading, r.toc_level) for r in got} == {o: (level[min(s)], level[max(s)]) for o, s in best.items()} and len(got) > 20
