@@ -107,11 +107,15 @@ def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows and queries of one matrix of scores in dense: 4 MB.
+ROWS, QUERIES = 2048, 256
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): the k nearest of vectors for each query by cosine in doubles, itself left out.
 
-    A stated set of queries against all rows: each batch of rows is one matrix product with a block of queries and
-    keeps k rows a query before anything moves. Queries are taken query_block at a time, which bounds the broadcast.
+    A stated set of queries against all rows: ROWS rows at a time and QUERIES queries of a block are one matrix product
+    that keeps k rows a query before anything moves. Queries are taken query_block at a time, which bounds the broadcast.
     """
     import pandas as pd
 
@@ -126,18 +130,22 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
             qi, qv = shared.value
             for pdf in batches:
                 pdf = pdf[pdf[vector].notna()]
-                if not len(pdf):
-                    continue
-                x = np.array(pdf[vector].tolist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                vid = pdf[key].to_numpy()
-                s = np.round(qv @ x.T, 9)
-                s[qi[:, None] == vid[None, :]] = -9
-                n = min(k, s.shape[1])
-                for i in range(len(qi)):
-                    best = np.lexsort((vid, -s[i]))[:n]
-                    best = best[s[i][best] > -9]
-                    yield pd.DataFrame({"query_id": qi[i], key: vid[best], "score": s[i][best]})
+                for at in range(0, len(pdf), ROWS):  # ROWS x QUERIES scores at a time, whatever a batch and a block hold
+                    some = pdf.iloc[at : at + ROWS]
+                    x = np.array(some[vector].tolist(), float)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    vid = some[key].to_numpy()
+                    for q in range(0, len(qi), QUERIES):
+                        yield nearest(qi[q : q + QUERIES], qv[q : q + QUERIES], vid, x)
+
+        def nearest(ids: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+            s = np.round(q @ x.T, 9)
+            s[ids[:, None] == vid[None, :]] = -9
+            n = min(k, s.shape[1])
+            best = [np.lexsort((vid, -row))[:n] for row in s]
+            place, score = np.concatenate(best), np.concatenate([row[b] for row, b in zip(s, best)])
+            fine = score > -9
+            return pd.DataFrame({"query_id": np.repeat(ids, n)[fine], key: vid[place][fine], "score": score[fine]})
 
         return vectors.select(key, vector).mapInPandas(run, f"query_id bigint, `{key}` bigint, score double")
 

@@ -198,3 +198,18 @@ def test_outline_against_all_pairs(spark):
             best.setdefault(min(hits)[2], []).append(seq)
     got = layout.apply_outline(*frames, ["p"], "o").where("toc_level is not null").collect()
     assert {r.o: (r.heading, r.toc_level) for r in got} == {o: (level[min(s)], level[max(s)]) for o, s in best.items()} and len(got) > 20
+
+
+def test_dense_scores_are_worked_out_in_small_matrices(spark, monkeypatch):
+    """A batch of rows against a block of queries was one matrix, of 10,000 by 4,096 doubles and its copies."""
+    rng = random.Random(2)
+    v = [(i, [float(rng.randrange(-3, 4)) for _ in range(3)]) for i in range(90)]
+    monkeypatch.setattr(retrieval, "ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
+    frame = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    size = lambda x: max(sum(c * c for c in x) ** 0.5, 1e-300)
+    cos = lambda a, b: round(sum(x / size(a) * (y / size(b)) for x, y in zip(a, b)), 6)
+    got = {}
+    for r in retrieval.dense(frame, frame.where("vec_id % 9 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(round(r.score, 6))
+    assert got == {q: sorted((cos(v[q][1], x) for i, x in v if i != q), reverse=True)[:5] for q in range(0, 90, 9)}
