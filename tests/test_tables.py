@@ -200,3 +200,17 @@ def test_cells_are_never_broadcast(spark, tmp_path):
     runs = written(cells.selectExpr("page", "row * 4 + cell as run_idx", "text", "x0 as x", "double(row * 6) as y", "10.0D as width", "4.0D as height", "10.0D as font_size", "row = 0 as bold"), "runs")
     found = tb.detect_tables(runs, ["page"])
     assert "Broadcast" not in plan(found) and "Broadcast" not in plan(tb.page_cells(runs, ["page"])) and found.count() == 100
+
+
+def test_scores_move_cells_once(spark):
+    """Cells were joined at each step, so a table's texts were shuffled eight times."""
+    truth = spark.range(400).selectExpr("id div 80 as doc", "id div 8 as table", "int(id % 8 div 2) as row", "int(id % 2) as column", "concat('t', id) as text")
+    got = truth.where("table % 5 <> 0").selectExpr("doc", "table", "row", "column", "if(table % 7 = 1 and row = 0, 'x', text) as text").where("not (table % 3 = 1 and row = 3)")
+    scores = tb.table_scores(truth, got, "doc")
+    lost, bad = lambda i: i % 3 == 1, lambda i: i % 7 == 1
+    some = [i for i in range(50) if i % 5]
+    assert scores.first().asDict() == dict(
+        tables=50, found=len(some), exact=sum(not lost(i) and not bad(i) for i in some), headers=sum(not bad(i) for i in some), cells=400, cells_right=sum(8 - 2 * lost(i) - 2 * bad(i) for i in some), extra=0
+    )
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "RepartitionByExpression" not in plan  # written before
