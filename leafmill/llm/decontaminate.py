@@ -1,8 +1,8 @@
 """Benchmark decontamination: latent semantic candidates, then longest common subsequences and answer checks.
 
 Passages of WINDOW words, every STRIDE words, are TF-IDF rows over the benchmark's words. A randomised SVD of these
-rows (one pass over passages of a bounded sample of documents and over the benchmark: sketch, Nystrom core, small
-SVD) gives the latent space. Items are cut into even pieces of at most PIECE words, as a passage can hold only a
+rows (one pass over the passages of all documents and over the benchmark: sketch, Nystrom core, small SVD) gives the
+latent space. Items are cut into even pieces of at most PIECE words, as a passage can hold only a
 small part of a long item. Every passage of every document is projected and held against all pieces by cosine; where
 one is found, the whole item is verified word by word.
 """
@@ -22,9 +22,9 @@ from .common import ALNUM_ANY_CASE, Words, bucket_totals, slices, strings
 WINDOW, STRIDE = 64, 32
 #: Words of a piece of an item at most: any so long stretch of a document stands in one passage whole.
 PIECE = WINDOW - STRIDE
-#: Latent dimensions; documents whose passages the space is fitted on, on average (a bound by hash of the id); pieces
-#: of items searched for in one pass over the documents, which bounds what is broadcast.
-RANK, FIT_DOCS, PIECES = 128, 4000, 4000
+#: Latent dimensions; rows that the passages of a slice of documents add up to before they are multiplied; pieces of
+#: items searched for in one pass over the documents, which bounds what is broadcast.
+RANK, ROWS, PIECES = 128, 256, 4000
 DF_BITS = 16
 #: The weight of a word that stands in every document; one in few has the logarithm of its rarity more. No word is left out, as a
 #: word may be frequent because its item leaks into many documents.
@@ -287,40 +287,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
 
 
 def _fitted(docs: DataFrame, space: Space, total: int):
-    """The space with weights and basis from docs (doc_id, text), as a broadcast."""
-    known = space.row
+    """The space with weights and basis from docs (doc_id, text), as a broadcast.
 
-    def frequencies(batch, counters):
-        for _, arr in slices(batch, "text"):
-            w = Words(pc.utf8_lower(arr), ALNUM_ANY_CASE)
-            b = (w.hashes() >> np.uint64(64 - DF_BITS)).astype(np.int64)
-            some = known[b] >= 0
-            key = np.unique((w.doc()[some] << DF_BITS) | b[some])
-            counters += np.bincount(key & ((1 << DF_BITS) - 1), minlength=len(counters))
-
-    space.weigh(bucket_totals(docs, frequencies, DF_BITS, ["text"]), total)
-    m = len(space.vocabulary)
+    One pass over all documents counts their words and sketches C'C omega, C the words of all passages. The weights,
+    known only then, scale rows of the sketch and of omega. A slice's passages add up to ROWS rows at most, each by a
+    random sign: products of different passages cancel out on average, and slices of few passages are exact.
+    """
+    known, m = space.row, len(space.vocabulary)
     rank = min(RANK, m)
     omega = np.random.default_rng(3).standard_normal((m, rank))
-    bits = int(np.ceil(np.log2(m * rank + 1)))
+    narrow = omega.astype(np.float32)
+    at = 1 << DF_BITS  # then the squares of each word's counts, then the sketch
+    bits = int(np.ceil(np.log2(at + m + m * rank)))
 
-    def sketch(batch, counters):
-        for _, arr in slices(batch, "text", 1 << 20):
+    def count(batch, counters):
+        for _, arr in slices(batch, "text"):
             w = Words(pc.utf8_lower(arr), ALNUM_ANY_CASE)
-            row = known[(w.hashes() >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-            doc = w.doc()
-            passage = np.cumsum(np.r_[0, (doc[1:] != doc[:-1]) | ((np.arange(1, len(row)) - w.doc_at[doc[1:]]) % WINDOW == 0)]) if len(row) else np.zeros(0, np.int64)
-            step = max(1, (1 << 22) // m)
-            for lo in range(0, int(passage[-1]) + 1 if len(passage) else 0, step):
-                s = slice(np.searchsorted(passage, lo), np.searchsorted(passage, lo + step))
-                some = row[s] >= 0
-                a = space.rows(row[s][some].astype(np.int64), passage[s][some] - lo, step)
-                counters[: m * rank] += (a.T @ (a @ omega.astype(np.float32))).astype(np.float64).ravel()
-                counters[m * rank] += float((a**2).sum())
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total))) < FIT_DOCS)
-    got = bucket_totals(part, sketch, bits, ["text"], "<f8")
-    space.fit(got[: m * rank].reshape(m, rank), omega, float(got[m * rank]))
+            h, doc = w.hashes(), w.doc()
+            b = (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+            some = np.flatnonzero(known[b] >= 0)
+            if not len(some):
+                continue
+            key = np.unique((doc[some] << DF_BITS) | b[some])
+            counters[:at] += np.bincount(key & (at - 1), minlength=at)
+            blocks = -(-w.counts() // WINDOW)
+            passage = (np.cumsum(blocks) - blocks)[doc[some]] + (some - w.doc_at[doc[some]]) // WINDOW
+            n, rows = int(blocks.sum()), max(1, min(ROWS, (1 << 22) // m))
+            rng = np.random.default_rng([len(h), int(h[0])])  # so that a task that runs again gives the same
+            sign = rng.integers(0, 2, n) * 2.0 - 1 if n > rows else np.ones(n)
+            a = np.bincount(passage % rows * m + known[b[some]], sign[passage], rows * m).reshape(rows, m).astype(np.float32)
+            counters[at : at + m] += (a**2).sum(0)
+            counters[at + m : at + m + m * rank] += (a.T @ (a @ narrow)).ravel()
+
+    got = bucket_totals(docs, count, bits, ["text"], "<f8")
+    space.weigh(got[:at], total)
+    idf = space.idf.astype(np.float64)
+    sketch = got[at + m : at + m + m * rank].reshape(m, rank) * idf[:, None]
+    space.fit(sketch, omega / idf[:, None], float(got[at : at + m] @ idf**2))
     return docs.sparkSession.sparkContext.broadcast(space)
 
 

@@ -508,3 +508,25 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_shingles_hash(spark):
     assert hashlib.sha256(b"").hexdigest() == pii.digest(pii.find_pii(odd(spark))).where("doc_id = 1").first()["base_sha256"]
+
+
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """With one row a passage the sketch is A'A omega of all documents; with fewer rows it stays near; whatever the ids hash to."""
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(200)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(200)], k=n))
+    docs = spark.createDataFrame([(i, text(rng.randint(1, 40))) for i in range(9000)], "doc_id long, text string").repartition(3)
+    space = lambda: decontaminate.Space(next(decontaminate._items(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), "text", None, 10)))
+    told = []
+    monkeypatch.setattr(decontaminate.Space, "fit", lambda self, *x: told.append((self.idf, *x)))
+    for rows in (1 << 14, 256):
+        monkeypatch.setattr(decontaminate, "ROWS", rows)
+        decontaminate._fitted(docs, space(), 9000)
+    one = space()
+    w = decontaminate.Words(decontaminate.strings(decontaminate.pa.array([r.text for r in docs.collect()])), decontaminate.ALNUM_ANY_CASE)
+    row = one.row[(w.hashes() >> np.uint64(64 - decontaminate.DF_BITS)).astype(np.int64)]
+    idf, sketch, omega, energy = told[0]
+    a = np.bincount(w.doc() * len(idf) + row, minlength=9000 * len(idf)).reshape(9000, len(idf)) * idf
+    want = a.T @ (a @ omega)
+    assert np.allclose(sketch, want, rtol=1e-3, atol=1e-3 * np.abs(want).max()) and energy == pytest.approx((a**2).sum(), rel=1e-4)
+    assert np.linalg.norm(told[1][1] - want) < 0.1 * np.linalg.norm(want) and told[1][3] == pytest.approx(energy, rel=0.1)
