@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_ANY_CASE, Words, as_long, carry, materialize, mix, schema_with, slices, training_sample
+from .common import ALNUM_ANY_CASE, Words, as_long, carry, materialize, mix, schema_with, slices, training_labels
 
-#: Bounds of what is fitted: labelled rows, and words in the model, those of the largest z.
-MAX_ROWS, MAX_WORDS = 40_000, 20_000
+#: Words in the model at most, those of the largest z.
+MAX_WORDS = 20_000
 #: The prior's weight as a share of all counts; the least z of a word with a score; what any other word costs.
 PRIOR, LEAST_Z, COST = 0.1, 3.0, 0.5
 #: Segments expected by chance less often than this are significant. The most that one counts for.
@@ -107,28 +107,32 @@ def _summary(found, n_words: np.ndarray, model: Toxicity):
     return best, np.array([sum(s >= b for _, _, s in x) for x, b in zip(found, bar)], np.int64)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    b = np.zeros(x.shape[1])
+def _logistic(rows: DataFrame, x: list[str], y: str, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's steps of a logistic regression of y on the columns x, each step's sums over all rows; at most 50 steps."""
+    b, n = np.zeros(len(x)), len(x)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (y - p) - ridge * b)
+        at = sum((F.col(c) * float(w) for c, w in zip(x, b)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(at, F.lit(-30.0)), F.lit(30.0))))
+        one = rows.select(*x, y, p.alias("_p"))
+        miss, spread = F.col(y) - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
+        got = one.agg(*(F.sum(F.col(c) * miss) for c in x), *(F.sum(F.col(c) * F.col(d) * spread) for c in x for d in x)).first()
+        step = np.linalg.solve(np.array(got[n:]).reshape(n, n) + ridge * np.eye(n), np.array(got[:n]) - ridge * b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Toxicity:
-    """Fits on the labelled rows outside the held-out fold, max_rows of them at most (by id hash).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_words: int = MAX_WORDS) -> Toxicity:
+    """Fits on all labelled rows outside the held-out fold; only sums and the model's words reach the driver.
 
     Of texts of one label whose words are the same in the same order (copies, whatever their case and punctuation) one
     is used, so that a group of copies does not make its words look telling; all others are. Of rows that repeat an id
     the least text is used. Without rows of both labels the model finds nothing and every score is about the share of toxic
     labels, 0 where there are none.
     """
-    sample = F.broadcast(training_sample(labels, label, max_rows))
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, "doc_id")
-    rows, text = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled"), "text"  # max_rows rows at most
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(training_labels(labels, label), "doc_id")
+    rows, text = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled"), "text"
 
     def keys(batches):
         for batch in batches:
@@ -142,27 +146,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
                         same[i, some] = np.add.reduceat(mix(h + mix(2 * nth + np.uint64(i + 1))), w.doc_at[:-1][some])
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("label")), *(pa.array(as_long(x), pa.int64()) for x in same)], ["doc_id", "label", "same", "too"])
 
-    got = rows.mapInArrow(keys, "doc_id bigint, label int, same bigint, too bigint").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates(["label", "same", "too"])
-    share = float(got["label"].mean()) if len(got) else 0.0
+    first = rows.mapInArrow(keys, "doc_id bigint, label int, same bigint, too bigint").groupBy("label", "same", "too").agg(F.min("doc_id").alias("doc_id"))
+    rows = materialize(rows.join(first.select("doc_id"), "doc_id", "left_semi").select("label", text), "distinct")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = toxic / n if n else 0.0
     flat = Toxicity(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
-    if got["label"].nunique() < 2:
+    if toxic in (0, n):
         return flat
     spark = docs.sparkSession
-    chosen = spark.sparkContext.broadcast(np.sort(got["doc_id"].to_numpy(np.int64)))
-
-    def picked(part):
-        ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-        place = np.minimum(np.searchsorted(chosen.value, ids), len(chosen.value) - 1)
-        return chosen.value[place] == ids
 
     def count(batches):
         for batch in batches:
             for part, arr in slices(batch, text):
-                mask = picked(part)
-                if not mask.any():
-                    continue
-                arr, toxic = arr.filter(pa.array(mask)), part.column(part.schema.get_field_index("label")).to_numpy()[mask]
+                toxic = part.column(part.schema.get_field_index("label")).to_numpy()
                 w = Words(arr, ALNUM_ANY_CASE)
                 d = w.doc()
                 stems = [(w.hashes(most=k)[long], d[long]) for k in STEMS for long in (w.end - w.start >= k,)]
@@ -209,23 +205,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     def trial(batches):
         for batch in batches:
             for part, arr in slices(batch, text):
-                mask = picked(part)
-                if mask.any():
-                    w, found = _scan(arr.filter(pa.array(mask)), *shared.value)
-                    sums = [[s for _, _, s in x] for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column(part.schema.get_field_index("label")).to_numpy()[mask], pa.int32()), pa.array(w.counts(), pa.int64()), pa.array([max(x, default=0.0) for x in sums], pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["label", "n", "best", "sums"])
+                w, found = _scan(arr, *shared.value)
+                sums = [[s for _, _, s in x] for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(w.counts(), pa.int64()), pa.array([max(x, default=0.0) for x in sums], pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["label", "n", "best", "sums"])
 
     trials = materialize(rows.mapInArrow(trial, "label int, n bigint, best double, sums array<double>"), "trials")
-    tried = trials.select("label", "n", "best").toPandas()
-    y, n, best = (tried[x].to_numpy(float) for x in ("label", "n", "best"))
-    low = max(float(best[best > 0].min()) if (best > 0).any() else 1.0, 0.5)
-    clean = y == 0
-    model.k = float(((best[clean] >= low).sum() + 0.5) / max(1.0, (n[clean]).sum() * math.exp(-model.lam * low)))
-    bar = (F.log(F.lit(model.k) * F.greatest("n", F.lit(1))) - math.log(SIGNIFICANT)) / model.lam
-    tried = trials.select("label", "n", "best", F.size(F.filter("sums", lambda s: s >= bar)).alias("many")).toPandas()
-    y, n, best, many = (tried[x].to_numpy(float) for x in ("label", "n", "best", "many"))
-    x = np.column_stack([np.ones(len(y)), model.surprise(best, n), np.log1p(many)])
-    model.curve = tuple(float(v) for v in _logistic(x, y))
+    low = max(trials.where("best > 0").agg(F.min("best")).first()[0] or 1.0, 0.5)
+    many, length = trials.where("label = 0").agg(F.count_if(F.col("best") >= low), F.coalesce(F.sum("n"), F.lit(0))).first()
+    model.k = float((many + 0.5) / max(1.0, length * math.exp(-model.lam * low)))
+    by_chance = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
+    surprise = F.when(F.col("best") > 0, F.greatest(F.lit(0.0), F.least(F.lit(TOP), F.lit(model.lam) * F.col("best") - by_chance))).otherwise(0.0)
+    bar = (by_chance - math.log(SIGNIFICANT)) / model.lam
+    tried = trials.select(F.lit(1.0).alias("one"), surprise.alias("surprise"), F.log1p(F.size(F.filter("sums", lambda s: s >= bar))).alias("many"), F.col("label").cast("double").alias("y"))
+    # Rounded, as sums of parts that come in any order differ in their last digits.
+    model.curve = tuple(round(float(v), 9) for v in _logistic(materialize(tried, "tried"), ["one", "surprise", "many"], "y"))
     return model
 
 

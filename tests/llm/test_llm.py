@@ -530,3 +530,13 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     want = a.T @ (a @ omega)
     assert np.allclose(sketch, want, rtol=1e-3, atol=1e-3 * np.abs(want).max()) and energy == pytest.approx((a**2).sum(), rel=1e-4)
     assert np.linalg.norm(told[1][1] - want) < 0.1 * np.linalg.norm(want) and told[1][3] == pytest.approx(energy, rel=0.1)
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """All toxic rows are among the last of some 48,000 by the hash of their ids, which a sample of 40,000 does not hold."""
+    late = (F.xxhash64("doc_id") > int(0.75 * 2**63)) & (F.col("doc_id") % 2 == 1)
+    rows = spark.range(60000).select(F.col("id").alias("doc_id")).withColumn("toxic", late.cast("int"))
+    docs = rows.select("doc_id", F.concat_ws(" ", F.concat(F.lit("n"), "doc_id"), F.concat(F.lit("w"), F.col("doc_id") % 50), F.when(late, "zorgle")).alias("text"))
+    model = toxicity.fit(docs, rows)
+    got = toxicity.score_toxicity(docs, model).join(rows, "doc_id").agg(F.count("*"), F.count_if((F.col("score") >= 0.5) == (F.col("toxic") == 1))).first()
+    assert got[0] == 60000 and got[1] >= 59990
