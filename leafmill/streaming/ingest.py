@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,40 +53,61 @@ def sliding_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour"
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+#: Groups that the documents of a stream are dealt to; a checkpoint belongs to one number of them.
+GROUPS = 1 << 12
+
 CHANGES = "doc_id long, version long, chunk_id string, hash string, status string"
 
 
-def chunk_changes(chunks: DataFrame) -> DataFrame:
+def chunk_changes(chunks: DataFrame, groups: int = GROUPS) -> DataFrame:
     """A stream (doc_id, version, chunk_id, hash) of documents, each version as all of its chunks, as a stream of what
     changes: (doc_id, version, chunk_id, hash, status), status new, changed or removed.
 
-    The state of a document is its version and the hashes of its chunks, so no batch reads what others wrote. Chunks that
-    a version lacks are removed; a version whose only row has a null chunk_id removes the document. Versions that are no
-    newer than the state's change nothing, so a version that is sent again is harmless; of several in one batch each is
-    compared with the one before. All rows of a version come in one batch.
+    The state of a document is its version and the hashes of its chunks, so no batch reads what others wrote. Documents
+    are dealt to groups whose states are kept together, as Python is called once a group: a batch reads and writes the
+    states of the groups it touches. Chunks that a version lacks are removed; a version whose only row has a null chunk_id
+    removes the document. Versions that are no newer than the state's change nothing, so a version that is sent again is
+    harmless; of several in one batch each is compared with the one before. All rows of a version come in one batch.
     """
 
     def diff(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, known = (state.get[0], dict(zip(state.get[1], state.get[2]))) if state.exists else (-1, {})
-        rows = pd.concat(list(frames))
+        docs: dict[int | None, tuple[int, dict[str, str]]] = {}
+        if state.exists:
+            ids, versions, sizes, held, hashes = state.get
+            pairs = zip(held, hashes)
+            for doc, at, size in zip(ids, versions, sizes):
+                docs[doc] = at, dict(islice(pairs, size))
+        came: dict[tuple[int | None, int], list[tuple[str, str]]] = {}
+        for f in frames:
+            for doc, null, version, chunk, value in zip(*(f[c].tolist() for c in ("doc_id", "unnamed", "version", "chunk_id", "hash"))):
+                own = came.setdefault((None if null else doc, version), [])
+                if isinstance(chunk, str):
+                    own.append((chunk, value))
         out = []
-        for version, own in sorted(rows.groupby("version"), key=lambda x: x[0]):
+        for (doc, version), own in sorted(came.items(), key=lambda x: x[0][1]):
+            at, known = docs.get(doc, (-1, {}))
             if version <= at:
                 continue
-            now = {c: h for c, h in sorted(zip(own["chunk_id"], own["hash"]), key=str) if isinstance(c, str)}
-            out += [(key[0], version, c, h, "changed" if c in known else "new") for c, h in now.items() if known.get(c) != h]
-            out += [(key[0], version, c, None, "removed") for c in known if c not in now]
-            at, known = int(version), now
-        state.update((at, list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    return chunks.groupBy("doc_id").applyInPandasWithState(diff, CHANGES, "version long, ids array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def follow(chunks: DataFrame, folder: str, checkpoint: str):
+            now = dict(sorted(own, key=str))
+            out += [(doc, version, c, h, "changed" if c in known else "new") for c, h in now.items() if known.get(c) != h]
+            out += [(doc, version, c, None, "removed") for c in known if c not in now]
+            docs[doc] = version, now
+        chunks = [x for _, x in docs.values()]
+        state.update((list(docs), [v for v, _ in docs.values()], [len(x) for x in chunks], [c for x in chunks for c in x], [h for x in chunks for h in x.values()]))
+        found = dict(zip((c.split()[0] for c in CHANGES.split(", ")), map(list, zip(*out))))
+        if found:  # a list of ids with a null among them would become floats
+            yield pd.DataFrame(found | {"doc_id": pd.array(found["doc_id"], "Int64")})
+
+    keyed = chunks.where("version is not null").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    keyed = keyed.select("group", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "version", "chunk_id", "hash")
+    kept = "ids array<long>, versions array<long>, sizes array<int>, chunks array<string>, hashes array<string>"
+    return keyed.groupBy("group").applyInPandasWithState(diff, CHANGES, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def follow(chunks: DataFrame, folder: str, checkpoint: str, groups: int = GROUPS):
     """A streaming query that writes the changes of each batch to a folder of its own, replaced when a batch is replayed."""
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-    return chunk_changes(chunks).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return chunk_changes(chunks, groups).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,6 +28,19 @@ def test_versions_with_removals_and_replays(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/small/batch=*").count() == 4
 
 
+def test_documents_of_a_group_share_a_state(spark, tmp_path):
+    schema = "doc_id long, version long, chunk_id string, hash string"
+    ids = [None, 0, 2**60 + 1, *range(1, 40)]
+    for version in range(2):  # then every third loses its second chunk, and the null one goes
+        rows = [(d, version, c, f"{d}{c}") for i, d in enumerate(ids) for c in ("a", "b") if not version or (i and (i % 3 or c == "a"))]
+        spark.createDataFrame([*rows, *([(None, 1, None, None)] if version else [])], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        q = ingest.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/at", groups=2)
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    want = {(d, c, f"{d}{c}") for i, d in enumerate(ids) for c in ("a", "b") if i and (i % 3 or c == "a")}
+    assert {(r.doc_id, r.chunk_id, r.hash) for r in ingest.latest(spark, f"{tmp_path}/out").collect()} == want
+
+
 def test_vectors_are_made_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
