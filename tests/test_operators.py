@@ -132,6 +132,24 @@ def test_layout(spark):
     assert [r.idx for r in layout.reading_order(lines, g, 210.0).where("page = 2").orderBy("place").collect()] == sorted(r[1] for r in column[:11])
 
 
+def test_reading_order_sorts_few_rows_in_a_task(spark):
+    """Parts grow in number with the rows; strips are found without a row a bin, and boxes are sorted without their page's
+    columns and apart from what finds the strips."""
+    from leafmill.plans import tables
+    from leafmill.sources.shared import dealt
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt(spark.range(1000), "id", 100).rdd.getNumPartitions() == 11 and dealt(spark.range(10), "id", 100).rdd.getNumPartitions() == 4
+    lines = tables._printed(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [l_suppkey" in plan(lines)
+    strips = layout.gutters(lines, 210.0)
+    assert "sequence(" not in plan(strips)
+    ordered = plan(layout.reading_order(lines.withColumn("y", F.lit(1.0)), strips, 210.0))
+    assert sum("Window [" in x for x in ordered.splitlines()) == 3 and "covered" not in ordered
+    # What stands above the join, which is all that is sorted, has no array of columns.
+    assert "columns#" not in "".join(x for x in ordered[: ordered.index("Join LeftOuter")].splitlines() if "Window [" in x)
+
+
 def test_next_on_line_and_intervals(spark):
     rng = random.Random(3)
     runs = [(p, i, rng.uniform(0, 200), rng.choice([0, 0.4, 3, 3.2, 9]) + rng.random(), rng.choice([4.0, 10.0, 30.0, None]), rng.random() < 0.1) for p in range(3) for i in range(60)] + [(0, 100, None, 1.0, 4.0, False)]
