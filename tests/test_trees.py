@@ -83,6 +83,31 @@ def test_assets_that_cannot_be_read_stay():
     assert tree["pages"][0]["elements"][0]["src"].endswith("*") and tree["resources"]["images"]["k"] == {"data": "%%"}
 
 
+def test_documents_are_not_held_together(spark):
+    """Small documents pass a hundred at a time and are read once; of twenty of 20 MB Python holds a few. Both ways make
+    the same rows."""
+
+    def held(tree):
+        with open("/proc/self/statm") as f:
+            yield int(f.read().split()[1]) * 4096 // 1_000_000, len(tree["text"])
+
+    def most(n, size):
+        docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.to_json(F.struct(F.repeat(F.lit("x"), size).alias("text"))).alias("value"))
+        got = trees.each(docs, held, "mb long, n int").agg(F.max("mb").alias("mb"), F.min("n").alias("n"), F.count("*").alias("rows")).first()
+        assert (got["n"], got["rows"]) == (size, n)
+        return got["mb"]
+
+    assert most(20, 20_000_000) < 600
+    odd = [{"pages": [{"elements": [{"type": "image", "src": "data:image/png;base64,aGk="}]}]}, "{", None, "[1]", {}]
+    want = [("asset", "asset-1", b"hi"), ("document", None, None)]
+    for pad, both in (("", (0, 4)), ("x" * trees.LARGE, (0, 4))):
+        rows = trees.extract_assets(frame(spark, [x | {"pad": pad} if isinstance(x, dict) else x for x in odd]))
+        got = sorted((r.doc_id, r.kind, r.id, r.content and bytes(r.content)) for r in rows.collect())
+        assert got == [(both[0], *w) for w in want] + [(both[1], *want[1])]
+    plan = rows.where("kind = 'asset'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython [") == 1
+
+
 #: Sentences, and of each the text of its question, the answer and the key word; None where no question is made. The blank
 #: takes a space behind the number with it; a key word has five to nine letters and no hyphen.
 ANSWERS = [
