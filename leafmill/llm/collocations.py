@@ -145,6 +145,8 @@ def _count(blobs: Iterator[bytes], least: int, folder: str) -> pa.Table:
     import duckdb
 
     temp = f"{folder}/{uuid.uuid4().hex}" if folder else ""
+    if temp:
+        os.makedirs(temp)  # DuckDB makes it when it first spills, but no folder above it
     con = duckdb.connect(":memory:", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": temp, "preserve_insertion_order": "false"})
     try:
         con.execute("create table r (lang varchar, w1 varchar, w2 varchar, w3 varchar, w4 varchar, m bigint, dealt boolean)")

@@ -64,3 +64,15 @@ def test_bucket_spills(tmp_path, monkeypatch):
     assert not any(tmp_path.iterdir())
     monkeypatch.setattr(co, "MEMORY", "384MB")
     assert co._count((b for _, b in co._tables(t, 1, co.np.zeros(0, int))), 3, "").num_rows == out.num_rows  # without a folder to spill to
+
+
+def test_bucket_spills_into_a_folder_that_is_not_there_yet(tmp_path, monkeypatch):
+    """The first bucket beyond MEMORY failed: nothing had made the folder for what it spills."""
+    monkeypatch.setattr(co, "MEMORY", "24MB")
+    rng = random.Random(5)
+    t = pa.table({"lang": ["en"] * 60000, "piece": [" ".join(f"w{rng.randrange(300)}" for _ in range(6)) for _ in range(60000)], "m": [1] * 60000})
+    count = lambda folder: co._count((b for _, b in co._tables(t, 1, co.np.zeros(0, int))), 3, folder)
+    below, there = tmp_path / "leafmill" / "duckdb", tmp_path / "there"
+    there.mkdir()
+    assert sorted(map(str, count(str(below)).to_pylist())) == sorted(map(str, count(str(there)).to_pylist()))
+    assert not any(below.iterdir())
