@@ -214,3 +214,17 @@ def test_scores_move_cells_once(spark):
     )
     plan = scores._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and "RepartitionByExpression" not in plan  # written before
+
+
+def _moves(d):
+    """(exchanges, joins) of a plan before it runs."""
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan.count("Join")
+
+
+def test_blocks_of_dealt_cells_move_no_more(spark):
+    """Cells were worked out again and joined with their bands and by their blocks, which shuffled them three times."""
+    cells = spark.range(4000).selectExpr("id div 40 as page", "int(id % 40 div 4) as row", "int(id % 4) as cell", "if(id % 4 = 0, 'a', '1') as text", "double(10 + 30 * (id % 4)) as x0", "double(20 + 30 * (id % 4)) as x1", "3.0D as em", "id as mark")
+    got = tb.banded(cells.repartition(5, "page"), ["page"])
+    assert _moves(got) == (1, 0)
+    assert got.columns == [*cells.columns, "band"] and got.where("band = cell and mark = page * 40 + row * 4 + cell").count() == 4000
