@@ -228,3 +228,28 @@ def test_blocks_of_dealt_cells_move_no_more(spark):
     got = tb.banded(cells.repartition(5, "page"), ["page"])
     assert _moves(got) == (1, 0)
     assert got.columns == [*cells.columns, "band"] and got.where("band = cell and mark = page * 40 + row * 4 + cell").count() == 4000
+
+
+def test_runs_of_dealt_pages_move_no_more(spark):
+    """Runs were joined with their widths, rows and blocks, each time by another shuffle."""
+    rng = random.Random(9)
+    runs = [r for i in range(20) for r in page(rng, i, ["table", "prose"][i % 2])[0]] + [(None, 1, "no page", 1.0, 1.0, 5.0, 4.0, 10.0, False)]
+    df = spark.createDataFrame(runs, "page int, run_idx int, text string, x double, y double, width double, height double, font_size double, bold boolean")
+    once = tb.column_bands(tb._blocks(tb.page_cells(df.repartition(5, "page"), ["page"]), ["page"]), ["page", "block"], ["row", "cell", "text"])
+    assert _moves(once) == (1, 0)
+    assert {r.page for r in once.where("broken is null").collect()} >= set(range(0, 20, 2))
+    plans = tb.detect_tables(df, ["page"])
+    assert _moves(plans)[1] == 0 and {r.page for r in plans.collect()} == set(range(0, 20, 2))
+
+
+def test_parted_blocks_keep_all_columns(spark):
+    """A block that a row breaks is parted, and its parts have all that its cells had."""
+    grid = [(r, c, "1" if c else "a", 20.0 + 30 * c, 30.0 + 30 * c) for r in range(4) for c in range(3)]
+    grid += [(4, 0, "b", 20.0, 22.0), (4, 1, "2", 23.0, 26.0), (4, 2, "3", 27.0, 30.0)] + [(r, c, "1" if c else "a", 20.0 + 30 * c, 30.0 + 30 * c) for r in range(5, 8) for c in range(3)]
+    df = spark.createDataFrame([(1, "k", *c, 3.0, f"m{c[0]}{c[1]}") for c in grid], "page int, block string, row int, cell int, text string, x0 double, x1 double, em double, mark string")
+    assert tb.column_bands(df, ["page", "block"]).where("broken is not null").count() == 1
+    blocks = tb._parted(df, ["page"])
+    kept = [f.name for f in blocks.schema["own"].dataType.elementType]
+    cells = tb._seated(blocks, ["page", "block"], kept).collect()
+    assert len(blocks.collect()) > 1 and all(c.mark == f"m{c.row}{c.cell}" and c.band is not None for c in cells)
+    assert {(c.row, c.cell) for c in cells if c.row < 4} == {(r, c) for r in range(4) for c in range(3)}
