@@ -253,3 +253,13 @@ def test_parted_blocks_keep_all_columns(spark):
     cells = tb._seated(blocks, ["page", "block"], kept).collect()
     assert len(blocks.collect()) > 1 and all(c.mark == f"m{c.row}{c.cell}" and c.band is not None for c in cells)
     assert {(c.row, c.cell) for c in cells if c.row < 4} == {(r, c) for r in range(4) for c in range(3)}
+
+
+def test_scores_of_dealt_cells_stay(spark):
+    """Cells dealt by document were shuffled again, and all gathered twice: by text and table, then by text."""
+    truth = spark.range(960).selectExpr("id div 240 as doc", "id div 8 as table", "int(id % 8 div 2) as row", "int(id % 2) as column", "if(id % 3 = 0, ' Same  text', concat('t', id)) as text").repartition(5, "doc")
+    got = truth.where("table % 5 <> 0").withColumn("text", F.expr("if(text like 't%', upper(text), 'same text\t')"))
+    plan = tb._met(truth, got, "doc", True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 2 and plan.count(" ObjectHashAggregate") == 2
+    assert tb.table_scores(truth, got, "doc", dealt=True).first() == tb.table_scores(truth, got, "doc").first()
+    assert tb.table_scores(truth, got, "doc", dealt=True).select("tables", "found", "exact", "extra").first() == (120, 96, 96, 0)
